@@ -14,7 +14,7 @@ from runscope.catalogs import ANALYSIS_CATALOG, LOG_TYPE_WEIGHT, SCORE_KEYWORDS,
 from runscope.functions.classify import analysis_rank
 from runscope.functions.text import quote_regex, sql_text
 from runscope.operators.matching import guarded
-from runscope.operators.ranking import preceding_total, top_n_per_group
+from runscope.operators.ranking import join_checked, preceding_total, top_n_per_group
 
 SCORE_FLAGS = "(?id)"
 LINES_PER_CHUNK = 100
@@ -140,7 +140,9 @@ def number_chunks(contents: DataFrame, lines_per_chunk: int = LINES_PER_CHUNK) -
     )
     starts = preceding_total(counts, ["cluster_id"], file_order(), "chunk_count", "first_id")
     return (
-        split.join(starts.select("cluster_id", "file_path", "first_id"), ["cluster_id", "file_path"])
+        join_checked(
+            split, starts.select("cluster_id", "file_path", "first_id"), ["cluster_id", "file_path"]
+        )
         .select("cluster_id", "file_path", "file_name", "log_type", "first_id",
                 F.posexplode("texts").alias("chunk_no", "content"))
         .withColumn("chunk_id", F.col("first_id") + F.col("chunk_no"))

@@ -189,10 +189,11 @@ def search_error_patterns(
     contents: DataFrame,
     patterns: Catalog | Mapping[str, Iterable[str]] | None = None,
     max_per_category: int | None = 50,
+    keep_order: bool = False,
 ) -> DataFrame:
     """First ``max_per_category`` matches per (cluster, category) over all files.
 
-    ``None`` lifts the cap. A caller's own catalog replaces the default one;
+    ``None`` lifts the cap, ``keep_order`` adds the rank as ``rn``. A caller's own catalog replaces the default one;
     run it through :func:`runscope.catalogs.valid_patterns` first when its
     regexes come from outside.
     """
@@ -203,7 +204,8 @@ def search_error_patterns(
     capped = top_n_per_group(
         found, ["cluster_id", "category"], _search_order(), max_per_category, ["file_path"]
     )
-    return capped.select(*MATCH_COLUMNS)
+    extra = ["last_modified", "rn"] if keep_order else []
+    return capped.select(*MATCH_COLUMNS, *extra)
 
 
 def search_by_level(
@@ -212,6 +214,7 @@ def search_by_level(
     caps: Sequence[int] = LEVEL_CAPS,
     max_levels: int = 3,
     dedupe: bool = False,
+    keep_order: bool = False,
 ) -> DataFrame:
     """Level 1 for every cluster; deeper levels only where level 1 found nothing critical.
 
@@ -237,7 +240,7 @@ def search_by_level(
     kept = (
         capped.withColumn("__stop", per_cluster)
         .filter((F.col("level") == 1) | ~F.col("__stop"))
-        .select(*MATCH_COLUMNS, "level")
+        .select(*MATCH_COLUMNS, "level", *(["last_modified", "rn"] if keep_order else []))
     )
     if dedupe:
         same = ["cluster_id", "file_path", "category", "position", "pattern"]

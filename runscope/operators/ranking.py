@@ -93,6 +93,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+# Largest row count and row width for which a key table is broadcast: 100 MB.
+BROADCAST_ROWS = 500_000
+BROADCAST_ROW_BYTES = 200
+
+
+def join_checked(
+    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join texts with a slim table without moving the texts, if the table is small.
+
+    The slim table is written once, and its rows and key lengths are counted.
+    Below the bound it is broadcast; above it the engine shuffles both sides,
+    with its runtime filters and its handling of skewed keys.
+    """
+    placed = cut_lineage(small)
+    width = sum((F.coalesce(F.length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(0))
+    rows, chars = placed.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    fits = rows <= BROADCAST_ROWS and chars <= BROADCAST_ROWS * BROADCAST_ROW_BYTES
+    return big.join(F.broadcast(placed) if fits else placed, list(keys), how)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, for tables an operator writes."""
     unique = os.urandom(6).hex()

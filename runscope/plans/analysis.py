@@ -21,7 +21,7 @@ from runscope.operators.chunking import (
     pick_files,
     score_sql,
 )
-from runscope.operators.ranking import top_n_per_group, top_n_with_total
+from runscope.operators.ranking import join_checked, top_n_per_group, top_n_with_total
 from runscope.plans.reports import iterative_report, standard_report
 
 TOKEN_LIMIT = 100_000
@@ -317,7 +317,9 @@ def analyze_cluster_logs(
         raise ValueError("method must be 'standard' or 'iterative'")
     chosen = pick_files(contents if inventory is None else inventory, max_files)
     small = contents.filter(F.col("size") <= int(max_size_mb * 1024 * 1024))
-    wanted = small.join(chosen.select("cluster_id", "file_path"), ["cluster_id", "file_path"], "left_semi")
+    wanted = join_checked(
+        small, chosen.select("cluster_id", "file_path"), ["cluster_id", "file_path"], "left_semi"
+    )
     counted = wanted.groupBy("cluster_id").agg(F.count("*").alias("files_analyzed"))
     run = analyze_logs if method == "standard" else analyze_iteratively
     result = run(wanted, search_pattern, lines_per_chunk=lines_per_chunk)
