@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 TRUNCATED = "... (truncated)"
 
+# White space of any script, as a regex class body, and words between it.
+SPACE = r"\s\x1c-\x1f"
+WORD = rf"(?U)[^{SPACE}]+"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it several times in ``body``."""
@@ -23,7 +27,7 @@ def sql_text(text: str) -> str:
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind at both ends (``trim`` only drops blanks)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"(?U)^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def newline_count(text: Column) -> Column:
@@ -44,7 +48,7 @@ def quote_regex(text: str) -> str:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\S+"))
+    return F.regexp_count(text, F.lit(WORD))
 
 
 def token_estimate(text: Column) -> Column:
@@ -59,7 +63,7 @@ def truncate_tokens(text: Column, limit: int) -> Column:
     not counted against the limit.
     """
     keep = int(limit / 1.3)
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     marker = f"\n\n... (Content truncated to stay within {limit} token limit)"
     cut = let(words, lambda w: F.concat(F.array_join(F.slice(w, 1, max(keep, 0)), " "), F.lit(marker)))
     return F.when(word_count(text) > keep, cut).otherwise(text)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from runscope.catalogs import ANALYSIS_CATALOG, LOG_TYPE_WEIGHT, SCORE_KEYWORDS, Catalog
 from runscope.functions.classify import analysis_rank
-from runscope.functions.text import quote_regex, sql_text
+from runscope.functions.text import WORD, quote_regex, sql_text
 from runscope.operators.matching import guarded
 from runscope.operators.ranking import join_checked, preceding_total, top_n_per_group
 
@@ -71,7 +71,7 @@ def split_chunks(contents: DataFrame, lines_per_chunk: int = LINES_PER_CHUNK) ->
     lines = contents.select(*FILE_COLUMNS, F.split("content", "\n", -1).alias("l"))
     pieces = (
         f"filter(transform(sequence(0, size(l) - 1, {n}), "
-        f"i -> array_join(slice(l, i + 1, {n}), '\\n')), x -> x RLIKE '(?U)\\\\S')"
+        f"i -> array_join(slice(l, i + 1, {n}), '\\n')), x -> x RLIKE {sql_text(WORD)})"
     )
     return lines.select(*FILE_COLUMNS, F.expr(pieces).alias("texts"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runscope.catalogs import ANALYSIS_CATALOG, SEVERITY_RANK, Catalog, solution_text
-from runscope.functions.text import limit_tokens, sql_text, token_estimate
+from runscope.functions.text import WORD, limit_tokens, sql_text, token_estimate
 from runscope.operators.chunking import (
     FILE_COLUMNS,
     LINES_PER_CHUNK,
@@ -246,7 +246,7 @@ def analyze_iteratively(
     files = file_chunks(contents, search_query, lines_per_chunk, catalog)
     sample = (
         f"aggregate(slice(chunks, 1, {SAMPLE_CHUNKS}), 0, "
-        f"(x, c) -> x + regexp_count(substring(c.content, 1, {SAMPLE_CHARS}), '\\\\S+')) * 1.3D"
+        f"(x, c) -> x + regexp_count(substring(c.content, 1, {SAMPLE_CHARS}), {sql_text(WORD)})) * 1.3D"
     )
     rounds = (
         _rounds(files, catalog, max_iterations)

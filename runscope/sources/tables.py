@@ -69,7 +69,7 @@ ERROR_MESSAGES = (
 # Words that occur in the documents; ASCII and without word boundaries.
 DOCUMENT_PATTERNS = {
     "endings": [r"tion[a-z]*\s+the", r"ment[a-z]*\.\n"],
-    "articles": [r"\bthe\s+of\b", r"der\s+sch"],
+    "articles": [r"the\s+of", r"der\s+sch"],
     "marks": [r"\?\s*\n", r"[0-9]{3}-[0-9]{4}"],
 }
 
