@@ -281,7 +281,7 @@ def smart_analysis(spark, folder):
 @query
 def chunk_split(spark, folder):
     split = chunking.split_chunks(tables.document_contents(spark, folder), DOCUMENT_LINES)
-    return split.select("cluster_id", "file_path", F.posexplode("texts").alias("chunk_no", "content"))
+    return split.select("cluster_id", "file_path", F.posexplode_outer("texts").alias("chunk_no", "content")).filter("content IS NOT NULL")
 
 
 @query

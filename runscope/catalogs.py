@@ -483,20 +483,46 @@ def as_catalog(patterns: Catalog | Mapping[str, Iterable[str]]) -> Catalog:
     return tuple(patterns)
 
 
-def required_text(pattern: str) -> str | None:
-    """A lower-case text every match of ``pattern`` must contain, if easily seen.
+def required_pieces(pattern: str) -> list[str]:
+    """Lower-case ASCII texts that every match of ``pattern`` must contain.
 
     Only words joined by white space, digit or any-text pieces and by plain
-    alternations are understood; anything else gives ``None`` and is always
-    matched in full.
+    alternations are understood; anything else gives an empty list and is
+    always matched in full.
     """
     bare = pattern.replace("(?i)", "").replace(r"\b", "").replace(r"\.", "\x00").lower()
     bare = re.sub(r"\(\?:[a-z|]+\)", ".*", bare)
-    words = re.split(r"\\s[+*]|\\d\+|\\w\+|\.\*", bare)
-    if not all(re.fullmatch(r"[a-z0-9: \x00]*", word) for word in words):
-        return None
-    longest = max(words, key=len)
-    return longest.replace("\x00", ".") or None
+    pieces = re.split(r"\\s[+*]|\\d\+|\\w\+|\.\*", bare)
+    if not all(re.fullmatch(r"[a-z0-9: \x00]*", piece) for piece in pieces):
+        return []
+    return [piece.replace("\x00", ".") for piece in pieces if piece]
+
+
+def required_text(pattern: str) -> str | None:
+    """The longest of the required pieces, usually the rarest one."""
+    return max(required_pieces(pattern), key=len, default=None)
+
+
+def shared_stems(patterns: Iterable[str]) -> dict[str, str]:
+    """A stem for each pattern, few in all: texts without a stem cannot match.
+
+    Most patterns share words such as "failed" or "exception". Testing a text
+    for these few words first rules out most patterns at once.
+    """
+    pieces = {p: required_pieces(p) for p in dict.fromkeys(patterns)}
+    open_patterns = {p for p, found in pieces.items() if found}
+    words = sorted({w for found in pieces.values() for w in re.findall(r"[a-z]{4,}", " ".join(found))})
+    stems: dict[str, str] = {}
+    while open_patterns:
+        covered = {
+            w: [p for p in open_patterns if any(w in piece for piece in pieces[p])] for w in words
+        }
+        best = max(words, key=lambda w: (len(covered[w]), len(w)), default=None)
+        if best is None or not covered[best]:
+            break
+        stems.update(dict.fromkeys(covered[best], best))
+        open_patterns.difference_update(covered[best])
+    return stems
 
 
 def valid_patterns(

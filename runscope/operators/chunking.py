@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from runscope.catalogs import ANALYSIS_CATALOG, LOG_TYPE_WEIGHT, SCORE_KEYWORDS, Catalog
 from runscope.functions.classify import analysis_rank
+from runscope.functions.guard import Guards, low_sql
 from runscope.functions.text import WORD, quote_regex, sql_text
-from runscope.operators.matching import guarded
 from runscope.operators.ranking import join_checked, preceding_total, top_n_per_group
 
 SCORE_FLAGS = "(?id)"
@@ -23,23 +23,29 @@ QUERY_WEIGHT = 2.0
 FILE_COLUMNS = ("cluster_id", "file_path", "file_name", "log_type", "size", "last_modified")
 
 
-def _count(pattern: str) -> str:
-    """Matches of ``pattern`` in chunk ``c``."""
-    matches = f"regexp_count(c.content, {sql_text(SCORE_FLAGS + pattern)})"
-    return f"coalesce({guarded('c.low', pattern, matches)}, 0)"
+def _counter(catalog: Catalog):
+    """Guards for all patterns and keywords, and SQL that counts one in chunk ``c``."""
+    words = [rf"\b{word}\b" for word, _ in SCORE_KEYWORDS]
+    guards = Guards([*(p for cat in catalog for p in cat.patterns), *words])
 
+    def count(pattern: str) -> str:
+        matches = f"regexp_count(c.content, {sql_text(SCORE_FLAGS + pattern)})"
+        return f"coalesce({guards.sql('c.low', 'c.flags', pattern, matches)}, 0)"
 
-def hits_sql(catalog: Catalog) -> str:
+    return guards, count
+
+
+def _hits_sql(catalog: Catalog, count) -> str:
     """Matches per category, in catalog order."""
-    per_category = (" + ".join(_count(p) for p in cat.patterns) or "0" for cat in catalog)
+    per_category = (" + ".join(count(p) for p in cat.patterns) or "0" for cat in catalog)
     return f"array({', '.join(per_category)})"
 
 
-def base_sql(search_query: str | None) -> str:
+def _base_sql(search_query: str | None, count) -> str:
     """The part of the score that does not depend on the catalog."""
     types = ", ".join(f"'{kind}', {weight}D" for kind, weight in LOG_TYPE_WEIGHT.items())
     parts = [f"coalesce(element_at(map({types}), log_type), {LOG_TYPE_WEIGHT['unknown']}D)"]
-    parts += [f"{_count(rf'\b{word}\b')} * {weight}D" for word, weight in SCORE_KEYWORDS]
+    parts += [f"{count(rf'\b{word}\b')} * {weight}D" for word, weight in SCORE_KEYWORDS]
     if search_query:
         literal = sql_text(SCORE_FLAGS + quote_regex(search_query))
         parts.append(f"regexp_count(c.content, {literal}) * {QUERY_WEIGHT}D")
@@ -91,10 +97,15 @@ def file_chunks(
         # compressed files have no weight of their own
         "log_type", F.when(F.col("log_type") == "compressed", "unknown").otherwise(F.col("log_type")),
     )
-    lowered = "transform(texts, x -> named_struct('content', x, 'low', lower(x)))"
+    guards, count = _counter(catalog)
+    lowered = f"transform(texts, x -> named_struct('content', x, 'low', {low_sql('x')}))"
+    flagged = (
+        f"transform({lowered}, c -> named_struct('content', c.content, 'low', c.low, "
+        f"'flags', {guards.flags_sql('c.low')}))"
+    )
     scored = (
-        f"transform({lowered}, (c, i) -> named_struct('chunk_no', i, 'content', c.content, "
-        f"'hits', {hits_sql(catalog)}, 'base', {base_sql(search_query)}))"
+        f"transform({flagged}, (c, i) -> named_struct('chunk_no', i, 'content', c.content, "
+        f"'hits', {_hits_sql(catalog, count)}, 'base', {_base_sql(search_query, count)}))"
     )
     return split.select(*FILE_COLUMNS, F.expr(scored).alias("chunks"))
 
@@ -107,7 +118,9 @@ def log_chunks(
 ) -> DataFrame:
     """One row per chunk with its priority score and error indicators."""
     files = file_chunks(contents, search_query, lines_per_chunk, catalog)
-    return files.select(*FILE_COLUMNS, F.explode("chunks").alias("c")).select(
+    # outer generators, because the others add a filter that computes the chunks twice
+    rows = files.select(*FILE_COLUMNS, F.explode_outer("chunks").alias("c")).filter("c IS NOT NULL")
+    return rows.select(
         *FILE_COLUMNS, "c.chunk_no", "c.content",
         F.expr(score_sql(catalog)).alias("priority_score"),
         F.expr(indicators_sql(catalog)).alias("error_indicators"),
@@ -144,7 +157,8 @@ def number_chunks(contents: DataFrame, lines_per_chunk: int = LINES_PER_CHUNK) -
             split, starts.select("cluster_id", "file_path", "first_id"), ["cluster_id", "file_path"]
         )
         .select("cluster_id", "file_path", "file_name", "log_type", "first_id",
-                F.posexplode("texts").alias("chunk_no", "content"))
+                F.posexplode_outer("texts").alias("chunk_no", "content"))
+        .filter("content IS NOT NULL")
         .withColumn("chunk_id", F.col("first_id") + F.col("chunk_no"))
         .drop("first_id")
     )
@@ -173,8 +187,8 @@ def top_chunks(
         f"'error_indicators', {indicators_sql(catalog)}, 'content', c.content))), 1, {n})"
     )
     rows = file_chunks(contents, search_query, lines_per_chunk, catalog).select(
-        *FILE_COLUMNS, F.expr(f"inline({best})")
-    )
+        *FILE_COLUMNS, F.expr(f"inline_outer({best})")
+    ).filter("chunk_no IS NOT NULL")
     order = [F.col("negative_score"), *file_order(), F.col("chunk_no")]
     ranked = top_n_per_group(rows, ["cluster_id"], order, n, ["file_path"], rank="chunk_rank")
     return ranked.select(

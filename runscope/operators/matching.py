@@ -19,9 +19,9 @@ from runscope.catalogs import (
     SEARCH_CATALOG,
     Catalog,
     as_catalog,
-    required_text,
 )
 from runscope.functions.classify import line_timestamp, match_severity, search_rank
+from runscope.functions.guard import Guards, low_sql
 from runscope.functions.text import let, newline_count, sql_text, strip
 from runscope.operators.ranking import top_n_per_group
 
@@ -38,12 +38,6 @@ _SPOT = "struct<matched_text:string,position:int,line_number:int,breaks:int>"
 _BLOCK = 128
 
 
-def guarded(low: str, pattern: str, value: str) -> str:
-    """SQL for ``value``, null without a match attempt where a needed word is missing."""
-    word = required_text(pattern)
-    return value if word is None else f"if(contains({low}, {sql_text(word)}), {value}, NULL)"
-
-
 def _spots(content: Column, regex: Column, texts: Column) -> Column:
     """Offset and line of every match, given the non-empty list of matched texts.
 
@@ -101,17 +95,22 @@ def _file_matches(
     """
     patterns = list(dict.fromkeys(p for _, cats, _ in plan for cat in cats for p in cat.patterns))
     number = {pattern: i for i, pattern in enumerate(patterns)}
-    base = contents.select(*FILE_COLUMNS, "content", F.lower("content").alias("__low"))
+    guards = Guards(patterns)
+    base = contents.select(
+        *FILE_COLUMNS, "content", F.expr(low_sql("content")).alias("__low")
+    ).withColumn("__flags", F.expr(guards.flags_sql("__low")))
 
     candidates = []
     for pattern, i in number.items():
         regex = sql_text(SEARCH_FLAGS + pattern)
-        texts = guarded("__low", pattern, f"regexp_extract_all(content, {regex}, 0)")
+        texts = guards.sql(
+            "__low", "__flags", pattern, f"regexp_extract_all(content, {regex}, 0)"
+        )
         candidates.append(f"named_struct('id', {i}, 'regex', {regex}, 'texts', {texts})")
     hits = base.select(
         *FILE_COLUMNS, "content",
         F.expr(f"filter(array({', '.join(candidates)}), h -> size(h.texts) > 0)").alias("__hits"),
-    ).filter(F.size("__hits") > 0)
+    )
     spots = hits.select(
         *FILE_COLUMNS,
         F.split("content", "\n", -1).alias("__lines"),
@@ -143,7 +142,8 @@ def _file_matches(
         return F.transform(kept, lambda row: _match_row(cat, row.idx, row.spot))
 
     rows = F.flatten(F.transform(F.expr(f"array({', '.join(categories)})"), category_rows))
-    hit = spots.select(*FILE_COLUMNS, F.explode(rows).alias("m"))
+    # the outer form, because explode would add a filter that computes the rows twice
+    hit = spots.select(*FILE_COLUMNS, F.explode_outer(rows).alias("m")).filter("m IS NOT NULL")
     return hit.select(
         "cluster_id", "file_path",
         F.col("file_name").alias("file"),
@@ -284,7 +284,10 @@ def pattern_counts(
 ) -> DataFrame:
     """Matches per file and pattern, without their places: the cheap form."""
     catalog = as_catalog(patterns)
-    base = contents.select("cluster_id", "file_path", "content", F.lower("content").alias("__low"))
+    guards = Guards(p for cat in catalog for p in cat.patterns)
+    base = contents.select(
+        "cluster_id", "file_path", "content", F.expr(low_sql("content")).alias("__low")
+    ).withColumn("__flags", F.expr(guards.flags_sql("__low")))
     counts = []
     for cat in catalog:
         for idx, pattern in enumerate(cat.patterns):
@@ -292,9 +295,9 @@ def pattern_counts(
             counts.append(
                 f"named_struct('category', {sql_text(cat.name)}, 'pattern_idx', {idx}, "
                 f"'pattern', {sql_text(pattern)}, "
-                f"'matches', CAST({guarded('__low', pattern, n)} AS BIGINT))"
+                f"'matches', CAST({guards.sql('__low', '__flags', pattern, n)} AS BIGINT))"
             )
     return (
-        base.select("cluster_id", "file_path", F.expr(f"inline(array({', '.join(counts)}))"))
+        base.select("cluster_id", "file_path", F.expr(f"inline_outer(array({', '.join(counts)}))"))
         .filter("matches > 0")
     )

@@ -34,7 +34,7 @@ def context_snippets(
     )
     hits = numbered.withColumn(
         "h", F.expr(f"filter(sequence(1, size(l)), i -> element_at(l, i) RLIKE {regex})")
-    ).filter(F.size("h") > 0)
+    )
     window = (
         f"transform(sequence(greatest(i - {k}, 1), least(i + {k}, size(l))), "
         "j -> format_string('%s %4d: %s', if(j = i, '>>>', '   '), j, element_at(l, j)))"
@@ -44,10 +44,15 @@ def context_snippets(
         f"array_join(slice(flatten(transform(slice(h, 1, {max_lines}), "
         f"i -> concat({window}, array('---')))), 1, {limit}), '\\n')"
     )
-    return hits.select(
-        "cluster_id", "file_path", "file_name", "log_type",
-        F.expr(text).alias("matches"), F.size("h").cast("bigint").alias("lines_matched"),
+    # a filter on the hits would search every line twice; files without hits
+    # leave through an empty list instead
+    found = (
+        f"inline_outer(if(size(h) > 0, array(named_struct('matches', {text}, "
+        "'lines_matched', CAST(size(h) AS BIGINT))), array()))"
     )
+    return hits.select(
+        "cluster_id", "file_path", "file_name", "log_type", F.expr(found)
+    ).filter("matches IS NOT NULL")
 
 
 def head_snippets(contents: DataFrame, max_lines: int = 100) -> DataFrame:

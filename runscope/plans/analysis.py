@@ -86,8 +86,8 @@ def _groups(files: DataFrame, catalog: Catalog, top: int) -> DataFrame:
     )
     rows = ranked.select(
         "cluster_id", "file_path", "file_name", "log_type", "file_key",
-        F.expr(f"inline(concat({every}, {shown}))"),
-    )
+        F.expr(f"inline_outer(concat({every}, {shown}))"),
+    ).filter("chunk_no IS NOT NULL")
     limit = F.when(F.col("category") == "", top).otherwise(EXAMPLES)
     order = [F.col("neg"), F.col("file_key"), F.col("chunk_no")]
     return top_n_with_total(rows, ["cluster_id", "category"], order, limit, "n", ["file_path"])
@@ -178,8 +178,8 @@ def _rounds(files: DataFrame, catalog: Catalog, max_iterations: int) -> DataFram
         )
     rows = files.select(
         "cluster_id", "file_path", "file_name", "log_type", file_key().alias("file_key"),
-        F.expr(f"inline(concat({', '.join(per_round)}))"),
-    )
+        F.expr(f"inline_outer(concat({', '.join(per_round)}))"),
+    ).filter("chunk_no IS NOT NULL")
     order = [F.col("neg"), F.col("file_key"), F.col("chunk_no")]
     best = top_n_per_group(
         rows, ["cluster_id", "iteration"], order, max(keep for _, keep in plan), ["file_path"]

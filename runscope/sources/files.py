@@ -129,8 +129,8 @@ def lines_of(contents: DataFrame) -> DataFrame:
     """``log_lines`` of whole texts, numbered from 1."""
     return contents.select(
         "cluster_id", "file_path",
-        F.posexplode(F.split("content", "\n", -1)).alias("line_number", "line"),
-    ).withColumn("line_number", F.col("line_number") + 1)
+        F.posexplode_outer(F.split("content", "\n", -1)).alias("line_number", "line"),
+    ).filter("line IS NOT NULL").withColumn("line_number", F.col("line_number") + 1)
 
 
 def log_lines(
