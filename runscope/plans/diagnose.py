@@ -18,7 +18,7 @@ from runscope.functions.classify import error_kind
 from runscope.functions.text import sql_text
 from runscope.operators.jobs import failed_runs, run_clusters
 from runscope.operators.matching import pattern_counts, search_by_level, search_error_patterns
-from runscope.operators.ranking import join_checked
+from runscope.operators.ranking import cut_lineage, join_checked
 
 QUICK_CAP = 10
 RERUN_ADVICE = "Run full analysis for detailed diagnosis"
@@ -46,28 +46,38 @@ def quick_scan(contents: DataFrame) -> DataFrame:
     )
 
 
-def critical_findings(matches: DataFrame) -> DataFrame:
-    """Per (cluster, category): the critical matches if any, else the high ones.
+def _category_stats(matches: DataFrame) -> DataFrame:
+    """Counts and the first examples per (cluster, category).
 
-    Expects the capped, ordered matches of :func:`search_by_level`.
+    Expects the capped, ordered matches of :func:`search_by_level`, so a group
+    holds 120 rows at most.
     """
-    order = F.struct("level", "rn", F.struct("file", "line_number", "line", "severity").alias("m"))
     critical, high = F.col("severity") == "critical", F.col("severity") == "high"
-    grouped = matches.filter(critical | high).groupBy("cluster_id", "category").agg(
+    row = F.struct("level", "rn", F.struct("file", "line_number", "line", "severity").alias("m"))
+    stats = matches.groupBy("cluster_id", "category").agg(
+        F.count("*").alias("matches"), F.max("level").alias("deepest"),
+        F.max(_out_of_memory()).alias("memory_hits"),
         F.count_if(critical).alias("critical_count"), F.count_if(high).alias("high_count"),
-        F.array_sort(F.collect_list(F.when(critical, order))).alias("c"),
-        F.array_sort(F.collect_list(F.when(high, order))).alias("h"),
+        F.array_sort(F.collect_list(F.when(critical, row))).alias("c"),
+        F.array_sort(F.collect_list(F.when(high, row))).alias("h"),
     )
     worst = F.col("critical_count") > 0
-    return grouped.select(
-        "cluster_id", "category",
-        F.when(worst, "critical").otherwise("high").alias("severity"),
+    return stats.select(
+        "cluster_id", "category", "matches", "deepest", "memory_hits",
+        F.when(worst, "critical").when(F.col("high_count") > 0, "high").alias("severity"),
         F.when(worst, F.col("critical_count")).otherwise(F.col("high_count")).alias("count"),
         F.expr("transform(if(critical_count > 0, slice(c, 1, 3), slice(h, 1, 2)), x -> x.m)")
         .alias("examples"),
     )
 
 
+def critical_findings(matches: DataFrame) -> DataFrame:
+    """Per (cluster, category): the critical matches if any, else the high ones."""
+    return _category_stats(matches).filter("severity IS NOT NULL").select(
+        "cluster_id", "category", "severity", "count", "examples"
+    )
+
+
 def _out_of_memory() -> Column:
     return (F.col("category") == "critical_errors") & F.lower("line").contains("outofmemory")
 
@@ -95,27 +105,28 @@ def smart_analysis(
     found = keep_focus(
         search_by_level(contents, max_levels=max_levels, keep_order=True), focus_areas
     )
-    advice = "array_compact(array(" + ", ".join(
-        f"if({'memory_hits' if c == 'memory_issues' else 'false'} OR "
-        f"array_contains(transform(error_breakdown, e -> e.category), {sql_text(c)}), {sql_text(t)}, NULL)"
-        for c, t in RECOMMENDATIONS
-    ) + "))"
-    breakdown = found.groupBy("cluster_id", "category").agg(
-        F.count("*").alias("matches"), F.max(_out_of_memory()).alias("memory_hits"),
-        F.max("level").alias("deepest"),
-    ).groupBy("cluster_id").agg(
-        F.array_sort(F.collect_list(F.struct("category", "matches"))).alias("error_breakdown"),
+    stats = _category_stats(found).groupBy("cluster_id").agg(
+        F.array_sort(F.collect_list(
+            F.struct("category", "matches", "severity", "count", "examples")
+        )).alias("s"),
         F.max("memory_hits").alias("memory_hits"), F.sum("matches").alias("total_errors"),
         F.max("deepest").alias("deepest_level"),
     )
-    findings = critical_findings(found).groupBy("cluster_id").agg(
-        F.array_sort(F.collect_list(F.struct("category", "severity", "count", "examples")))
-        .alias("critical_findings")
-    )
-    return (
-        breakdown.join(findings, "cluster_id", "left")
-        .withColumn("recommendations", F.expr(advice))
-        .drop("memory_hits")
+    advice = []
+    for category, text in RECOMMENDATIONS:
+        seen = f"exists(s, x -> x.category = {sql_text(category)})"
+        if category == "memory_issues":
+            seen += " OR memory_hits"
+        advice.append(f"if({seen}, {sql_text(text)}, NULL)")
+    return stats.select(
+        "cluster_id", "total_errors", "deepest_level",
+        F.transform("s", lambda x: F.struct(x.category.alias("category"), x.matches.alias("matches")))
+        .alias("error_breakdown"),
+        F.transform(F.filter("s", lambda x: x.severity.isNotNull()), lambda x: F.struct(
+            x.category.alias("category"), x.severity.alias("severity"), x["count"].alias("count"),
+            x.examples.alias("examples"),
+        )).alias("critical_findings"),
+        F.expr(f"array_compact(array({', '.join(advice)}))").alias("recommendations"),
     )
 
 
@@ -136,7 +147,8 @@ def failure_diagnosis(
     a few findings before it meets the runs again.
     """
     failed = failed_runs(jobs, runs, as_of, name_pattern, hours_back)
-    used = run_clusters(failed, tasks)
+    # slim rows that are needed three times below
+    used = cut_lineage(run_clusters(failed, tasks))
     affected = join_checked(
         contents, used.select("cluster_id").distinct(), ["cluster_id"], "left_semi"
     )

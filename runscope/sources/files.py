@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runscope.functions.classify import log_type
@@ -35,7 +35,7 @@ def _place(root: str) -> str:
     return quote_regex(bare.rstrip("/"))
 
 
-def _described(raw: DataFrame, root: str, layout: str) -> DataFrame:
+def described(raw: DataFrame, root: str, layout: str) -> DataFrame:
     """Adds the inventory columns from the hidden file metadata."""
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     pattern = _place(root) + "/+" + layout
@@ -56,7 +56,11 @@ def _path(root: str, cluster_id: str | None) -> str:
 def log_inventory(
     spark: SparkSession, root: str, cluster_id: str | None = None, layout: str = LAYOUT
 ) -> DataFrame:
-    """One row per file, without reading any content; newest first when sorted by the caller."""
+    """One row per non-empty file, without reading any content.
+
+    Spark's file sources leave out files of length 0. For the usual order see
+    :func:`newest_first`.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     try:
         raw = reader.load(_path(root, cluster_id))
@@ -64,7 +68,7 @@ def log_inventory(
         if err.getCondition() != "PATH_NOT_FOUND" or cluster_id is None:
             raise
         return spark.createDataFrame([], INVENTORY)
-    return _described(raw, root, layout).select(
+    return described(raw, root, layout).select(
         "cluster_id", "file_path", "file_name", "size", "last_modified", "log_type"
     )
 
@@ -73,15 +77,11 @@ def newest_first(inventory: DataFrame) -> DataFrame:
     return inventory.orderBy(F.col("last_modified").desc(), "file_path")
 
 
-def _name_has_type(log_types: Sequence[str]) -> Column:
-    return F.col("log_type").isin(*log_types)
-
-
 def _whole_texts(spark: SparkSession, root: str, cluster_id: str | None, layout: str) -> DataFrame:
     raw = spark.read.option("recursiveFileLookup", "true").option(
         "ignoreCorruptFiles", "true"
     ).option("ignoreMissingFiles", "true").text(_path(root, cluster_id), wholetext=True)
-    return _described(raw, root, layout)
+    return described(raw, root, layout)
 
 
 def log_contents(
@@ -98,9 +98,16 @@ def log_contents(
     files that are no valid UTF-8 are left out; see :func:`rejected_files`.
     """
     texts = _whole_texts(spark, root, cluster_id, layout)
+    return usable_texts(texts, max_size_mb, log_types)
+
+
+def usable_texts(
+    texts: DataFrame, max_size_mb: float, log_types: Sequence[str] | None = None
+) -> DataFrame:
+    """Size cap, type filter, UTF-8 check and newline rule on described whole texts."""
     wanted = texts.filter(F.col("size") <= int(max_size_mb * MB))
     if log_types:
-        wanted = wanted.filter(_name_has_type(log_types))
+        wanted = wanted.filter(F.col("log_type").isin(*log_types))
     return wanted.filter(F.is_valid_utf8("value")).select(
         "cluster_id", "file_path", "file_name", "size", "last_modified", "log_type",
         normalize_newlines(F.col("value")).alias("content"),
@@ -144,7 +151,7 @@ def log_lines(
     Gzip files cannot be split and come as one block.
     """
     raw = spark.read.option("recursiveFileLookup", "true").text(_path(root, cluster_id))
-    rows = _described(raw, root, layout).select(
+    rows = described(raw, root, layout).select(
         "cluster_id", "file_path", F.col("value").alias("line"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row_id"),

@@ -16,6 +16,15 @@ from runscope.functions.classify import line_event_time
 from runscope.operators.jobs import is_failed
 from runscope.operators.matching import find_matches
 from runscope.operators.ranking import scratch_path
+from runscope.sources.files import LAYOUT, SEARCH_MB, described, usable_texts
+
+
+def stream_log_contents(
+    spark: SparkSession, root: str, max_size_mb: float = SEARCH_MB, layout: str = LAYOUT
+) -> DataFrame:
+    """New log files under ``root`` as whole texts, with the same rules as the batch reader."""
+    raw = spark.readStream.option("recursiveFileLookup", "true").text(root, wholetext=True)
+    return usable_texts(described(raw, root, layout), max_size_mb)
 
 
 def error_feed(
@@ -59,6 +68,10 @@ def error_bursts(lines: DataFrame, gap: str = "30 minutes", delay: str = "10 min
 
     Expects ``cluster_id`` and a TIMESTAMP column ``event_time``.
     """
+    # sessions of one busy cluster are merged before the shuffle
+    lines.sparkSession.conf.set(
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
+    )
     return (
         lines.withWatermark("event_time", delay)
         .groupBy(F.session_window("event_time", gap).alias("w"), "cluster_id")
