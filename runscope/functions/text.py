@@ -25,13 +25,14 @@ def sql_text(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def strip(text: Column) -> Column:
+def strip_sql(text: str) -> str:
     """Remove white space of any kind at both ends (``trim`` only drops blanks)."""
-    return F.regexp_replace(text, rf"(?U)^[{SPACE}]+|[{SPACE}]+\z", "")
+    ends = sql_text(rf"(?U)^[{SPACE}]+|[{SPACE}]+\z")
+    return f"regexp_replace({text}, {ends}, '')"
 
 
-def newline_count(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+def newlines_sql(text: str) -> str:
+    return rf"(length({text}) - length(replace({text}, '\n', '')))"
 
 
 def normalize_newlines(text: Column) -> Column:

@@ -22,7 +22,7 @@ from runscope.catalogs import (
 )
 from runscope.functions.classify import line_timestamp, match_severity, search_rank
 from runscope.functions.guard import Guards, low_sql
-from runscope.functions.text import let, newline_count, sql_text, strip
+from runscope.functions.text import newlines_sql, sql_text, strip_sql
 from runscope.operators.ranking import top_n_per_group
 
 # Case-insensitive, multi-line anchors, and "\n" as the only line terminator.
@@ -37,50 +37,56 @@ MATCH_COLUMNS = (
 _SPOT = "struct<matched_text:string,position:int,line_number:int,breaks:int>"
 _BLOCK = 128
 
-
-def _spots(content: Column, regex: Column, texts: Column) -> Column:
-    """Offset and line of every match, given the non-empty list of matched texts.
-
-    The text before, between and after the matches is ``split`` by the same
-    pattern, so offsets are running sums over gap and match lengths. The sums
-    are built in blocks to keep array growth cheap for frequent patterns.
-    """
-
-    def place(state: Column, pair: Column) -> Column:
-        start = state.position + F.length(pair.gap)
-        row = state.line_number + newline_count(pair.gap)
-        breaks = newline_count(pair.text)
-        spot = F.struct(
-            pair.text.alias("matched_text"), start.alias("position"),
-            row.alias("line_number"), breaks.alias("breaks"),
-        )
-        return F.struct(
-            (start + F.length(pair.text)).alias("position"),
-            (row + breaks).alias("line_number"),
-            F.concat(state.spots, F.array(spot)).alias("spots"),
-        )
-
-    def place_block(state: Column, block: Column) -> Column:
-        begin = F.struct(state.position, state.line_number,
-                         F.array().cast(f"array<{_SPOT}>").alias("spots"))
-        return let(F.aggregate(block, begin, place), lambda done: F.struct(
-            done.position.alias("position"), done.line_number.alias("line_number"),
-            F.concat(state.spots, F.array(done.spots)).alias("spots"),
-        ))
-
-    def pair_up(gaps: Column) -> Column:
-        # split() drops an empty piece in front of a zero-width match at offset 0
-        full = F.when(F.size(gaps) == F.size(texts), F.concat(F.array(F.lit("")), gaps)).otherwise(gaps)
-        return F.arrays_zip(F.slice(full, F.lit(1), F.size(texts)).alias("gap"), texts.alias("text"))
-
-    pairs = let(F.split(content, regex, -1), pair_up)
-    blocks = let(pairs, lambda p: F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _BLOCK).cast("int")),
-        lambda b: F.slice(p, b * _BLOCK + 1, F.lit(_BLOCK)),
-    ))
-    begin = F.struct(F.lit(0).alias("position"), F.lit(1).alias("line_number"),
-                     F.array().cast(f"array<array<{_SPOT}>>").alias("spots"))
-    return F.aggregate(blocks, begin, place_block, lambda s: F.flatten(s.spots))
+# Array of spots (offset and line of a match) from ``h.texts``, the texts that
+# ``h.regex`` matches in ``content``. The text before, between and after the
+# matches is split by the same regex, so offsets are running sums over gap and
+# match lengths. The sums are built in blocks, which keeps the growth of arrays
+# cheap when a pattern is frequent. split() drops an empty piece in front of a
+# zero-width match at offset 0; it is put back.
+_PAIRS = f"""
+transform(array(split(content, h.regex, -1)), gaps -> zip_with(
+  slice(if(size(gaps) = size(h.texts), concat(array(''), gaps), gaps), 1, size(h.texts)),
+  h.texts,
+  (gap, text) -> named_struct(
+    'text', text, 'chars', length(text), 'breaks', {newlines_sql('text')},
+    'gap_chars', length(gap), 'gap_lines', {newlines_sql('gap')})))[0]"""
+_BLOCKS = f"""
+transform(array({_PAIRS}), p -> transform(
+  sequence(0, CAST((size(p) - 1) DIV {_BLOCK} AS INT)), b -> slice(p, b * {_BLOCK} + 1, {_BLOCK})))[0]"""
+_IN_BLOCK = f"""
+aggregate(block,
+  named_struct('position', s.position, 'line_number', s.line_number,
+               'spots', CAST(array() AS ARRAY<{_SPOT}>)),
+  (x, m) -> named_struct(
+    'position', x.position + m.gap_chars + m.chars,
+    'line_number', x.line_number + m.gap_lines + m.breaks,
+    'spots', concat(x.spots, array(named_struct(
+      'matched_text', m.text, 'position', x.position + m.gap_chars,
+      'line_number', x.line_number + m.gap_lines, 'breaks', m.breaks)))))"""
+_SPOTS = f"""
+aggregate({_BLOCKS},
+  named_struct('position', 0, 'line_number', 1, 'spots', CAST(array() AS ARRAY<ARRAY<{_SPOT}>>)),
+  (s, block) -> transform(array({_IN_BLOCK}), d -> named_struct(
+    'position', d.position, 'line_number', d.line_number,
+    'spots', concat(s.spots, array(d.spots))))[0],
+  s -> flatten(s.spots))"""
+
+# Match rows of one category ``cat``: its patterns in order, cut at its cap, each
+# with the enclosing line and two lines of context on either side.
+_KEPT = f"""
+transform(array(flatten(transform(cat.ids, (id, i) -> transform(
+  coalesce(try_element_at(__spots, id), CAST(array() AS ARRAY<{_SPOT}>)),
+  spot -> named_struct('idx', i, 'spot', spot))))),
+  rows -> slice(rows, 1, coalesce(cat.cap, size(rows))))[0]"""
+_FIRST = "greatest(row.spot.line_number - 2, 1)"
+_LINE = "array_join(slice(__lines, row.spot.line_number, row.spot.breaks + 1), '\\n')"
+_ROWS = f"""
+transform({_KEPT}, row -> named_struct(
+  'level', cat.level, 'category', cat.category, 'pattern_idx', row.idx,
+  'pattern', cat.patterns[row.idx], 'matched_text', row.spot.matched_text,
+  'line', {strip_sql(_LINE)}, 'line_number', row.spot.line_number,
+  'context', array_join(slice(__lines, {_FIRST}, row.spot.line_number + 3 - {_FIRST}), '\\n'),
+  'position', row.spot.position))"""
 
 
 def _file_matches(
@@ -114,9 +120,7 @@ def _file_matches(
     spots = hits.select(
         *FILE_COLUMNS,
         F.split("content", "\n", -1).alias("__lines"),
-        F.map_from_entries(F.transform("__hits", lambda h: F.struct(
-            h.id, _spots(F.col("content"), h.regex, h.texts)
-        ))).alias("__spots"),
+        F.expr(f"map_from_entries(transform(__hits, h -> struct(h.id, {_SPOTS})))").alias("__spots"),
     )
     categories = []
     for level, catalog, cap in plan:
@@ -131,17 +135,7 @@ def _file_matches(
                     f"'ids', array({ids}), 'patterns', array({texts}))"
                 )
 
-    def category_rows(cat: Column) -> Column:
-        found = F.flatten(F.transform(cat.ids, lambda pid, i: F.transform(
-            F.coalesce(F.try_element_at(F.col("__spots"), pid), F.array().cast(f"array<{_SPOT}>")),
-            lambda spot: F.struct(i.alias("idx"), spot.alias("spot")),
-        )))
-        kept = let(found, lambda rows: F.slice(
-            rows, F.lit(1), F.coalesce(cat.cap, F.size(rows))
-        ))
-        return F.transform(kept, lambda row: _match_row(cat, row.idx, row.spot))
-
-    rows = F.flatten(F.transform(F.expr(f"array({', '.join(categories)})"), category_rows))
+    rows = F.expr(f"flatten(transform(array({', '.join(categories)}), cat -> {_ROWS}))")
     # the outer form, because explode would add a filter that computes the rows twice
     hit = spots.select(*FILE_COLUMNS, F.explode_outer(rows).alias("m")).filter("m IS NOT NULL")
     return hit.select(
@@ -155,20 +149,6 @@ def _file_matches(
     })
 
 
-def _match_row(cat: Column, idx: Column, spot: Column) -> Column:
-    """One match with its enclosing line and two lines of context on each side."""
-    lines, first = F.col("__lines"), spot.line_number
-    start = F.greatest(first - 2, F.lit(1))
-    whole = F.array_join(F.slice(lines, first, spot.breaks + 1), "\n")
-    around = F.array_join(F.slice(lines, start, first + 3 - start), "\n")
-    return F.struct(
-        cat.level.alias("level"), cat.category.alias("category"), idx.alias("pattern_idx"),
-        F.element_at(cat.patterns, idx + 1).alias("pattern"),
-        spot.matched_text.alias("matched_text"), strip(whole).alias("line"),
-        first.alias("line_number"), around.alias("context"), spot.position.alias("position"),
-    )
-
-
 def _search_order() -> list[Column]:
     """Files by type and newest first, then by pattern and place in the file."""
     return [

