@@ -13,6 +13,11 @@ TRUNCATED = "... (truncated)"
 # White space of any script, as a regex class body, and words between it.
 SPACE = r"\s\x1c-\x1f"
 WORD = rf"(?U)[^{SPACE}]+"
+SPACE_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -26,9 +31,8 @@ def sql_text(text: str) -> str:
 
 
 def strip_sql(text: str) -> str:
-    """Remove white space of any kind at both ends (``trim`` only drops blanks)."""
-    ends = sql_text(rf"(?U)^[{SPACE}]+|[{SPACE}]+\z")
-    return f"regexp_replace({text}, {ends}, '')"
+    """Remove white space of any kind at both ends; looks at the ends only."""
+    return f"btrim({text}, {sql_text(SPACE_CHARACTERS)})"
 
 
 def newlines_sql(text: str) -> str:

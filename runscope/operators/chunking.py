@@ -14,7 +14,12 @@ from runscope.catalogs import ANALYSIS_CATALOG, LOG_TYPE_WEIGHT, SCORE_KEYWORDS,
 from runscope.functions.classify import analysis_rank
 from runscope.functions.guard import Guards, low_sql
 from runscope.functions.text import WORD, quote_regex, sql_text
-from runscope.operators.ranking import join_checked, preceding_total, top_n_per_group
+from runscope.operators.ranking import (
+    cut_lineage,
+    join_checked,
+    preceding_total,
+    top_n_per_group,
+)
 
 SCORE_FLAGS = "(?id)"
 LINES_PER_CHUNK = 100
@@ -170,6 +175,24 @@ def pick_files(inventory: DataFrame, max_files: int = 10) -> DataFrame:
     return top_n_per_group(slim, ["cluster_id"], file_order(), max_files, ["file_path"])
 
 
+def with_texts(
+    ranked: DataFrame, contents: DataFrame, lines_per_chunk: int, shown: str = "true"
+) -> DataFrame:
+    """Adds ``content`` to a few ranked chunks, in a second look at their files.
+
+    ``ranked`` holds keys and scores only, so ranking never moves any text.
+    Rows that ``shown`` (SQL) rules out get a null.
+    """
+    placed = cut_lineage(ranked)
+    keys = ["cluster_id", "file_path", "chunk_no"]
+    pieces = split_chunks(contents, lines_per_chunk).select(
+        "cluster_id", "file_path", F.posexplode_outer("texts").alias("chunk_no", "content")
+    ).filter("content IS NOT NULL")
+    texts = join_checked(pieces, placed.filter(shown).select(*keys), keys, "left_semi", placed=True)
+    content = F.when(F.expr(shown), F.col("content")).alias("content")
+    return placed.join(texts, keys, "left").select(*placed.columns, content)
+
+
 def top_chunks(
     contents: DataFrame,
     n: int = 10,
@@ -179,19 +202,20 @@ def top_chunks(
 ) -> DataFrame:
     """The ``n`` chunks of each cluster with the highest score, ties in input order.
 
-    Every file is reduced to its own best ``n`` chunks before the shuffle.
+    Every file is reduced to the keys of its own best ``n`` chunks before the
+    shuffle; their texts are fetched at the end.
     """
     best = (
         "slice(array_sort(transform(chunks, c -> named_struct("
         f"'negative_score', -({score_sql(catalog)}), 'chunk_no', c.chunk_no, "
-        f"'error_indicators', {indicators_sql(catalog)}, 'content', c.content))), 1, {n})"
+        f"'error_indicators', {indicators_sql(catalog)}))), 1, {n})"
     )
     rows = file_chunks(contents, search_query, lines_per_chunk, catalog).select(
         *FILE_COLUMNS, F.expr(f"inline_outer({best})")
     ).filter("chunk_no IS NOT NULL")
     order = [F.col("negative_score"), *file_order(), F.col("chunk_no")]
     ranked = top_n_per_group(rows, ["cluster_id"], order, n, ["file_path"], rank="chunk_rank")
-    return ranked.select(
+    return with_texts(ranked, contents, lines_per_chunk).select(
         "cluster_id", "chunk_rank", "file_path", "file_name", "log_type", "chunk_no", "content",
         (-F.col("negative_score")).alias("priority_score"), "error_indicators",
     )

@@ -21,14 +21,9 @@ from runscope.operators.chunking import (
     indicators_sql,
     pick_files,
     score_sql,
-    split_chunks,
-)
-from runscope.operators.ranking import (
-    cut_lineage,
-    join_checked,
-    top_n_per_group,
-    top_n_with_total,
+    with_texts,
 )
+from runscope.operators.ranking import join_checked, top_n_per_group, top_n_with_total
 from runscope.plans.reports import iterative_report, standard_report
 
 TOKEN_LIMIT = 100_000
@@ -100,19 +95,6 @@ def _groups(files: DataFrame, catalog: Catalog, top: int) -> DataFrame:
     return top_n_with_total(rows, ["cluster_id", "category"], order, limit, "n", ["file_path"])
 
 
-def _with_texts(groups: DataFrame, contents: DataFrame, lines_per_chunk: int) -> DataFrame:
-    """Adds the text of the best chunks, which are few, in a second look at the files."""
-    placed = cut_lineage(groups)
-    keys = ["cluster_id", "file_path", "chunk_no"]
-    shown = placed.filter("category = ''").select(*keys)
-    pieces = split_chunks(contents, lines_per_chunk).select(
-        "cluster_id", "file_path", F.posexplode_outer("texts").alias("chunk_no", "content")
-    ).filter("content IS NOT NULL")
-    texts = join_checked(pieces, shown, keys, "left_semi", placed=True)
-    whole = F.when(F.col("category") == "", F.col("content")).alias("content")
-    return placed.join(texts, keys, "left").select(*placed.columns, whole)
-
-
 def _summaries(groups: DataFrame, catalog: Catalog) -> DataFrame:
     """One row per (cluster, category): count, example files and sort keys."""
     columns = ["rn", "file_path", "file_name", "log_type", "chunk_no", "neg", "error_indicators"]
@@ -162,8 +144,8 @@ def analyze_logs(
 ) -> DataFrame:
     """One row per cluster: summary, ten best chunks, report text and token estimate."""
     files = file_chunks(contents, search_query, lines_per_chunk, catalog)
-    groups = _with_texts(
-        _groups(files, catalog, TOP_CHUNKS), contents, lines_per_chunk
+    groups = with_texts(
+        _groups(files, catalog, TOP_CHUNKS), contents, lines_per_chunk, "category = ''"
     )
     found = _summaries(groups, catalog)
     entry = F.when(F.col("category") != "", F.struct(
@@ -187,17 +169,21 @@ def analyze_logs(
     )
 
 
-def _rounds(files: DataFrame, catalog: Catalog, max_iterations: int) -> DataFrame:
+def _rounds(
+    contents: DataFrame, search_query: str | None, lines_per_chunk: int, catalog: Catalog,
+    max_iterations: int,
+) -> DataFrame:
     """One row per (cluster, round): its chunks in rank order."""
+    files = file_chunks(contents, search_query, lines_per_chunk, catalog)
     plan = [ROUNDS[min(i, len(ROUNDS) - 1)] for i in range(max_iterations)]
     per_round = []
     for number, (categories, keep) in enumerate(plan, start=1):
         per_round.append(
             "transform(slice(array_sort(transform(chunks, c -> named_struct("
             f"'neg', -({score_sql(catalog, categories)}), 'chunk_no', c.chunk_no, "
-            f"'error_indicators', {indicators_sql(catalog, categories)}, 'content', c.content"
+            f"'error_indicators', {indicators_sql(catalog, categories)}"
             f"))), 1, {keep}), c -> named_struct('iteration', {number}, 'neg', c.neg, "
-            "'chunk_no', c.chunk_no, 'error_indicators', c.error_indicators, 'content', c.content))"
+            "'chunk_no', c.chunk_no, 'error_indicators', c.error_indicators))"
         )
     rows = files.select(
         "cluster_id", "file_path", "file_name", "log_type", file_key().alias("file_key"),
@@ -209,7 +195,7 @@ def _rounds(files: DataFrame, catalog: Catalog, max_iterations: int) -> DataFram
     )
     limits = ", ".join(f"{number}, {keep}" for number, (_, keep) in enumerate(plan, start=1))
     kept = best.filter(F.expr(f"rn <= element_at(map({limits}), iteration)"))
-    return kept.groupBy("cluster_id", "iteration").agg(
+    return with_texts(kept, contents, lines_per_chunk).groupBy("cluster_id", "iteration").agg(
         F.array_sort(F.collect_list(F.struct(
             "rn", "iteration", "file_path", "file_name", "log_type", "chunk_no", "content", "neg",
             "error_indicators",
@@ -266,13 +252,12 @@ def analyze_iteratively(
     token budget falls below 1000. Frequencies add up over rounds;
     ``distinct_chunks`` counts each chunk once.
     """
-    files = file_chunks(contents, search_query, lines_per_chunk, catalog)
     sample = (
         f"aggregate(slice(chunks, 1, {SAMPLE_CHUNKS}), 0, "
         f"(x, c) -> x + regexp_count(substring(c.content, 1, {SAMPLE_CHARS}), {sql_text(WORD)})) * 1.3D"
     )
     rounds = (
-        _rounds(files, catalog, max_iterations)
+        _rounds(contents, search_query, lines_per_chunk, catalog, max_iterations)
         .withColumn("errors", F.expr(_round_errors(catalog)))
         .withColumn("estimate", F.expr(sample))
     )

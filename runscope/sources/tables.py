@@ -106,11 +106,15 @@ def event_lines(spark: SparkSession, folder: str) -> DataFrame:
 def event_contents(spark: SparkSession, folder: str) -> DataFrame:
     """``log_contents`` of the event log: lines joined per file, by time.
 
-    The rotation bounds the number of lines that meet in one group.
+    The rotation bounds the number of lines that meet in one group. The number
+    of partitions is the session's, not merged at run time by size: the text
+    work that follows takes far longer per byte than the shuffle.
     """
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "line")))
     files = (
         event_lines(spark, folder)
+        .repartition(partitions, "cluster_id", "file_path")
         .groupBy("cluster_id", "file_path")
         .agg(ordered.alias("l"), F.max("ts").alias("last_modified"))
         .withColumn("content", F.array_join(F.transform("l", lambda x: x.line), "\n"))
