@@ -193,17 +193,16 @@ def with_texts(
     return placed.join(texts, keys, "left").select(*placed.columns, content)
 
 
-def top_chunks(
+def top_chunk_keys(
     contents: DataFrame,
     n: int = 10,
     search_query: str | None = None,
     lines_per_chunk: int = LINES_PER_CHUNK,
     catalog: Catalog = ANALYSIS_CATALOG,
 ) -> DataFrame:
-    """The ``n`` chunks of each cluster with the highest score, ties in input order.
+    """Keys and scores of the ``n`` best chunks of each cluster, without their texts.
 
-    Every file is reduced to the keys of its own best ``n`` chunks before the
-    shuffle; their texts are fetched at the end.
+    Every file is reduced to its own best ``n`` chunks before the shuffle.
     """
     best = (
         "slice(array_sort(transform(chunks, c -> named_struct("
@@ -215,7 +214,19 @@ def top_chunks(
     ).filter("chunk_no IS NOT NULL")
     order = [F.col("negative_score"), *file_order(), F.col("chunk_no")]
     ranked = top_n_per_group(rows, ["cluster_id"], order, n, ["file_path"], rank="chunk_rank")
-    return with_texts(ranked, contents, lines_per_chunk).select(
-        "cluster_id", "chunk_rank", "file_path", "file_name", "log_type", "chunk_no", "content",
+    return ranked.select(
+        "cluster_id", "chunk_rank", "file_path", "file_name", "log_type", "chunk_no",
         (-F.col("negative_score")).alias("priority_score"), "error_indicators",
     )
+
+
+def top_chunks(
+    contents: DataFrame,
+    n: int = 10,
+    search_query: str | None = None,
+    lines_per_chunk: int = LINES_PER_CHUNK,
+    catalog: Catalog = ANALYSIS_CATALOG,
+) -> DataFrame:
+    """The ``n`` chunks of each cluster with the highest score, ties in input order."""
+    keys = top_chunk_keys(contents, n, search_query, lines_per_chunk, catalog)
+    return with_texts(keys, contents, lines_per_chunk)

@@ -5,14 +5,18 @@ import re
 import pytest
 
 from bound_queries import QUERIES
-from runscope.operators import matching
+from runscope.operators import chunking, matching
 from runscope.sources import tables
 
 TEXT_QUERIES = [
     "pattern_matches", "search_error_patterns", "search_leveled", "pattern_counts", "snippet_context",
-    "search_log_pattern", "quick_scan", "smart_analysis", "chunk_split", "chunk_score", "chunk_topk",
-    "error_summary", "analyze_logs", "analyze_iterative", "log_lines_numbered",
+    "search_log_pattern", "quick_scan", "smart_analysis", "chunk_split", "chunk_score",
+    "error_summary", "log_lines_numbered", "top_chunk_keys",
 ]
+# Plans that a query hides behind a checkpoint.
+PARTS = {
+    "top_chunk_keys": lambda spark, folder: chunking.top_chunk_keys(tables.event_contents(spark, folder), 10, None, 5),
+}
 
 
 PLANS: dict[str, str] = {}
@@ -24,7 +28,7 @@ def plan_of(df):
 
 def plan(spark, folder, name):
     if name not in PLANS:
-        PLANS[name] = plan_of(QUERIES[name](spark, folder))
+        PLANS[name] = plan_of((QUERIES | PARTS)[name](spark, folder))
     return PLANS[name]
 
 
@@ -42,13 +46,19 @@ def test_no_filter_repeats_the_text_work(spark, folder, name):
             assert "regexp_extract_all" not in line and "split(" not in line, line[:300]
 
 
-@pytest.mark.parametrize("name", ["search_error_patterns", "search_leveled", "chunk_topk", "job_runs", "failed_runs"])
+@pytest.mark.parametrize("name", ["search_error_patterns", "search_leveled", "top_chunk_keys", "job_runs", "failed_runs"])
 def test_limits_are_applied_before_the_shuffle(spark, folder, name):
     text = plan(spark, folder, name)
     assert text.count("WindowGroupLimit") >= 4
     assert "Partial" in text
 
 
+def test_ranking_chunks_moves_no_text(spark, folder):
+    text = plan(spark, folder, "top_chunk_keys")
+    shuffled = text.split("Exchange hashpartitioning(cluster_id")[0]
+    assert "content" not in shuffled
+
+
 def test_time_range_reaches_the_scan(spark, folder):
     text = plan(spark, folder, "job_runs")
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", text)
