@@ -137,9 +137,9 @@ WITH RECURSIVE w AS (
   SELECT DISTINCT r, array_to_string(ws[i:i + least(len(ws), 5) - 1], ' ') AS g FROM (
     SELECT r, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
 ), n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
-pairs AS (SELECT a.r AS a, b.r AS b, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+pairs AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
 links AS (
-  SELECT a, b FROM pairs JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE both >= 0.8 * (x.n + y.n - both)
+  SELECT a, b FROM pairs JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE c >= 0.8 * (x.n + y.n - c)
 ), reach AS (
   SELECT r AS a, r AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
 ), classes AS (SELECT reach.a AS r, min(w.doc_id) AS class_id FROM reach JOIN w ON w.r = reach.b GROUP BY reach.a)
