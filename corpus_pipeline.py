@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runscope.llm import jaccard_join, packing, quality_rules, toxicity
-from runscope.llm.common import table, without, written
+from runscope.llm.common import table, written
 from runscope.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -36,11 +36,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score lies below the cut, learned from the labels of what came here."""
-    held = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"), F.col("doc_id"), F.col("text"))
     model, weights = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.scores(without(docs, ["score"]) if "score" not in docs.columns else held, model, weights)
-    kept = scored.filter(F.col("score") < toxicity.CUT)
-    return kept.drop("score") if "score" not in docs.columns else kept.select("__row.*")
+    held = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"), "text")
+    return toxicity.scores(held, model, weights).filter(F.col("score") < toxicity.CUT).select("__row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
