@@ -44,7 +44,7 @@ ROOTS = 12           # independent trees
 SKETCH = 64          # minimum hashes a node keeps; deeper choices pick among them
 LIMIT = 2048         # nodes of a path that are compared at once
 DEPTH = 8            # paths are not split beyond; what is left is compared in blocks
-BLOCK = 256          # nodes of a block
+BLOCK = 512          # nodes of a block
 BLOCK_SHINGLES = 1_500_000
 BROADCAST_ROWS = 400_000
 DOCS_A_BATCH = 256
