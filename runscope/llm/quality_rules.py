@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runscope.llm.common import WHITE, without
+from runscope.llm.common import WHITE, without, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -21,6 +21,7 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 HOST_MAX_FAILURE = 0.5   # a host is rejected if its failure rate lies above this ...
 HOST_SIGMAS = 2.0        # ... by so many posterior standard deviations
+BROADCAST_HOSTS = 200_000
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
@@ -116,12 +117,15 @@ def host_verdicts(base: DataFrame, host: str = "source") -> DataFrame:
 def judge(base: DataFrame, hosts: DataFrame, host: str = "source") -> DataFrame:
     """``base`` with ``kept``: the base rules hold and the host is not rejected.
 
-    Only rejected hosts are joined; the engine broadcasts them if their
-    measured size allows and splits a hot host otherwise.
+    Only rejected hosts are joined. They are counted first and broadcast if
+    they are few, so a hot host stays where its rows are; many are joined by a
+    shuffle, where the engine splits a hot host.
     """
-    bad = hosts.filter("host_rejected").select(F.col("host").alias("__host"), F.lit(True).alias("__bad"))
+    bad = written(hosts.filter("host_rejected").select(
+        F.col("host").alias("__host"), F.lit(True).alias("__bad")), "rejected-hosts")
+    few = bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     return (
-        without(base, ["kept"]).join(bad, F.col(host) == F.col("__host"), "left")
+        without(base, ["kept"]).join(F.broadcast(bad) if few else bad, F.col(host) == F.col("__host"), "left")
         .withColumn("kept", ~F.col("base_failed") & F.col("__bad").isNull())
         .drop("__host", "__bad")
     )
