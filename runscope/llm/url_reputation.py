@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runscope.llm.common import written
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Suffixes of two labels under which names are registered; others have one label.
 LONG_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au",
@@ -88,18 +90,19 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, url: str = "url") ->
     """One row per host of ``pages``: labelled pages, bad ones, posterior mean and lower bound.
 
     ``outcomes`` has ``page_id`` and ``bad`` (0 or 1). Levels above the host
-    are sums of host rows, so pages are aggregated once.
+    are sums of host rows, so pages are aggregated once, into a table in the
+    shared folder.
     """
     hit = (
         outcomes.filter("bad is not null and page_id is not null").groupBy("page_id")
         .agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     )
-    hosts = with_levels(
+    hosts = written(with_levels(
         with_host_and_path(pages.select("page_id", url), url).join(hit, "page_id", "left")
         .groupBy("host").agg(F.count("*").alias("pages"),
                              F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
                              F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    )
+    ), "hosts")
     total = lambda df, keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = total(hosts, ["domain", "suffix"])
     suffixes = total(domains, ["suffix"])
