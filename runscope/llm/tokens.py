@@ -13,7 +13,7 @@ import re
 from array import array
 from collections.abc import Callable
 
-PARTS = 300_000        # parts a worker remembers; then it forgets all and starts again
+PARTS = 800_000        # parts a worker remembers; then it forgets all and starts again
 LONGEST_PART = 64      # longer parts are encoded each time
 _WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 # A word of plain Latin letters with marks behind it: two runs for both pre-tokenizers.
