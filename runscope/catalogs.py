@@ -353,120 +353,71 @@ FOCUS_AREAS = {
 
 # Advice shown when a search category has at least one match.
 RECOMMENDATIONS = (
-    ("memory_issues", "Memory pressure: raise executor memory or spread the data over more partitions"),
-    ("spark_errors", "Spark job failure: check the job parameters and the cluster settings"),
-    ("io_errors", "Storage problem: check paths, permissions and the link to the object store"),
+    ("memory_issues", "Memory ran out: find the stage with the largest tasks, split its input further, then size the heap"),
+    ("spark_errors", "A stage or job was aborted: read the first task failure, later ones mostly follow from it"),
+    ("io_errors", "Files could not be read or written: list the named path with the job's own identity"),
 )
 
-# Seven remedies per analysis label.
+# What to do first for the patterns of a label; as many steps as the patterns call for.
 SOLUTIONS: dict[str, tuple[str, ...]] = {
     "Memory Management": (
-        "Give the driver more memory with spark.driver.memory",
-        "Give executors more memory with spark.executor.memory and its overhead setting",
-        "Use more, smaller partitions so that no task holds too much data",
-        "Lower spark.sql.autoBroadcastJoinThreshold if broadcast tables fill the heap",
-        "Cache only what is reused and unpersist it afterwards",
-        "Turn on adaptive execution so that skewed partitions are split",
-        "Look at garbage collection times and try the G1 collector",
+        "Find out whether driver or executor ran out: collected results and broadcasts fill the driver, tasks the executor",
+        "Compare the largest task of the failed stage with the median; a wide gap means skew, not a small heap",
+        "Split the input of that stage into more partitions before raising any memory setting",
+        "For a container killed from outside, raise the memory overhead, because the heap was not what grew",
     ),
     "SQL Analysis": (
-        "List the tables of the database and check that the name exists",
-        "Compare column names and their case with the schema",
-        "Qualify names with catalog and database",
-        "Check that the data types on both sides fit together",
-        "Check the grants on the tables that are read",
-        "Describe the table to see its current schema",
-        "Use full paths for external tables",
+        "Run the failing statement with LIMIT 0 to separate name errors from data errors",
+        "Print the schema of the input that the message names and search it for the missing column",
+        "After a schema change upstream, refresh the table's metadata",
     ),
     "Spark Execution": (
-        "Check that the cluster has free cores and memory",
-        "Look for skewed partitions in the stage that failed",
-        "Turn on adaptive execution to tune shuffles at run time",
-        "Let dynamic allocation add executors under load",
-        "Watch executor losses and replace bad nodes",
-        "Check the network between the driver and the executors",
-        "Review the limits on task retries",
+        "Open the failed stage and read the error of its first failed attempt",
+        "If one partition fails each time, look at its rows; if hosts differ each time, look at the nodes",
+        "After lost executors, check whether they were taken back by the cloud or killed for memory",
+        "Write intermediate results before long stages, so that a retry starts late",
     ),
     "Application Runtime": (
-        "Follow the stack trace to the first frame of your own code",
-        "Handle null values and empty inputs",
-        "Check input data against the expected schema",
-        "Catch and report errors close to where they occur",
-        "Look for endless loops and deep recursion",
-        "Measure resource use and replace slow algorithms",
-        "Validate data before it is processed",
+        "Take the lowest frame of the trace that belongs to your packages and reproduce it with one record",
+        "Count nulls in the fields that this line reads",
     ),
     "File I/O": (
-        "Check the path and the rights on the bucket",
-        "Check the credentials and roles used for storage access",
-        "List the location to see whether the files exist",
-        "Check that the reader fits the file format",
-        "Look for special characters and wrong encodings in paths",
-        "Watch the free disk space of the nodes",
-        "Retry reads and writes that fail for a moment",
+        "Look up when the missing file was last written and which job replaces that folder",
+        "Read the path from a notebook on the same cluster to tell a wrong path from a missing grant",
+        "If files vanish while a job reads them, read a fixed snapshot of the table",
     ),
     "Network": (
-        "Test the connection to the host and port from a node",
-        "Check firewall rules and security groups",
-        "Check that host names resolve",
-        "Raise spark.network.timeout for slow links",
-        "Check the subnets and routes of the cluster",
-        "Look for proxies or gateways in between",
-        "Watch latency and bandwidth over time",
+        "Resolve and reach the named host and port from a worker, not from the driver alone",
+        "For time-outs under load, look at pauses for garbage collection before touching time limits",
+        "Retry calls to outside services with growing waits",
     ),
     "Serialization": (
-        "Keep only serializable objects in closures",
-        "Broadcast large read-only data",
-        "Create clients and connections inside the task",
-        "Prefer plain data classes for values that are shipped",
-        "Review custom serializers",
-        "Look for cycles in object graphs",
-        "Mark fields that must not be shipped as transient",
+        "Find the object named in the message and build it inside the task instead of capturing it",
+        "Copy the few fields a closure needs to local variables, so that it does not carry its whole class",
     ),
     "Configuration": (
-        "Review the Spark settings of the cluster",
-        "Check environment variables and system properties",
-        "Check the class path and installed libraries",
-        "Use library versions that fit the Spark version",
-        "Read the output of the cluster start scripts",
-        "Look for a setting that is given in two places",
-        "Print the effective settings at run time",
+        "Compare the effective settings of a good run with those of this run",
+        "Check for two versions of the class named in the message on the class path",
+        "Restart the cluster after a library change, since running executors keep the old one",
     ),
     "Authentication & Security": (
-        "Renew credentials that have expired",
-        "Check that roles and policies grant what the job needs",
-        "Check tickets and key tables of Kerberos",
-        "Check certificates and trust stores",
-        "Check how tokens are issued and passed on",
-        "Look for tokens that were revoked",
-        "Review network access rules",
+        "Check the expiry of the token or key before anything else",
+        "Ask for the exact action and resource that were refused and grant only these",
+        "For certificate errors, compare clocks and the chain that the server sends",
     ),
     "Database": (
-        "Check that the database can be reached with the given account",
-        "Check the SQL text against the dialect of the database",
-        "Watch the size of the connection pool",
-        "Look for locks and long transactions",
-        "Check the schema and the grants in the database",
-        "Review the indexes used by slow statements",
-        "Set timeouts and retries for connections",
+        "Tell refused connections, refused statements and broken transactions apart by the error code",
+        "Limit the number of partitions that write at once to what the database accepts",
+        "After a deadlock, write rows in the order of their key",
     ),
     "Performance": (
-        "Watch processor, memory and disk use of the cluster",
-        "Compare stage times in the Spark UI",
-        "Turn on adaptive execution",
-        "Store data in a columnar format",
-        "Review how large tables are partitioned",
-        "Cut shuffles and keep data local",
-        "Cache results that are read again and again",
+        "Find the stage that holds most of the time and ask whether it waits, spills or computes",
+        "Filter and select columns before joins, and check that filters reach the scan",
+        "Replace many small input files by fewer large ones",
     ),
     "Critical Keywords": (
-        "Read the whole message and its stack trace",
-        "Check the system logs around that time",
-        "Look for a pattern in when the errors occur",
-        "Add logging and monitoring where it is missing",
-        "List what changed shortly before",
-        "Go back to the last configuration that worked",
-        "Ask the support team if the cause stays unclear",
+        "Read the lines before the first critical one; the cause mostly stands above the symptom",
+        "Check whether other clusters show the same line at the same hour",
     ),
 }
 

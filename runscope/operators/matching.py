@@ -191,7 +191,7 @@ def search_error_patterns(
 def search_by_level(
     contents: DataFrame,
     levels: Sequence[Catalog] = LEVEL_CATALOGS,
-    caps: Sequence[int] = LEVEL_CAPS,
+    caps: Sequence[int | None] = LEVEL_CAPS,
     max_levels: int = 3,
     dedupe: bool = False,
     keep_order: bool = False,
@@ -204,16 +204,17 @@ def search_by_level(
     """
     plan = [
         (number, catalog, cap)
-        for number, (catalog, cap) in enumerate(zip(levels, caps), start=1)
+        for number, (catalog, cap) in enumerate(zip(levels, caps, strict=True), start=1)
     ][:max_levels]
     found = _file_matches(contents, plan)
-    cap = F.lit(plan[0][2])
-    for number, _, size in plan[1:]:
-        cap = F.when(F.col("level") == number, size).otherwise(cap)
+    cap = F.lit(None).cast("int")
+    for number, _, size in plan:
+        cap = F.when(F.col("level") == number, F.lit(size).cast("int")).otherwise(cap)
+    sizes = [size for _, _, size in plan]
     capped = top_n_per_group(
         found, ["cluster_id", "level", "category"], _search_order(),
-        max(size for _, _, size in plan), ["file_path"],
-    ).filter(F.col("rn") <= cap)
+        None if None in sizes else max(sizes), ["file_path"],
+    ).filter(cap.isNull() | (F.col("rn") <= cap))
     per_cluster = F.expr(
         "max(level = 1 AND category = 'critical_errors') OVER (PARTITION BY cluster_id)"
     )
@@ -224,15 +225,15 @@ def search_by_level(
     )
     if dedupe:
         same = ["cluster_id", "file_path", "category", "position", "pattern"]
-        first = kept.groupBy(*same).agg(F.min("level").alias("level"))
-        kept = kept.join(first, [*same, "level"], "left_semi")
+        first = F.expr(f"min(level) OVER (PARTITION BY {', '.join(same)})")
+        kept = kept.withColumn("__first", first).filter("level = __first").drop("__first")
     return kept
 
 
 def level_summary(
     contents: DataFrame,
     levels: Sequence[Catalog] = LEVEL_CATALOGS,
-    caps: Sequence[int] = LEVEL_CAPS,
+    caps: Sequence[int | None] = LEVEL_CAPS,
     max_levels: int = 3,
 ) -> DataFrame:
     """Per cluster and level that ran: categories searched and errors found."""
@@ -245,13 +246,14 @@ def level_summary(
     counts = (
         search_by_level(contents, levels, caps, max_levels)
         .groupBy("cluster_id", F.col("level").alias("iteration"))
-        .agg(F.count("*").alias("errors_found"))
+        .agg(F.count("*").alias("errors_found"),
+             F.max(F.col("category") == "critical_errors").alias("critical"))
     )
     grid = contents.select("cluster_id").distinct().select("cluster_id", F.inline(F.array(*steps)))
     joined = grid.join(counts, ["cluster_id", "iteration"], "left").withColumn(
         "errors_found", F.coalesce("errors_found", F.lit(0))
     )
-    stopped = F.expr("max(iteration = 1 AND errors_found > 0) OVER (PARTITION BY cluster_id)")
+    stopped = F.expr("coalesce(max(iteration = 1 AND critical) OVER (PARTITION BY cluster_id), false)")
     return (
         joined.withColumn("__stop", stopped)
         .filter((F.col("iteration") == 1) | ~F.col("__stop"))

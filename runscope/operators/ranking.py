@@ -16,7 +16,7 @@ def top_n_per_group(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    n: int,
+    n: int | None,
     salt_on: Sequence[str],
     rank: str = "rn",
     salts: int = SALTS,
@@ -26,8 +26,12 @@ def top_n_per_group(
     Rows are ranked inside (group, salt) first and only the survivors meet in
     one task per group, at most ``n * salts`` of them. Spark also drops rows
     beyond ``n`` before each shuffle (WindowGroupLimit). ``order`` must be
-    total, which makes the result independent of the salt.
+    total, which makes the result independent of the salt. ``None`` keeps and
+    numbers all rows, by range partitions instead of one task a group.
     """
+    if n is None:
+        numbered = preceding_total(df.withColumn("__one", F.lit(1)), keys, order, "__one", "__before")
+        return numbered.withColumn(rank, (F.col("__before") + 1).cast("int")).drop("__one", "__before")
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)))
     first = Window.partitionBy(*keys, "__salt").orderBy(*order)
     final = Window.partitionBy(*keys).orderBy(*order)
@@ -84,7 +88,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master.startswith("local-cluster") or not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="runscope-")
         spark.conf.set("spark.checkpoint.dir", folder)

@@ -250,8 +250,10 @@ def analyze_iteratively(
     All rounds are scored from one pass over the text. A cluster whose first
     round shows a critical category stops there; a cluster also stops once its
     token budget falls below 1000. Frequencies add up over rounds;
-    ``distinct_chunks`` counts each chunk once.
+    ``distinct_chunks`` counts each chunk once. Rounds take the categories of
+    highest priority first, whatever the order of the catalog.
     """
+    catalog = tuple(sorted(catalog, key=lambda c: -c.priority))
     sample = (
         f"aggregate(slice(chunks, 1, {SAMPLE_CHUNKS}), 0, "
         f"(x, c) -> x + regexp_count(substring(c.content, 1, {SAMPLE_CHARS}), {sql_text(WORD)})) * 1.3D"
@@ -310,8 +312,8 @@ def analyze_iteratively(
 def analyze_cluster_logs(
     contents: DataFrame,
     search_pattern: str | None = None,
-    max_files: int = 10,
-    max_size_mb: float = MAX_SIZE_MB,
+    max_files: int | None = 10,
+    max_size_mb: float | None = None,
     method: str = "standard",
     lines_per_chunk: int = LINES_PER_CHUNK,
     inventory: DataFrame | None = None,
@@ -319,12 +321,12 @@ def analyze_cluster_logs(
     """Analysis of the ``max_files`` most telling files of every cluster.
 
     The files are chosen on the inventory, without reading any text, before
-    the size cap applies.
+    a size cap applies, if one is given. ``max_files=None`` takes all.
     """
     if method not in ("standard", "iterative"):
         raise ValueError("method must be 'standard' or 'iterative'")
     chosen = pick_files(contents if inventory is None else inventory, max_files)
-    small = contents.filter(F.col("size") <= int(max_size_mb * 1024 * 1024))
+    small = contents if max_size_mb is None else contents.filter(F.col("size") <= int(max_size_mb * 1024 * 1024))
     wanted = join_checked(
         small, chosen.select("cluster_id", "file_path"), ["cluster_id", "file_path"], "left_semi"
     )

@@ -35,17 +35,22 @@ def _place(root: str) -> str:
     return quote_regex(bare.rstrip("/"))
 
 
-def described(raw: DataFrame, root: str, layout: str) -> DataFrame:
-    """Adds the inventory columns from the hidden file metadata."""
+def described(raw: DataFrame, root: str, layout: str, off_layout: bool = False) -> DataFrame:
+    """Adds the inventory columns from the hidden file metadata.
+
+    Paths that do not fit the layout have an empty cluster and are left out
+    unless ``off_layout`` is set.
+    """
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     pattern = _place(root) + "/+" + layout
-    return raw.withColumns({
+    out = raw.withColumns({
         "file_path": path,
         "size": F.col("_metadata.file_size"),
         "last_modified": F.col("_metadata.file_modification_time"),
         "cluster_id": F.regexp_extract(path, pattern, 1),
         "file_name": F.regexp_extract(path, pattern, 2),
-    }).withColumn("log_type", log_type(F.col("file_name"))).filter(F.col("cluster_id") != "")
+    }).withColumn("log_type", log_type(F.col("file_name")))
+    return out if off_layout else out.filter(F.col("cluster_id") != "")
 
 
 def _path(root: str, cluster_id: str | None) -> str:
@@ -54,7 +59,8 @@ def _path(root: str, cluster_id: str | None) -> str:
 
 
 def log_inventory(
-    spark: SparkSession, root: str, cluster_id: str | None = None, layout: str = LAYOUT
+    spark: SparkSession, root: str, cluster_id: str | None = None, layout: str = LAYOUT,
+    off_layout: bool = False,
 ) -> DataFrame:
     """One row per non-empty file, without reading any content.
 
@@ -68,7 +74,7 @@ def log_inventory(
         if err.getCondition() != "PATH_NOT_FOUND" or cluster_id is None:
             raise
         return spark.createDataFrame([], INVENTORY)
-    return described(raw, root, layout).select(
+    return described(raw, root, layout, off_layout).select(
         "cluster_id", "file_path", "file_name", "size", "last_modified", "log_type"
     )
 
@@ -87,25 +93,26 @@ def _whole_texts(spark: SparkSession, root: str, cluster_id: str | None, layout:
 def log_contents(
     spark: SparkSession,
     root: str,
-    max_size_mb: float = READ_MB,
+    max_size_mb: float | None = None,
     log_types: Sequence[str] | None = None,
     cluster_id: str | None = None,
     layout: str = LAYOUT,
 ) -> DataFrame:
     """Whole texts, one row per file; gzip is unpacked by its suffix.
 
-    Files above the cap (stored size) or of other types are not read at all,
-    files that are no valid UTF-8 are left out; see :func:`rejected_files`.
+    Every file is read unless a cap on the stored size or types are given.
+    Files that are left out for the cap, that are no valid UTF-8 or cannot be
+    read are reported by :func:`rejected_files`.
     """
     texts = _whole_texts(spark, root, cluster_id, layout)
     return usable_texts(texts, max_size_mb, log_types)
 
 
 def usable_texts(
-    texts: DataFrame, max_size_mb: float, log_types: Sequence[str] | None = None
+    texts: DataFrame, max_size_mb: float | None, log_types: Sequence[str] | None = None
 ) -> DataFrame:
     """Size cap, type filter, UTF-8 check and newline rule on described whole texts."""
-    wanted = texts.filter(F.col("size") <= int(max_size_mb * MB))
+    wanted = texts if max_size_mb is None else texts.filter(F.col("size") <= int(max_size_mb * MB))
     if log_types:
         wanted = wanted.filter(F.col("log_type").isin(*log_types))
     return wanted.filter(F.is_valid_utf8("value")).select(
@@ -117,19 +124,29 @@ def usable_texts(
 def rejected_files(
     spark: SparkSession,
     root: str,
-    max_size_mb: float = READ_MB,
+    max_size_mb: float | None = None,
     cluster_id: str | None = None,
     layout: str = LAYOUT,
 ) -> DataFrame:
-    """Files that :func:`log_contents` leaves out, with the reason."""
-    cap = int(max_size_mb * MB)
-    large = log_inventory(spark, root, cluster_id, layout).filter(F.col("size") > cap)
-    texts = _whole_texts(spark, root, cluster_id, layout).filter(F.col("size") <= cap)
-    broken = texts.filter(~F.is_valid_utf8("value"))
+    """Files that :func:`log_contents` leaves out, with the reason.
+
+    ``too_large``: above a given cap; ``not_utf8``: bytes that are no UTF-8;
+    ``unreadable``: listed but without a text, such as a cut gzip file;
+    ``off_layout``: a path outside ``layout``, so that its cluster is unknown.
+    """
     columns = ["cluster_id", "file_path", "size"]
-    return large.select(*columns, F.lit("too_large").alias("reason")).unionByName(
-        broken.select(*columns, F.lit("not_utf8").alias("reason"))
-    )
+    listed = log_inventory(spark, root, cluster_id, layout, off_layout=True)
+    placed = listed.filter("cluster_id <> ''")
+    fits = F.lit(True) if max_size_mb is None else F.col("size") <= int(max_size_mb * MB)
+    texts = _whole_texts(spark, root, cluster_id, layout).filter(fits)
+    read = texts.select("file_path", F.is_valid_utf8("value").alias("valid"))
+    checked = placed.filter(fits).join(read, "file_path", "left").filter("valid IS NULL OR NOT valid")
+    reasons = [
+        placed.filter(~fits).select(*columns, F.lit("too_large").alias("reason")),
+        checked.select(*columns, F.when(F.col("valid").isNull(), "unreadable").otherwise("not_utf8").alias("reason")),
+        listed.filter("cluster_id = ''").select(*columns, F.lit("off_layout").alias("reason")),
+    ]
+    return reasons[0].unionByName(reasons[1]).unionByName(reasons[2])
 
 
 def lines_of(contents: DataFrame) -> DataFrame:

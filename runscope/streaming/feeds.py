@@ -16,11 +16,11 @@ from runscope.functions.classify import line_event_time
 from runscope.operators.jobs import is_failed
 from runscope.operators.matching import find_matches
 from runscope.operators.ranking import scratch_path
-from runscope.sources.files import LAYOUT, SEARCH_MB, described, usable_texts
+from runscope.sources.files import LAYOUT, described, usable_texts
 
 
 def stream_log_contents(
-    spark: SparkSession, root: str, max_size_mb: float = SEARCH_MB, layout: str = LAYOUT
+    spark: SparkSession, root: str, max_size_mb: float | None = None, layout: str = LAYOUT
 ) -> DataFrame:
     """New log files under ``root`` as whole texts, with the same rules as the batch reader."""
     raw = spark.readStream.option("recursiveFileLookup", "true").text(root, wholetext=True)

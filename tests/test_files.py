@@ -109,3 +109,16 @@ def test_log_types(spark):
     for r in df.collect():
         assert r.t == names[r.p]
         assert r.u == ("unknown" if r.t == "compressed" else r.t)
+
+
+def test_unreadable_and_misplaced_files_are_reported(spark, tmp_path):
+    (tmp_path / "c1").mkdir()
+    (tmp_path / "c1" / "good.log").write_text("fatal\n")
+    (tmp_path / "c1" / "cut.log.gz").write_bytes(gzip.compress(b"error " * 4000)[:40])
+    (tmp_path / "stray.log").write_text("error\n")
+    root = str(tmp_path)
+    layout = r"(c[0-9]+)/(?:.*/)?([^/]+)$"
+    texts = files.log_contents(spark, root, layout=layout).collect()
+    assert [r.file_name for r in texts] == ["good.log"]
+    found = {r.file_path.rsplit("/", 1)[1]: r.reason for r in files.rejected_files(spark, root, layout=layout).collect()}
+    assert found == {"cut.log.gz": "unreadable", "stray.log": "off_layout"}

@@ -185,3 +185,13 @@ def test_guards_never_hide_a_match(contents_of):
     assert seen == want
     guards = Guards(samples)
     assert 0 < len(guards.stems) < len(samples) / 2
+
+
+def test_caps_may_be_lifted_and_must_fit_the_levels(contents_of):
+    contents = contents_of({f"c1/{i}/stderr": "fatal error\n" * 9 for i in range(4)})
+    free = matching.search_by_level(contents, caps=(None, None, None)).filter("level = 1 AND category = 'critical_errors'")
+    capped = matching.search_by_level(contents, caps=(5, 5, 5)).filter("level = 1 AND category = 'critical_errors'")
+    assert capped.count() == 5
+    assert free.count() >= 36
+    with pytest.raises(ValueError):
+        matching.search_by_level(contents, caps=(5,))

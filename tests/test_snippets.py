@@ -1,40 +1,40 @@
-"""Snippets against a small loop over lines."""
-
-import random
-import re
+"""Snippets against texts written by hand."""
 
 import pytest
 
 from runscope.operators import snippets
 
+STOCK = "load\nError in row 7\nskip\nskip\nerror again\nend"
+
 
-def expected(content, pattern, max_lines, around):
-    lines, out, hits = content.split("\n"), [], 0
-    for i, line in enumerate(lines):
-        if re.search(pattern, line, re.I):
-            hits += 1
-            for j in range(max(i - around, 0), min(i + around + 1, len(lines))):
-                out.append(f"{'>>>' if i == j else '   '} {j + 1:4d}: {lines[j]}")
-            out.append("---")
-    return "\n".join(out[:2 * max_lines]), hits
+def only(contents_of, content, *args):
+    found = snippets.context_snippets(contents_of({"c1/stderr": content}), *args).collect()
+    return [(r.matches, r.lines_matched) for r in found]
 
 
-@pytest.mark.parametrize("pattern,max_lines,around", [
-    ("error", 50, 3), ("error", 2, 1), ("^b", 5, 0), (r"\d$", 3, 5), ("nothing", 5, 5), ("", 4, 1),
+@pytest.mark.parametrize("around,want", [
+    (0, ">>>    2: Error in row 7\n---\n>>>    5: error again\n---"),
+    (1, "       1: load\n>>>    2: Error in row 7\n       3: skip\n---\n"
+        "       4: skip\n>>>    5: error again\n       6: end\n---"),
 ])
-def test_context_snippets(contents_of, pattern, max_lines, around):
-    rng = random.Random(7)
-    words = ["error one", "b two", "c 3", "", "Error é", "long " * 30]
-    files = {
-        f"c{i % 3}/{i}/stderr": "\n".join(rng.choice(words) for _ in range(rng.randint(0, 30)))
-        for i in range(12)
-    }
-    got = {
-        r.file_path: (r.matches, r.lines_matched)
-        for r in snippets.context_snippets(contents_of(files), pattern, max_lines, around).collect()
-    }
-    want = {p: expected(c, pattern, max_lines, around) for p, c in files.items()}
-    assert got == {p: v for p, v in want.items() if v[1]}
+def test_hits_are_marked_inside_their_context(contents_of, around, want):
+    assert only(contents_of, STOCK, "error", 50, around) == [(want, 2)]
+
+
+def test_long_results_are_cut_but_all_hits_count(contents_of):
+    (shown, hits), = only(contents_of, STOCK, "error", 1, 1)
+    assert hits == 2
+    assert shown == "       1: load\n>>>    2: Error in row 7"
+
+
+def test_files_without_hits_give_no_row(contents_of):
+    assert only(contents_of, STOCK, "nothing", 5, 5) == []
+    assert only(contents_of, "", "x", 5, 5) == []
+
+
+def test_empty_pattern_hits_every_line(contents_of):
+    (_, hits), = only(contents_of, STOCK, "", 50, 1)
+    assert hits == 6
 
 
 def test_head_snippets(contents_of):
