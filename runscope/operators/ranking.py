@@ -30,8 +30,8 @@ def top_n_per_group(
     numbers all rows, by range partitions instead of one task a group.
     """
     if n is None:
-        numbered = preceding_total(df.withColumn("__one", F.lit(1)), keys, order, "__one", "__before")
-        return numbered.withColumn(rank, (F.col("__before") + 1).cast("int")).drop("__one", "__before")
+        numbered = preceding_total(df.withColumn("__one", F.lit(1)), keys, order, "__one", "__ahead")
+        return numbered.withColumn(rank, (F.col("__ahead") + 1).cast("int")).drop("__one", "__ahead")
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)))
     first = Window.partitionBy(*keys, "__salt").orderBy(*order)
     final = Window.partitionBy(*keys).orderBy(*order)
