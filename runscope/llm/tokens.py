@@ -78,6 +78,8 @@ def encoder(path: str) -> Callable[[str | None], bytes]:
         if len(memo) > PARTS:
             memo.clear()
         if kind == "drop":
+            if text.isascii() and "<|" not in text:     # the tokenizer lowers letters; marks of special tokens stay
+                text = text.lower()
             return b"".join(map(memo.__getitem__, text.replace("\n", " ").split(" ")))
         if kind == "space" and "\0" not in text and not _RUNS.search(text):
             parts = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
