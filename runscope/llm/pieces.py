@@ -25,7 +25,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,7 +125,7 @@ def forward(lattice: Lattice, words: list[str]):
 
     A node is a position behind a character: word ``w`` has nodes
     ``first[w] + 1 .. first[w] + len``. Edges are sorted by the node they end
-    in; ``upto`` rises by one per node, with steps by conditional probability.
+    in; ``upto`` rises by 2**32 per node, with steps by conditional probability.
     """
     sizes = np.array([len(w) for w in words], np.int64)
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -166,13 +165,16 @@ def forward(lattice: Lattice, words: list[str]):
         chance[own] = share / np.repeat(total, counts)
     order = np.lexsort((start, end))
     start, end, piece, chance = start[order], end[order], piece[order], chance[order]
-    running = np.cumsum(chance)
-    heads = np.flatnonzero(np.r_[True, np.diff(end) != 0]) if len(end) else np.zeros(0, np.int64)
+    heads = np.flatnonzero(np.r_[True, np.diff(end) != 0])
     counts = np.diff(np.r_[heads, len(end)])
-    base = np.repeat(np.r_[0.0, running[heads[1:] - 1]] if len(heads) else [], counts)
-    upto = running - base                          # within a node, up to one
-    upto[heads + counts - 1] = 1.0
-    return begin, sizes, start, end, piece, end + np.minimum(upto, 1.0)
+    nth = np.arange(len(end)) - np.repeat(heads, counts)
+    share = chance.copy()
+    for k in range(1, int(counts.max())):          # sums inside a node do not depend on the rest of the batch
+        at = np.flatnonzero(nth == k)
+        share[at] += share[at - 1]
+    upto = np.minimum(np.ceil(share * 2.0**32), 2.0**32).astype(np.int64)
+    upto[heads + counts - 1] = 1 << 32
+    return begin, sizes, start, end, piece, (end << 32) + upto
 
 
 def sample(lattice: Lattice, texts: list[str | None], keys: list[int | None], seed: int = 0) -> list[np.ndarray]:
@@ -182,9 +184,10 @@ def sample(lattice: Lattice, texts: list[str | None], keys: list[int | None], se
     flat = [w for own in split for w in own]
     if not flat:
         return [np.zeros(0, np.int64) for _ in texts]
-    kind, different = pd.factorize(np.array(flat, dtype=object))
-    begin, sizes, e_start, e_end, e_piece, upto = forward(lattice, list(different))
-    past = np.cumsum(np.bincount(e_end, minlength=int(sizes.sum()) + 1))
+    index: dict[str, int] = {}
+    kind = np.array([index.setdefault(w, len(index)) for w in flat], np.int64)
+    different = list(index)
+    begin, sizes, e_start, _, e_piece, upto = forward(lattice, different)
     # occurrences of words: place in the text and seed of the row
     n_words = np.array([len(own) for own in split], np.int64)
     text_of = np.repeat(np.arange(len(texts)), n_words)
@@ -200,9 +203,7 @@ def sample(lattice: Lattice, texts: list[str | None], keys: list[int | None], se
     words_s, pieces_s, nodes_s = [], [], []
     while len(live):
         draw = _mix(row[live] ^ _mix((offset[live] + node - begin[kind[live]]).astype(np.uint64)))
-        u = (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        edge = np.searchsorted(upto, node + u, side="right")
-        edge = np.minimum(edge, past[node] - 1)     # a draw may round up to the next node
+        edge = np.searchsorted(upto, (node << 32) + (draw >> np.uint64(32)).astype(np.int64), side="right")
         words_s.append(live)
         pieces_s.append(e_piece[edge])
         nodes_s.append(node)
