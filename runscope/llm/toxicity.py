@@ -36,6 +36,8 @@ from runscope.llm.common import held_out, ship, without
 CUT = 0.3
 NOTHING = 0.01            # score of a text without evidence
 TRAIN_ROWS = 20_000       # bound on the labelled documents that the evidence is learned from
+FALSE_FEATURES = 0.01     # largest local false discovery rate of a feature that counts
+PURE = 0.8                # least toxic share of the documents with a feature that counts
 PREFIXES = (3, 4, 5, 6)
 WORDS_KEPT = 200_000      # words a worker remembers
 LONGEST_WORD = 40         # longer runs of characters are read as they are
@@ -237,7 +239,9 @@ def learn(counts: DataFrame, toxic_rows: int, clean_rows: int) -> dict[str, floa
     """
     if not toxic_rows or not clean_rows:
         return {}
-    base = toxic_rows / (toxic_rows + clean_rows)
+    # share of toxic documents among all sightings of features: longer toxic texts raise it
+    seen = counts.agg(F.sum("toxic"), F.sum("clean")).first()
+    base = min(0.45, max(seen[0] / max(seen[0] + seen[1], 1), toxic_rows / (toxic_rows + clean_rows)))
     strong = counts.filter(f"toxic >= 2 and toxic > {2 * base} * (toxic + clean)")
     by_size = counts.select((F.col("toxic") + F.col("clean")).alias("k"))
     # sizes in steps of a sixth: small sizes alone, large ones together
@@ -252,7 +256,7 @@ def learn(counts: DataFrame, toxic_rows: int, clean_rows: int) -> dict[str, floa
         s = k if k <= 12 else math.floor(math.log(k) * 6) + 1000
         found = cells.get((s, round(toxic / k, 1)), 1)
         chance = min(1.0, sizes.get(s, 1) * _tail(toxic, k, base) / max(found, 1))
-        if chance < 0.5:
+        if chance < FALSE_FEATURES and toxic >= PURE * k:
             own = (toxic + base) / (k + 1)
             weight = (1 - chance) * own + chance * base
             if weight > max(2 * base, 0.1):
