@@ -35,9 +35,9 @@ g AS (
 ), hosts AS (
   SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM failed WHERE source IS NOT NULL GROUP BY source
 ), prior AS (
-  SELECT (sum(f) + 1) / (sum(n) + 2) AS m, coalesce(var_pop(f / n), 0) AS v FROM hosts
+  SELECT (sum(f) + 1) / (sum(n) + 2) AS m, coalesce(var_pop(f / n), 0) AS v, count(*) AS hosts FROM hosts
 ), strength AS (
-  SELECT m, CASE WHEN v > 1e-9 THEN greatest(1.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS k FROM prior
+  SELECT m, CASE WHEN hosts < 2 THEN 1.0 WHEN v > 1e-9 THEN greatest(1.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS k FROM prior
 ), verdicts AS (
   SELECT source, (a / t - 2 * sqrt(a * (t - a) / (t * t * (t + 1))) > 0.5) AS rejected
   FROM (SELECT source, f + k * m AS a, n + k AS t FROM hosts, strength)

@@ -87,7 +87,8 @@ def host_verdicts(base: DataFrame, host: str = "source") -> DataFrame:
 
     The prior is a beta distribution whose mean and strength come from the
     spread of the rates of all hosts (method of moments); a host with few
-    documents stays close to the mean of all. The prior is one row.
+    documents stays close to the mean of all. One host alone shows no spread,
+    so its prior weighs no more than one document. The prior is one row.
     """
     hosts = (
         base.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("host"))
@@ -96,9 +97,9 @@ def host_verdicts(base: DataFrame, host: str = "source") -> DataFrame:
     rate = F.col("failed") / F.col("n")
     mean = (F.sum("failed") + 1) / (F.sum("n") + 2)
     spread = F.coalesce(F.var_pop(rate), F.lit(0.0))
-    prior = hosts.agg(mean.alias("prior_mean"), spread.alias("spread")).select(
+    prior = hosts.agg(mean.alias("prior_mean"), spread.alias("spread"), F.count("*").alias("hosts")).select(
         "prior_mean",
-        F.when(F.col("spread") > 1e-9, F.greatest(F.lit(1.0), F.least(
+        F.when(F.col("hosts") < 2, 1.0).when(F.col("spread") > 1e-9, F.greatest(F.lit(1.0), F.least(
             F.lit(1000.0), F.col("prior_mean") * (1 - F.col("prior_mean")) / F.col("spread") - 1)))
         .otherwise(1000.0).alias("prior_n"),
     )
