@@ -10,8 +10,10 @@ Evidence is learned from labels outside the held-out fold: words and beginnings
 of words, each counted once a document. For each pair of counts (toxic, clean)
 the expected number of features by chance is compared with the number found,
 which gives a local false discovery rate; a feature's weight mixes its shrunken
-toxic share with the base rate by that. A document scores its strongest
-feature. Only text enters a score.
+toxic share with the base rate by that. Words that merely stand in the same
+(often copied) toxic documents would pass too, so features must also explain
+toxic documents that stronger features leave unexplained. A document scores its
+strongest feature. Only text enters a score.
 
 Defined results: a null or empty text scores ``NOTHING``; ids that are null
 belong to no fold and carry no label; several labels of a document count as
@@ -31,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runscope.llm.common import held_out, ship, without
+from runscope.llm.common import held_out, ship, without, written
 
 CUT = 0.3
 NOTHING = 0.01            # score of a text without evidence
 TRAIN_ROWS = 20_000       # bound on the labelled documents that the evidence is learned from
 FALSE_FEATURES = 0.01     # largest local false discovery rate of a feature that counts
 PURE = 0.8                # least toxic share of the documents with a feature that counts
+RELATED_PURE = 0.95       # the same for longer or shorter forms of a feature that explains documents
+LEAST_NEW = 2             # toxic documents a feature has to explain beyond those before it
 PREFIXES = (3, 4, 5, 6)
 WORDS_KEPT = 200_000      # words a worker remembers
 LONGEST_WORD = 40         # longer runs of characters are read as they are
@@ -264,6 +268,71 @@ def learn(counts: DataFrame, toxic_rows: int, clean_rows: int) -> dict[str, floa
     return weights
 
 
+def incidence(train: DataFrame, model: np.ndarray, weights: dict[str, float]) -> DataFrame:
+    """``seen, toxic, n``: sets of weighted features in training documents, equal ones counted together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lambda word: [f for f in features(word) if f in weights]
+        memo = _Memo(lambda token: own(restored(token, model)))
+        for big in batches:
+            for at in range(0, big.num_rows, DOCS_A_BATCH):
+                batch = big.slice(at, DOCS_A_BATCH)
+                found = []
+                for text in batch.column(0).to_pylist():
+                    lower = (text or "").lower()
+                    seen = {f for token in set(lower.split()) for f in memo[token]}
+                    seen.update(f for w in spaced_words(lower, model) for f in own(w))
+                    found.append(sorted(seen))
+                memo.trim()
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)],
+                                                 ["seen", "toxic"])
+
+    return train.mapInArrow(run, "seen array<string>, toxic int").filter("size(seen) > 0").groupBy(
+        "seen", "toxic").agg(F.count("*").alias("n"))
+
+
+def explaining(sets: list[tuple[list[str], int, int]], weights: dict[str, float]) -> dict[str, float]:
+    """The weights of features that explain toxic documents beyond stronger ones, and of their pure forms.
+
+    Features are chosen one by one: the one with most toxic documents not yet
+    explained, each clean document costing as many as ``PURE`` allows for. Ties
+    go to the longer, then the smaller feature. ``sets`` holds the features of
+    the training documents, so its size is bounded by ``TRAIN_ROWS``.
+    """
+    where: dict[str, list[int]] = {}
+    clean: dict[str, int] = {}
+    for k, (seen, toxic, n) in enumerate(sets):
+        for f in seen:
+            if toxic:
+                where.setdefault(f, []).append(k)
+            else:
+                clean[f] = clean.get(f, 0) + n
+    cost = PURE / (1 - PURE)
+    new = {f: sum(sets[k][2] for k in own) for f, own in where.items()}
+    total = dict(new)
+    explained: set[int] = set()
+    chosen: list[str] = []
+    while new:
+        best = min(new, key=lambda f: (cost * clean.get(f, 0) - new[f], -len(f.rstrip("*")), f))
+        if new[best] < max(LEAST_NEW, cost * clean.get(best, 0)):
+            break
+        chosen.append(best)
+        for k in where[best]:
+            if k not in explained:
+                explained.add(k)
+                for f in sets[k][0]:
+                    if f in new:
+                        new[f] -= sets[k][2]
+        new = {f: n for f, n in new.items() if n >= LEAST_NEW and f != best}
+    stems = [c.rstrip("*") for c in chosen]
+    kept = set(chosen)
+    for f in weights:
+        form = f.rstrip("*")
+        if (len(form) > PREFIXES[0] and total.get(f, 0) >= RELATED_PURE * (total.get(f, 0) + clean.get(f, 0))
+                and any(s.startswith(form) or (len(s) > PREFIXES[0] and form.startswith(s)) for s in stems)):
+            kept.add(f)
+    return {f: w for f, w in weights.items() if f in kept}
+
+
 def _tail(toxic: int, k: int, base: float) -> float:
     """Chance of at least ``toxic`` among ``k`` at the base rate (bounded by its Chernoff form for large ``k``)."""
     if k <= 60:
@@ -324,13 +393,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict[str, float]]:
     """Character model of the corpus and evidence of the labels."""
     model = character_model(docs, text)
-    train = training_rows(docs, labels, doc_id, text, rows)
+    train = written(training_rows(docs, labels, doc_id, text, rows), "training")
     counted = feature_counts(train, model).persist()
     sides = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     toxic = sum(n for k, n in sides.items() if k)
     weights = learn(counted, toxic, sum(sides.values()) - toxic)
     counted.unpersist()
-    return model, weights
+    sets = [(r["seen"], r["toxic"], r["n"]) for r in incidence(train, model, weights).toLocalIterator()]
+    return model, explaining(sets, weights)
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
