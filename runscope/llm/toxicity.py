@@ -12,8 +12,9 @@ the expected number of features by chance is compared with the number found,
 which gives a local false discovery rate; a feature's weight mixes its shrunken
 toxic share with the base rate by that. Words that merely stand in the same
 (often copied) toxic documents would pass too, so features must also explain
-toxic documents that stronger features leave unexplained. A document scores its
-strongest feature. Only text enters a score.
+toxic documents that stronger features leave unexplained, or keep as varied a
+company of explaining features as unrelated toxic documents do. A document
+scores its strongest feature. Only text enters a score.
 
 Defined results: a null or empty text scores ``NOTHING``; ids that are null
 belong to no fold and carry no label; several labels of a document count as
@@ -41,7 +42,9 @@ TRAIN_ROWS = 20_000       # bound on the labelled documents that the evidence is
 FALSE_FEATURES = 0.01     # largest local false discovery rate of a feature that counts
 PURE = 0.8                # least toxic share of the documents with a feature that counts
 RELATED_PURE = 0.95       # the same for longer or shorter forms of a feature that explains documents
-LEAST_NEW = 2             # toxic documents a feature has to explain beyond those before it
+NEW_SHARE = 0.01          # share of toxic documents that a feature has to explain beyond those before it
+SEEN_SHARE = 0.03         # share of toxic documents of a feature that explains none anew, yet counts by its company
+COMPANY = 0.5             # least variety of company of such a feature, as part of what its documents would have by chance
 PREFIXES = (3, 4, 5, 6)
 WORDS_KEPT = 200_000      # words a worker remembers
 LONGEST_WORD = 40         # longer runs of characters are read as they are
@@ -295,9 +298,13 @@ def explaining(sets: list[tuple[list[str], int, int]], weights: dict[str, float]
 
     Features are chosen one by one: the one with most toxic documents not yet
     explained, each clean document costing as many as ``PURE`` allows for. Ties
-    go to the longer, then the smaller feature. ``sets`` holds the features of
-    the training documents, so its size is bounded by ``TRAIN_ROWS``.
+    go to the longer, then the smaller feature. A frequent feature whose
+    documents are all explained counts too if they hold many combinations of
+    chosen features; copies of a document hold one. ``sets`` holds the features
+    of the training documents, so its size is bounded by ``TRAIN_ROWS``.
     """
+    toxic_rows = sum(n for _, toxic, n in sets if toxic)
+    least = max(2.0, NEW_SHARE * toxic_rows)
     where: dict[str, list[int]] = {}
     clean: dict[str, int] = {}
     for k, (seen, toxic, n) in enumerate(sets):
@@ -313,7 +320,7 @@ def explaining(sets: list[tuple[list[str], int, int]], weights: dict[str, float]
     chosen: list[str] = []
     while new:
         best = min(new, key=lambda f: (cost * clean.get(f, 0) - new[f], -len(f.rstrip("*")), f))
-        if new[best] < max(LEAST_NEW, cost * clean.get(best, 0)):
+        if new[best] < max(least, cost * clean.get(best, 0)):
             break
         chosen.append(best)
         for k in where[best]:
@@ -322,7 +329,18 @@ def explaining(sets: list[tuple[list[str], int, int]], weights: dict[str, float]
                 for f in sets[k][0]:
                     if f in new:
                         new[f] -= sets[k][2]
-        new = {f: n for f, n in new.items() if n >= LEAST_NEW and f != best}
+        new = {f: n for f, n in new.items() if n >= least and f != best}
+    first = set(chosen)
+    company = {k: frozenset(first.intersection(seen)) for k, (seen, toxic, _) in enumerate(sets) if toxic}
+    sizes: dict[frozenset[str], int] = {}
+    for k, own in company.items():
+        sizes[own] = sizes.get(own, 0) + sets[k][2]
+    for f, own in sorted(where.items()):
+        m = total[f]
+        if f not in first and m >= max(2.0, SEEN_SHARE * toxic_rows) and m >= RELATED_PURE * (m + clean.get(f, 0)):
+            by_chance = sum(1 - (1 - n / toxic_rows) ** m for n in sizes.values())
+            if len({company[k] for k in own}) >= COMPANY * by_chance:
+                chosen.append(f)
     stems = [c.rstrip("*") for c in chosen]
     kept = set(chosen)
     for f in weights:
