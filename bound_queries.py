@@ -18,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 LINES = 5            # lines per chunk on the short event logs
 DOCUMENT_LINES = 10  # lines per chunk on the documents
+SPREAD = 32          # tasks of heavy text work on documents; the test tables have one row group
 SNIPPET = "exception|failed"
 DOCUMENT_QUERY = "the "
 JOB_PATTERN = "customer#0000.*[05]$"
@@ -141,7 +142,7 @@ def search_error_patterns(spark, folder):
 @query
 def search_custom_patterns(spark, folder):
     found = matching.search_error_patterns(
-        tables.document_contents(spark, folder), tables.DOCUMENT_PATTERNS
+        tables.document_contents(spark, folder, SPREAD), tables.DOCUMENT_PATTERNS
     )
     return flat_matches(found)
 
@@ -299,7 +300,7 @@ def chunk_score(spark, folder):
 @query
 def chunk_score_documents(spark, folder):
     found = chunking.log_chunks(
-        tables.document_contents(spark, folder), DOCUMENT_QUERY, DOCUMENT_LINES
+        tables.document_contents(spark, folder, SPREAD), DOCUMENT_QUERY, DOCUMENT_LINES
     )
     return found.select("cluster_id", "file_path", "chunk_no", "priority_score",
                         joined("error_indicators").alias("error_indicators"))

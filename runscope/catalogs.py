@@ -481,12 +481,20 @@ def valid_patterns(
 ) -> tuple[Catalog, DataFrame]:
     """Split a caller's catalog into usable patterns and ``rejected_patterns``.
 
-    Each regex is tried once, on the driver, against an empty literal; a bad
-    one would otherwise fail the job at run time. Category names survive even
-    when all of their patterns are rejected.
+    All regexes are tried at once against an empty literal; only if one of them
+    is bad, which would otherwise fail the job at run time, is each tried alone.
+    Category names survive even when all of their patterns are rejected.
     """
+    catalog = as_catalog(patterns)
+    schema = "category STRING, pattern_idx INT, pattern STRING, reason STRING"
+    every = [F.lit("").rlike(p) for cat in catalog for p in cat.patterns]
+    try:
+        spark.range(1).select(F.array(*every)).collect()
+        return catalog, spark.createDataFrame([], schema)
+    except PySparkException:
+        pass  # the search for the bad ones follows
     kept, rejected = [], []
-    for cat in as_catalog(patterns):
+    for cat in catalog:
         good = []
         for idx, pattern in enumerate(cat.patterns):
             try:
@@ -496,7 +504,6 @@ def valid_patterns(
                 reason = str(err).splitlines()[0] if str(err) else "invalid regex"
                 rejected.append((cat.name, idx, pattern, reason))
         kept.append(Category(cat.name, tuple(good), cat.severity, cat.label, cat.priority))
-    schema = "category STRING, pattern_idx INT, pattern STRING, reason STRING"
     return tuple(kept), spark.createDataFrame(rejected, schema)
 
 

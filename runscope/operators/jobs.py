@@ -101,8 +101,20 @@ def failed_runs(
 
     The limit applies before the failure filter; ``None`` looks at all runs.
     """
-    latest = _named_runs(jobs, runs, name_pattern, look_back(as_of, hours_back), limit)
-    return latest.filter(is_failed()).orderBy(F.col("start_time").desc_nulls_last(), "run_id")
+    found = failed_run_rows(jobs, runs, as_of, name_pattern, hours_back, limit)
+    return found.orderBy(F.col("start_time").desc_nulls_last(), "run_id")
+
+
+def failed_run_rows(
+    jobs: DataFrame,
+    runs: DataFrame,
+    as_of: str,
+    name_pattern: str | None = None,
+    hours_back: float = DEFAULT_HOURS,
+    limit: int | None = 20,
+) -> DataFrame:
+    """The rows of :func:`failed_runs` in no order, for operators that go on with them."""
+    return _named_runs(jobs, runs, name_pattern, look_back(as_of, hours_back), limit).filter(is_failed())
 
 
 def execution_timeline(

@@ -16,7 +16,7 @@ from runscope.catalogs import (
 )
 from runscope.functions.classify import error_kind
 from runscope.functions.text import sql_text
-from runscope.operators.jobs import failed_runs, run_clusters
+from runscope.operators.jobs import failed_run_rows, run_clusters
 from runscope.operators.matching import pattern_counts, search_by_level, search_error_patterns
 from runscope.operators.ranking import cut_lineage, join_checked
 
@@ -139,15 +139,18 @@ def failure_diagnosis(
     name_pattern: str | None = None,
     hours_back: float = 24,
     focus_areas: Sequence[str] | None = None,
+    limit: int | None = 20,
 ) -> DataFrame:
     """Failed runs, the clusters they used, and what the logs of those clusters show.
 
     One row per (run, cluster, category with critical or high matches). Only
     the logs of affected clusters are searched, and each cluster is reduced to
-    a few findings before it meets the runs again.
+    a few findings before it meets the runs again. ``limit`` is that of
+    :func:`runscope.operators.jobs.failed_runs`; ``None`` looks at all runs.
     """
-    failed = failed_runs(jobs, runs, as_of, name_pattern, hours_back)
+    found = failed_run_rows(jobs, runs, as_of, name_pattern, hours_back, limit)
     # slim rows that are needed three times below
+    failed = cut_lineage(found.select("run_id", "job_id", "job_name", "start_time", "cluster_id", "state"))
     used = cut_lineage(run_clusters(failed, tasks))
     affected = join_checked(
         contents, used.select("cluster_id").distinct(), ["cluster_id"], "left_semi"
@@ -175,9 +178,14 @@ def common_failure_patterns(
     as_of: str,
     hours_back: float = 24,
     catalog: Catalog = SEARCH_CATALOG,
+    limit: int | None = 20,
 ) -> DataFrame:
-    """How often each pattern occurs in the logs of clusters with recent failures."""
-    failed = failed_runs(jobs, runs, as_of, None, hours_back)
+    """How often each pattern occurs in the logs of clusters with recent failures.
+
+    ``limit`` is that of :func:`runscope.operators.jobs.failed_runs`; ``None`` looks at all runs.
+    """
+    found = failed_run_rows(jobs, runs, as_of, None, hours_back, limit)
+    failed = cut_lineage(found.select("run_id", "cluster_id"))
     hit = run_clusters(failed, tasks).select("cluster_id").distinct()
     affected = join_checked(contents, hit, ["cluster_id"], "left_semi")
     return (

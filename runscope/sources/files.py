@@ -165,9 +165,12 @@ def log_lines(
     Plain files are split into blocks. The rows of a block are numbered in
     order by the engine, so a line's number is its place in the block plus the
     lines of the blocks before it; only per-block counts are aggregated.
-    Gzip files cannot be split and come as one block.
+    Gzip files cannot be split and come as one block. A file that breaks off
+    keeps the lines before the break; :func:`rejected_files` reports it.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").text(_path(root, cluster_id))
+    raw = spark.read.option("recursiveFileLookup", "true").option(
+        "ignoreCorruptFiles", "true"
+    ).option("ignoreMissingFiles", "true").text(_path(root, cluster_id))
     rows = described(raw, root, layout).select(
         "cluster_id", "file_path", F.col("value").alias("line"),
         F.col("_metadata.file_block_start").alias("block"),

@@ -122,9 +122,15 @@ def event_contents(spark: SparkSession, folder: str) -> DataFrame:
     return with_file_columns(files)
 
 
-def document_contents(spark: SparkSession, folder: str) -> DataFrame:
-    """``log_contents`` of the documents: one file per document."""
-    return contents_from_documents(_read(spark, folder, "documents"))
+def document_contents(spark: SparkSession, folder: str, partitions: int | None = None) -> DataFrame:
+    """``log_contents`` of the documents: one file per document.
+
+    A table of one row group is read by one task. Where heavy text work
+    follows, ``partitions`` deals the rows out before it; a table of many
+    splits needs no such shuffle.
+    """
+    documents = _read(spark, folder, "documents").select("doc_id", "source", "text")
+    return contents_from_documents(documents if partitions is None else documents.repartition(partitions))
 
 
 def contents_from_documents(documents: DataFrame) -> DataFrame:

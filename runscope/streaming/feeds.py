@@ -66,12 +66,11 @@ def failed_run_alerts(runs: DataFrame, jobs: DataFrame, delay: str = "1 hour") -
 def error_bursts(lines: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
     """Runs of error lines per cluster that are closer together than ``gap``.
 
-    Expects ``cluster_id`` and a TIMESTAMP column ``event_time``.
+    Expects ``cluster_id`` and a TIMESTAMP column ``event_time``. The sessions of
+    one cluster meet in one task; where a cluster is very busy, set the session's
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` to
+    true, so that they are merged before the shuffle.
     """
-    # sessions of one busy cluster are merged before the shuffle
-    lines.sparkSession.conf.set(
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
-    )
     return (
         lines.withWatermark("event_time", delay)
         .groupBy(F.session_window("event_time", gap).alias("w"), "cluster_id")
