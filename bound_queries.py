@@ -230,7 +230,7 @@ def line_windows(spark, folder):
 def quick_scan(spark, folder):
     found = diagnose.quick_scan(tables.event_contents(spark, folder))
     return found.select(
-        "cluster_id", "critical_errors_found", joined("error_types").alias("error_types"),
+        "cluster_id", "critical_errors_found", "total_errors", joined("error_types").alias("error_types"),
         F.array_join(F.transform("sample_errors", lambda s: F.concat_ws(
             "|", s.file, s.line_number, s.severity, s.line)), "\n").alias("sample_errors"),
         "recommendation",
@@ -566,13 +566,13 @@ def _windows(df: DataFrame) -> DataFrame:
 @query
 def stream_error_windows(spark, folder):
     found = feeds.error_windows(_event_stream_matches(spark, folder), "6 hours")
-    return _windows(feeds.run_available(found, "windows"))
+    return _windows(feeds.run_to_end(found, "windows"))
 
 
 @query
 def stream_error_sliding(spark, folder):
     found = feeds.error_windows(_event_stream_matches(spark, folder), "1 day", "12 hours")
-    return _windows(feeds.run_available(found, "sliding"))
+    return _windows(feeds.run_to_end(found, "sliding"))
 
 
 @query
@@ -584,6 +584,6 @@ def stream_failed_runs(spark, folder):
 
 @query
 def stream_error_sessions(spark, folder):
-    events = feeds.stream_table(spark, folder, "events").filter("event_type = 'error'")
-    lines = tables.lines_from_events(events).withColumn("event_time", F.col("ts").cast("timestamp"))
-    return _windows(feeds.run_available(feeds.error_bursts(lines, "6 hours"), "bursts"))
+    matches = _event_stream_matches(spark, folder).withColumn(
+        "event_time", classify.line_event_time(F.col("line")).cast("timestamp")).filter("event_time IS NOT NULL")
+    return _windows(feeds.run_to_end(feeds.error_bursts(matches, "6 hours"), "bursts"))

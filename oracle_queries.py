@@ -454,8 +454,7 @@ slots AS (
   FROM timed, (SELECT unnest(range(0, {size // slide})) AS k))
 SELECT CAST(w AS VARCHAR) AS window_start, CAST(w + INTERVAL {size_hours} HOUR AS VARCHAR) AS window_end,
        category, severity, count(*) AS errors
-FROM slots WHERE w + INTERVAL {size_hours} HOUR <= (SELECT max(t) FROM timed) - INTERVAL 10 MINUTE
-GROUP BY ALL"""
+FROM slots WHERE w IS NOT NULL GROUP BY ALL"""
 
 
 ORACLES: dict[str, str] = {
@@ -505,6 +504,7 @@ ORACLES: dict[str, str] = {
             WHEN contains(lower(line), 'job') AND contains(lower(line), 'failed') THEN 'Job Failures'
             WHEN contains(lower(line), 'analysisexception') THEN 'SQL Errors' ELSE 'Critical Errors' END AS kind FROM capped)
         SELECT cluster_id, count(*) AS critical_errors_found,
+               (SELECT count(*) FROM found f WHERE f.cluster_id = kinds.cluster_id) AS total_errors,
                array_to_string(list_sort(list(DISTINCT kind) FILTER (rn <= 5)), ',') AS error_types,
                string_agg(file || '|' || line_number || '|' || severity || '|' || line, {NL} ORDER BY rn) FILTER (rn <= 3) AS sample_errors,
                {q(diagnose.RERUN_ADVICE)} AS recommendation
@@ -612,12 +612,15 @@ ORACLES: dict[str, str] = {
     "stream_failed_runs": f"""WITH {JOBS}, {RUNS} SELECT run_id, job_id, job_name FROM runs JOIN jobs USING (job_id)
         WHERE coalesce({FAILED}, false)""",
     "stream_error_sessions": f"""WITH {EVENT_LINES},
-        e AS (SELECT cluster_id, ts FROM lines WHERE event_type = 'error'),
+        contents AS (SELECT cluster_id, file_path, file_path AS file_name, ts AS last_modified, 'x' AS log_type, line AS content
+                     FROM lines), {SEARCH},
+        e AS (SELECT cluster_id, CAST("timestamp" AS TIMESTAMP) AS ts, count(*) AS n FROM found
+              WHERE "timestamp" IS NOT NULL GROUP BY ALL),
         marked AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY cluster_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
         numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY cluster_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM marked),
-        bursts AS (SELECT cluster_id, min(ts) AS a, max(ts) + INTERVAL 6 HOUR AS b, count(*) AS errors FROM numbered GROUP BY cluster_id, s)
+        bursts AS (SELECT cluster_id, min(ts) AS a, max(ts) + INTERVAL 6 HOUR AS b, CAST(sum(n) AS BIGINT) AS errors FROM numbered GROUP BY cluster_id, s)
         SELECT cluster_id, substr(CAST(a AS VARCHAR), 1, 19) AS burst_start, substr(CAST(b AS VARCHAR), 1, 19) AS burst_end, errors
-        FROM bursts WHERE b <= (SELECT date_trunc('millisecond', max(ts)) FROM e) - INTERVAL 10 MINUTE""",
+        FROM bursts""",
 }
 
 _WRITTEN = f"""{EVENTS}, written AS (

@@ -32,13 +32,19 @@ def keep_focus(matches: DataFrame, focus_areas: Iterable[str] | None) -> DataFra
 
 
 def quick_scan(contents: DataFrame) -> DataFrame:
-    """Per cluster with a hit: count, kinds of the first five, the first three matches."""
+    """Per cluster with a hit: counts, kinds of the first five, the first three matches.
+
+    ``critical_errors_found`` counts the matches listed, ``QUICK_CAP`` at most;
+    ``total_errors`` counts all of them.
+    """
+    totals = pattern_counts(contents, QUICK_CATALOG).groupBy("cluster_id").agg(
+        F.sum("matches").alias("total_errors"))
     found = search_error_patterns(contents, QUICK_CATALOG, QUICK_CAP, keep_order=True)
     row = F.struct("rn", error_kind(F.col("line")).alias("kind"), "line", "file", "line_number", "severity")
     # ten rows per cluster at most
     grouped = found.groupBy("cluster_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return grouped.select(
-        "cluster_id", F.size("rows").cast("bigint").alias("critical_errors_found"),
+    return grouped.join(totals, "cluster_id").select(
+        "cluster_id", F.size("rows").cast("bigint").alias("critical_errors_found"), "total_errors",
         F.expr("array_sort(array_distinct(transform(slice(rows, 1, 5), r -> r.kind)))").alias("error_types"),
         F.expr("transform(slice(rows, 1, 3), r -> named_struct('file', r.file, 'line', r.line, "
                "'line_number', r.line_number, 'severity', r.severity))").alias("sample_errors"),

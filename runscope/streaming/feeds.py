@@ -86,10 +86,36 @@ def stream_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
+def run_to_end(stream: DataFrame, name: str) -> DataFrame:
+    """Process what is there as a stream that has ended, and return all groups of its aggregation.
+
+    Groups that the watermark would hold open for later rows are part of the
+    result. Each micro-batch writes the groups known by then under its own
+    number, so a repeated batch replaces its own table; the last one counts.
+    """
+    spark = stream.sparkSession
+    place = scratch_path(spark, name)
+    done: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/rows/{number}")
+        done.append(number)
+
+    query = (
+        stream.writeStream.outputMode("complete").foreachBatch(keep)
+        .option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows/{done[-1]}")
+
+
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Process what is there, append it to a parquet table, and return that table.
 
-    Progress and output live in the shared checkpoint folder.
+    Progress and output live in the shared checkpoint folder. Windows that may
+    still receive rows are not part of it; see :func:`run_to_end`.
     """
     spark = stream.sparkSession
     place = scratch_path(spark, name)

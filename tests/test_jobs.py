@@ -160,3 +160,8 @@ def test_focus_areas(contents_of):
     contents = contents_of({"c2/stderr": "connection refused\npermission denied\ninvalid credentials"})
     rows = diagnose.smart_analysis(contents, ["io", "authentication_errors", "no_such_area"]).first()
     assert [b.category for b in rows.error_breakdown] == ["authentication_errors", "io_errors"]
+
+
+def test_quick_scan_counts_beyond_its_cap(contents_of):
+    rows = diagnose.quick_scan(contents_of({"c1/stderr": "FATAL ERROR\n" * 25, "c2/stderr": "all well"})).collect()
+    assert [(r.cluster_id, r.critical_errors_found, r.total_errors) for r in rows] == [("c1", 10, 25)]
