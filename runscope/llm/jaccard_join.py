@@ -5,13 +5,14 @@ holds its runs of five words (a shorter text has one run of all its words).
 Texts with equal sets are one node with a number of copies, so copies never
 meet each other as pairs.
 
-A node walks down trees of chosen shingles: at a tree node, one or two minimum
-hash functions, picked by the path, choose the shingle that names the child.
-Two sets share a child with the probability of their similarity, and one
-choice in four is doubled, so a pair at the threshold keeps about one common
-path per tree at any depth. Paths with at most ``limit`` nodes are compared by
-brute force; larger ones are split again. Runs are repeated over ``ROOTS``
-independent first choices, which sets the recall (see ``miss_probability``).
+A path is a chain of minimum hashes, and two sets share it with the probability
+of their similarity to the power of its length. Nodes that share a path with at
+most ``limit`` nodes are compared by brute force. Nodes of larger paths go on to
+longer chains, in as many runs of hashes of their own as the target recall needs
+at that length (see ``runs_of``); a path of the last length is compared whole in
+blocks, whatever its size. A pair is lost only if it shares no path at a length
+that both of its nodes come to, so the chances of that, summed over the lengths,
+bound the loss at ``1 - recall`` for a pair at the threshold and less above it.
 
 Every pair is compared in one place only, the smallest path that both nodes
 end in, so links are counted once without a list of pairs. Paths are compared
@@ -27,7 +28,9 @@ empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,26 +43,38 @@ from runscope.llm.components import connected_components
 
 WORDS = 5
 THRESHOLD = 0.8
-ROOTS = 12           # independent trees
-SKETCH = 64          # minimum hashes a node keeps; deeper choices pick among them
-LIMIT = 2048         # nodes of a path that are compared at once
-DEPTH = 8            # paths are not split beyond; what is left is compared in blocks
+RECALL = 0.999999    # least chance that a pair at the threshold is compared
+ROOTS = 12           # least number of runs over chains of one hash
+LIMIT = 2048         # nodes of a path beyond which its nodes go on to longer chains
+DEPTH = 3            # longest chain; its paths are all compared, in blocks
 BLOCK = 512          # nodes of a block
 BLOCK_SHINGLES = 1_500_000
 BROADCAST_ROWS = 400_000
 DOCS_A_BATCH = 256
-_RNG = np.random.default_rng(20250101)
-_MULTIPLIERS = _RNG.integers(1, 2**63, SKETCH, dtype=np.uint64) | np.uint64(1)
 _POWER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def miss_probability(similarity: float = THRESHOLD, depth: int = 1, roots: int = ROOTS) -> float:
-    """Chance that a pair of this similarity shares no path of ``depth``."""
-    inner = 0.0
-    for _ in range(depth - 1):
-        one = 1 - similarity * (1 - inner)
-        inner = 0.75 * one + 0.25 * one * one
-    return (1 - similarity * (1 - inner)) ** roots
+    """Chance that a pair of this similarity shares no path of ``depth`` in so many runs."""
+    return (1 - similarity**depth) ** roots
+
+
+def runs_of(level: int, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> int:
+    """Runs over chains of ``level`` hashes: each length may lose an equal part of what the recall leaves."""
+    if not (0 < threshold <= 1 and 0 < recall < 1):
+        raise ValueError("threshold and recall lie between 0 and 1")
+    own = 1 if threshold == 1 else math.ceil(math.log((1 - recall) / depth) / math.log1p(-threshold**level))
+    return max(own, ROOTS if level == 1 else 1)
+
+
+def sketch_size(threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> int:
+    """Minimum hashes a node keeps, so that no two runs of a length share one."""
+    return max(level * runs_of(level, threshold, recall, depth) for level in range(1, depth + 1))
+
+
+@lru_cache
+def _multipliers(hashes: int) -> np.ndarray:
+    return np.random.default_rng(20250101).integers(1, 2**63, hashes, dtype=np.uint64) | np.uint64(1)
 
 
 # ---- sets ----------------------------------------------------------------------
@@ -101,17 +116,18 @@ def set_name(own: np.ndarray) -> bytes:
     return int(first).to_bytes(8, "big") + int(second).to_bytes(8, "big")
 
 
-def _sketch(own: np.ndarray) -> bytes:
-    out = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+def _sketch(own: np.ndarray, hashes: int) -> bytes:
+    out = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(own), 4096):     # products with odd numbers order shingles anew
-        np.minimum(out, (own[at:at + 4096, None] * _MULTIPLIERS).min(axis=0), out=out)
+        np.minimum(out, (own[at:at + 4096, None] * _multipliers(hashes)).min(axis=0), out=out)
     return _mixed(out).astype("<u4").tobytes()
 
 
-def sets_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sets_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hashes: int | None = None) -> DataFrame:
     """``doc_id, row_key, n, node, sketch`` for every row, slim and without texts."""
     schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()),
                         ("node", pa.binary()), ("sketch", pa.binary())])
+    hashes = hashes or sketch_size()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -121,7 +137,7 @@ def sets_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_name(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([_sketch(s) if len(s) else None for s in sets], pa.binary())], schema=schema)
+                    pa.array([_sketch(s, hashes) if len(s) else None for s in sets], pa.binary())], schema=schema)
 
     ship(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(doc_id, text), F.col(text)).mapInArrow(
@@ -136,42 +152,30 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 # ---- paths ---------------------------------------------------------------------
 
 
-def _choice(k: int | Column) -> Column:
-    """The ``k``-th minimum hash of a sketch (4 bytes)."""
-    if isinstance(k, int):
-        return F.substring("sketch", 4 * k + 1, 4)
-    return F.substr(F.col("sketch"), (4 * k + 1).cast("int"), F.lit(4))
-
+def _path(level: int, run: int) -> Column:
+    """The chain of ``level`` minimum hashes of a sketch (4 bytes each) that belongs to a run alone."""
+    own = F.substring("sketch", 4 * level * run + 1, 4 * level)
+    return F.xxhash64(F.lit(level), F.lit(run), own)
 
-def _children(path: str) -> Column:
-    """Paths one level down: one choice by the path, in one of four a second one."""
-    first = F.pmod(F.xxhash64(path, F.lit(1)), F.lit(SKETCH))
-    second = F.pmod(F.xxhash64(path, F.lit(2)), F.lit(SKETCH))
-    one = F.xxhash64(path, first, _choice(first))
-    two = F.xxhash64(path, second, _choice(second))
-    return F.when(F.pmod(F.xxhash64(path, F.lit(3)), F.lit(4)) == 0, F.array_distinct(F.array(one, two))) \
-        .otherwise(F.array(one))
 
+def paths_of(nodes: DataFrame, limit: int = LIMIT, depth: int = DEPTH, *, threshold: float = THRESHOLD,
+             recall: float = RECALL) -> DataFrame:
+    """``path, node, n, copies, members, shingles`` of all final paths with two nodes or more.
 
-def paths_of(nodes: DataFrame, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
-    """``path, node, n, copies, members, shingles`` of all final paths with two nodes or more."""
-    now = nodes.select("node", "n", "copies", F.explode(F.array(*[
-        F.xxhash64(F.lit(r), _choice(r)) for r in range(ROOTS)])).alias("path"))
-    final = None
+    The sketches of ``nodes`` hold ``sketch_size`` hashes for the same threshold, recall and depth.
+    """
+    now, final = nodes, None
     for level in range(1, depth + 1):
-        sizes = now.groupBy("path").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-        shared = written(now.join(sizes.filter("members > 1"), "path"), f"paths-{level}")
+        walked = now.select("node", "n", "copies", F.explode(F.array(*[
+            _path(level, run) for run in range(runs_of(level, threshold, recall, depth))])).alias("path"))
+        sizes = walked.groupBy("path").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+        shared = written(walked.join(sizes.filter("members > 1"), "path"), f"paths-{level}")
         small = shared if level == depth else shared.filter(F.col("members") <= limit)
         final = small if final is None else final.unionByName(small)
-        if level == depth:
-            break
         large = shared.filter(F.col("members") > limit)
-        if large.isEmpty():
+        if level == depth or large.isEmpty():
             break
-        now = (
-            large.select("path", "node").join(nodes, "node")
-            .select("node", "n", "copies", F.explode(_children("path")).alias("path"))
-        )
+        now = nodes.join(large.select("node").distinct(), "node")
     return final
 
 
@@ -311,15 +315,15 @@ def fits_broadcast(keys: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def links_of(docs: DataFrame, nodes: DataFrame, doc_id: str = "doc_id", text: str = "text",
-             threshold: float = THRESHOLD) -> DataFrame:
+             threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``node, other, links``: counts to be summed by node, and edges of spanning forests.
 
     ``nodes`` has ``node, n, copies, sketch, row_key``. First slim rows decide
     which nodes have anything to compare in which pair of blocks; only their
     texts, one row for all copies, are moved.
     """
-    paths = paths_of(nodes)
-    every = paths.groupBy("node").agg(F.collect_list("path").alias("paths"))   # bounded by ROOTS and DEPTH
+    paths = paths_of(nodes, threshold=threshold, recall=recall)
+    every = paths.groupBy("node").agg(F.collect_list("path").alias("paths"))   # bounded by the runs of all lengths
     units = _blocks(paths.join(every, "node"))
     sort = lambda df: df.repartition("unit").sortWithinPartitions("unit", "path")
     slim = units.select("unit", "path", "block", "one_block", "node", "n", "copies", "paths")
@@ -343,7 +347,7 @@ def nodes_of(sets: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                    threshold: float = THRESHOLD) -> DataFrame:
+                    threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``doc_id, row_key, class_id, n_links, keeper`` for every row.
 
     ``class_id`` is the smallest document id that links lead to, ``n_links``
@@ -351,9 +355,9 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     included. ``keeper`` marks the row that stands for its class (all of its
     repeated rows, if the table has any).
     """
-    sets = written(sets_of(docs, doc_id, text), "sets")
+    sets = written(sets_of(docs, doc_id, text, sketch_size(threshold, recall)), "sets")
     nodes = written(nodes_of(sets), "nodes")
-    links = written(links_of(docs, nodes, doc_id, text, threshold), "links")
+    links = written(links_of(docs, nodes, doc_id, text, threshold, recall), "links")
     groups = connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     placed = (
@@ -375,13 +379,13 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                     threshold: float = THRESHOLD) -> DataFrame:
+                     threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row of each class stays; rows without words all stay.
 
     The keys of dropped rows are broadcast if few, else both sides are
     shuffled. Only where a kept row is repeated do its repetitions meet.
     """
-    classes = written(jaccard_classes(docs, doc_id, text, threshold).select("row_key", "keeper"), "classes")
+    classes = written(jaccard_classes(docs, doc_id, text, threshold, recall).select("row_key", "keeper"), "classes")
     dropped = classes.filter("not keeper").select("row_key").distinct()
     keyed = docs.withColumn("__key", row_key(doc_id, text))
     gone = dropped.withColumnRenamed("row_key", "__key")

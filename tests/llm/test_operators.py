@@ -252,6 +252,25 @@ def test_jaccard_join_finds_all_links(spark, monkeypatch, limit, block):
     assert jaccard_join.miss_probability() < 1e-6
 
 
+def test_pairs_at_the_threshold_share_a_path_when_all_paths_are_split(spark):
+    pairs = 1500
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(pairs):      # 36 runs of five words in common, 45 in all: a similarity of 0.8
+        base = [f"p{k}w{i}" for i in range(40)]
+        texts += [" ".join([*base, *(f"x{rng.integers(1 << 40)}" for _ in range(5))]),
+                  " ".join([*base, *(f"y{rng.integers(1 << 40)}" for _ in range(4))])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = jaccard_join.sets_of(df)
+    pair_of = {bytes(r.node): r.doc_id // 2 for r in sets.select("node", "doc_id").collect()}
+    met = {}
+    for r in jaccard_join.paths_of(jaccard_join.nodes_of(sets), limit=1).select("path", "node").collect():
+        met.setdefault((r.path, pair_of[bytes(r.node)]), set()).add(bytes(r.node))
+    assert len({pair for (_, pair), own in met.items() if len(own) == 2}) == pairs
+    for level in range(1, jaccard_join.DEPTH + 1):
+        assert jaccard_join.miss_probability(0.8, level, jaccard_join.runs_of(level)) <= 1e-6 / jaccard_join.DEPTH * 1.001
+
+
 def test_restored_words_and_scores(spark):
     rng = random.Random(6)
     clean = [f"{rng.choice(['the', 'small', 'green', 'river', 'runs', 'idle'])} {rng.choice(['house', 'stone', 'tree'])}" for _ in range(60)]
