@@ -2,9 +2,10 @@
 
 A written word is read as a lattice of characters: digits and signs may stand
 for letters, long repetitions for one or two letters, signs inside a word for
-nothing, and single letters with spaces between for one word. The best path
+nothing, and spaces around single letters for nothing. The best path
 under a character trigram model of the whole corpus (Viterbi) is the restored
-word. Words without such marks have one path only and stay as they are.
+word. Words without such marks have one path only and stay as they are. Signs
+at an edge of a word are read in both ways, as letters and as decoration.
 
 Evidence is learned from labels outside the held-out fold: words and beginnings
 of words, each counted once a document. For each pair of counts (toxic, clean)
@@ -63,7 +64,11 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 _MARKED = re.compile(r"[^\W\d_][0-9@$!|+(€£*#_.\-']+[^\W\d_]|^[0-9@$!|+(€£]{1,2}[^\W\d_]|[^\W\d_][0-9@$][^\W_]*$"
                      r"|([^\W\d_])\1\1")
 _DECOR = re.compile(r"^[\W_]+(?=\w)|[\s#%&*|!?.,;:\"()\[\]{}<>_'-]+$|\${3,}$")
-_SPACED = re.compile(r"(?<!\S)[^\s](?:[ ][^\s]){3,}(?!\S)")
+_EDGES = re.compile(r"^[^\w@$!|+(€£]+(?=.)|[^\w@$!|+(€£]+$")
+_EDGE_LETTERS = re.compile(r"^[@$!|+(€£]+[^\W\d_]|[^\W\d_][!|(]{1,2}$")
+# Short pieces in a row; those that hold a lone letter (or sign for one) may be words with spaces between.
+_SPACED = re.compile(r"(?<!\S)\S{1,4}(?:[ \t\xa0]{1,3}\S{1,4})+(?!\S)")
+_LONE = re.compile(r"(?<!\S)(?:[^\W\d_]|[0-9@$!|+(€£])(?!\S)")
 
 
 def _class_table() -> np.ndarray:
@@ -141,12 +146,14 @@ def _kind(c: str) -> int:
     return _CLASS.get(c, OTHER if c.isalnum() else EDGE)
 
 
-def decode(word: str, model: np.ndarray) -> str:
-    """Best path of the lattice; ties go to the smaller text."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
-    for arcs in [*lattice(word), [(" ", 0.0)]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
+def decode(word: str | list[list[tuple[str, float]]], model: np.ndarray) -> str:
+    """Best path of the lattice of a word, or of a given one; ties go to the first arcs."""
+    arcs_of = lattice(word) if isinstance(word, str) else word
+    # a path is its last letters and the path before, so long lattices take linear time
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
+    for arcs in [*arcs_of, [(" ", 0.0)]]:
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in states.items():
             for letters, cost in arcs:
                 s, x, y = score + cost, a, b
                 for c in letters:
@@ -154,10 +161,14 @@ def decode(word: str, model: np.ndarray) -> str:
                     s += float(model[x, y, z])
                     x, y = y, z
                 old = after.get((x, y))
-                if old is None or (-s, text + letters) < (-old[0], old[1]):
-                    after[x, y] = (s, text + letters)
+                if old is None or s > old[0]:
+                    after[x, y] = (s, (letters, path))
         states = after
-    return min((-s, t) for s, t in states.values())[1].strip()
+    path, out = max(states.values(), key=lambda v: v[0])[1], []
+    while path:
+        out.append(path[0])
+        path = path[1]
+    return "".join(reversed(out)).strip()
 
 
 def restored(token: str, model: np.ndarray) -> str:
@@ -168,13 +179,37 @@ def restored(token: str, model: np.ndarray) -> str:
     return core
 
 
+def readings(token: str, model: np.ndarray) -> list[str]:
+    """The restored token, and the word that signs at its edges spell if they are letters."""
+    core = restored(token, model)
+    edged = _EDGES.sub("", token)
+    if len(edged) > LONGEST_WORD or not _EDGE_LETTERS.search(edged):
+        return [core]
+    arcs = lattice(edged)
+    for k in (0, -1):
+        arcs[k] = [arc for arc in arcs[k] if arc[0]] or arcs[k]
+    spelled = decode(arcs, model)
+    return [core] if spelled == core else [core, spelled]
+
+
 def spaced_words(text: str, model: np.ndarray) -> list[str]:
-    """Words written as single letters with spaces between."""
+    """Words of runs of short pieces, where each written space may stand for nothing.
+
+    A run is decoded whole, however long; a space between longer pieces is less likely to go.
+    """
     out = []
+    if not _LONE.search(text):
+        return out
     for run in _SPACED.findall(text):
-        letters = run.replace(" ", "")
-        if len(letters) <= LONGEST_WORD:
-            out.append(restored(letters, model) if _MARKED.search(letters) else letters)
+        if not _LONE.search(run):
+            continue
+        pieces = run.split()
+        arcs: list[list[tuple[str, float]]] = []
+        for k, piece in enumerate(pieces):
+            if k:
+                arcs.append([("", -1.0 * (min(len(piece), len(pieces[k - 1])) - 1)), (" ", 0.0)])
+            arcs += lattice(piece)
+        out += set(decode(arcs, model).split()).difference(pieces)
     return out
 
 
@@ -208,7 +243,7 @@ def feature_counts(train: DataFrame, model: np.ndarray) -> DataFrame:
     """``feature, toxic, clean``: documents with each feature; features seen in toxic documents only matter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
-        memo = _Memo(lambda token: features(restored(token, model)))
+        memo = _Memo(lambda token: [f for w in readings(token, model) for f in features(w)])
 
         def out() -> pa.RecordBatch:
             rows = [(f, a, b) for f, (a, b) in counts.items()]
@@ -275,7 +310,7 @@ def incidence(train: DataFrame, model: np.ndarray, weights: dict[str, float]) ->
     """``seen, toxic, n``: sets of weighted features in training documents, equal ones counted together."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lambda word: [f for f in features(word) if f in weights]
-        memo = _Memo(lambda token: own(restored(token, model)))
+        memo = _Memo(lambda token: [f for w in readings(token, model) for f in own(w)])
         for big in batches:
             for at in range(0, big.num_rows, DOCS_A_BATCH):
                 batch = big.slice(at, DOCS_A_BATCH)
@@ -388,7 +423,7 @@ def scores(docs: DataFrame, model: np.ndarray, weights: dict[str, float], text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = lambda word: max((weights.get(f, NOTHING) for f in features(word)), default=NOTHING)
-        memo = _Memo(lambda token: weight(restored(token, model)))
+        memo = _Memo(lambda token: max(map(weight, readings(token, model))))
         for big in batches:
             for start in range(0, big.num_rows, DOCS_A_BATCH):
                 batch = big.slice(start, DOCS_A_BATCH)

@@ -287,6 +287,26 @@ def test_restored_words_and_scores(spark):
     assert toxicity.judge(docs.limit(0), labels.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def prose_model(spark):
+    text = "you are a stupid idiot and such a loser said the old man at a small green house he is an asshole too what a day it is"
+    return toxicity.character_model(spark.createDataFrame([(text,)] * 50, "text string"))
+
+
+@pytest.mark.parametrize("text,words", [
+    ("you are a s t u p i d", {"stupid"}), ("s t u p i d i d i o t", {"stupid", "idiot"}), ("such a st u pid man", {"stupid"}),
+    ("t h e o l d m a n s a i d y o u a r e a s t u p i d i d i o t a n d a l o s e r", {"stupid", "idiot", "loser"}),
+    ("h e i s o l d", {"old"}), ("it is a day", set())])
+def test_words_in_spaced_letters(prose_model, text, words):
+    got = set(toxicity.spaced_words(text, prose_model))
+    assert got >= words and (words or not got)
+
+
+def test_signs_at_the_edges_of_words_may_be_letters(prose_model):
+    for token, word in [("$tupid", "stupid"), ("@sshole", "asshole"), ("!diot", "idiot"), ("|oser", "loser"), ("(idiot)", "idiot")]:
+        assert word in toxicity.readings(token, prose_model), token
+
+
 def test_quality_shards_and_urls_stand_hard_rows(spark, docs, empty):
     base = written(quality_rules.with_base_rules(docs).drop("text"), "t-base")
     judged = quality_rules.judge(base, quality_rules.host_verdicts(base))
