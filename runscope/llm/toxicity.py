@@ -14,7 +14,9 @@ which gives a local false discovery rate; a feature's weight mixes its shrunken
 toxic share with the base rate by that. Words that merely stand in the same
 (often copied) toxic documents would pass too, so features must also explain
 toxic documents that stronger features leave unexplained, or keep as varied a
-company of explaining features as unrelated toxic documents do. A document
+company of explaining features as unrelated toxic documents do. Both are counted
+in groups of near copies, against the number of groups that chance would give to
+one of so many features, so a rare word counts at any size of the sample. A document
 scores its strongest feature. Only text enters a score.
 
 Defined results: a null or empty text scores ``NOTHING``; ids that are null
@@ -36,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runscope.llm.common import held_out, ship, without, written
+from runscope.llm.jaccard_join import _sketch, shingle_sets
 
 CUT = 0.3
 NOTHING = 0.01            # score of a text without evidence
@@ -43,9 +46,8 @@ TRAIN_ROWS = 20_000       # bound on the labelled documents that the evidence is
 FALSE_FEATURES = 0.01     # largest local false discovery rate of a feature that counts
 PURE = 0.8                # least toxic share of the documents with a feature that counts
 RELATED_PURE = 0.95       # the same for longer or shorter forms of a feature that explains documents
-NEW_SHARE = 0.01          # share of toxic documents that a feature has to explain beyond those before it
-SEEN_SHARE = 0.03         # share of toxic documents of a feature that explains none anew, yet counts by its company
 COMPANY = 0.5             # least variety of company of such a feature, as part of what its documents would have by chance
+COPY_RUNS, COPY_CHAIN = 12, 3    # a pair of near copies at 0.8 shares a key with a chance of 0.9998
 PREFIXES = (3, 4, 5, 6)
 WORDS_KEPT = 200_000      # words a worker remembers
 LONGEST_WORD = 40         # longer runs of characters are read as they are
@@ -307,39 +309,78 @@ def learn(counts: DataFrame, toxic_rows: int, clean_rows: int) -> dict[str, floa
 
 
 def incidence(train: DataFrame, model: np.ndarray, weights: dict[str, float]) -> DataFrame:
-    """``seen, toxic, n``: sets of weighted features in training documents, equal ones counted together."""
+    """``seen, toxic, bands``: weighted features of training documents, and keys that near copies share."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lambda word: [f for f in features(word) if f in weights]
         memo = _Memo(lambda token: [f for w in readings(token, model) for f in own(w)])
         for big in batches:
             for at in range(0, big.num_rows, DOCS_A_BATCH):
                 batch = big.slice(at, DOCS_A_BATCH)
-                found = []
+                found, bands = [], []
                 for text in batch.column(0).to_pylist():
                     lower = (text or "").lower()
                     seen = {f for token in set(lower.split()) for f in memo[token]}
                     seen.update(f for w in spaced_words(lower, model) for f in own(w))
                     found.append(sorted(seen))
+                    bands.append(copy_keys(text) if seen else [])
                 memo.trim()
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)],
-                                                 ["seen", "toxic"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found, pa.list_(pa.string())), batch.column(1), pa.array(bands, pa.list_(pa.binary()))],
+                    ["seen", "toxic", "bands"])
+
+    return train.mapInArrow(run, "seen array<string>, toxic int, bands array<binary>").filter("size(seen) > 0")
+
+
+def copy_keys(text: str | None) -> list[bytes]:
+    """Keys of a text, of which near copies (0.8 of all runs of five words) share one."""
+    own = shingle_sets([text])[0]
+    if not len(own):
+        return []
+    hashes = np.frombuffer(_sketch(own, COPY_RUNS * COPY_CHAIN), "<u4").reshape(COPY_RUNS, COPY_CHAIN)
+    return [bytes([k]) + row.tobytes() for k, row in enumerate(hashes)]
+
+
+def without_copies(rows: list[tuple[list[str], int, list[bytes]]]) -> list[tuple[list[str], int, int]]:
+    """``(features, toxic, 1)`` for each group of near copies under one label, with the features of all its texts."""
+    root = list(range(len(rows)))
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            k = root[k] = root[root[k]]
+        return k
+
+    first: dict[tuple[int, bytes], int] = {}
+    for k, (_, toxic, bands) in enumerate(rows):
+        for band in bands:
+            a, b = top(first.setdefault((toxic, band), k)), top(k)
+            root[max(a, b)] = min(a, b)
+    merged: dict[int, set[str]] = {}
+    for k, (seen, _, _) in enumerate(rows):
+        merged.setdefault(top(k), set()).update(seen)
+    return [(sorted(seen), rows[k][1], 1) for k, seen in merged.items()]
+
 
-    return train.mapInArrow(run, "seen array<string>, toxic int").filter("size(seen) > 0").groupBy(
-        "seen", "toxic").agg(F.count("*").alias("n"))
+def least_groups(candidates: int, toxic_share: float) -> int:
+    """Toxic groups that none of so many features would have to itself by chance."""
+    if not 0 < toxic_share < 1:
+        return 2
+    return max(2, math.ceil(math.log(FALSE_FEATURES / max(candidates, 1)) / math.log(toxic_share)))
 
 
-def explaining(sets: list[tuple[list[str], int, int]], weights: dict[str, float]) -> dict[str, float]:
+def explaining(sets: list[tuple[list[str], int, int]], weights: dict[str, float],
+               toxic_share: float) -> dict[str, float]:
     """The weights of features that explain toxic documents beyond stronger ones, and of their pure forms.
 
     Features are chosen one by one: the one with most toxic documents not yet
     explained, each clean document costing as many as ``PURE`` allows for. Ties
     go to the longer, then the smaller feature. A frequent feature whose
     documents are all explained counts too if they hold many combinations of
-    chosen features; copies of a document hold one. ``sets`` holds the features
-    of the training documents, so its size is bounded by ``TRAIN_ROWS``.
+    chosen features. Either way it needs ``least_groups``. ``sets`` holds the
+    features of groups of near copies (or of documents, with their number), so
+    its size is bounded by ``TRAIN_ROWS``.
     """
     toxic_rows = sum(n for _, toxic, n in sets if toxic)
-    least = max(2.0, NEW_SHARE * toxic_rows)
+    least = least_groups(len(weights), toxic_share)
     where: dict[str, list[int]] = {}
     clean: dict[str, int] = {}
     for k, (seen, toxic, n) in enumerate(sets):
@@ -372,7 +413,7 @@ def explaining(sets: list[tuple[list[str], int, int]], weights: dict[str, float]
         sizes[own] = sizes.get(own, 0) + sets[k][2]
     for f, own in sorted(where.items()):
         m = total[f]
-        if f not in first and m >= max(2.0, SEEN_SHARE * toxic_rows) and m >= RELATED_PURE * (m + clean.get(f, 0)):
+        if f not in first and m >= least and m >= RELATED_PURE * (m + clean.get(f, 0)):
             by_chance = sum(1 - (1 - n / toxic_rows) ** m for n in sizes.values())
             if len({company[k] for k in own}) >= COMPANY * by_chance:
                 chosen.append(f)
@@ -452,8 +493,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     toxic = sum(n for k, n in sides.items() if k)
     weights = learn(counted, toxic, sum(sides.values()) - toxic)
     counted.unpersist()
-    sets = [(r["seen"], r["toxic"], r["n"]) for r in incidence(train, model, weights).toLocalIterator()]
-    return model, explaining(sets, weights)
+    found = [(r["seen"], r["toxic"], [bytes(b) for b in r["bands"]])
+             for r in incidence(train, model, weights).toLocalIterator()]
+    return model, explaining(without_copies(found), weights, toxic / max(sum(sides.values()), 1))
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",

@@ -307,6 +307,19 @@ def test_signs_at_the_edges_of_words_may_be_letters(prose_model):
         assert word in toxicity.readings(token, prose_model), token
 
 
+def test_rare_words_count_by_evidence_and_near_copies_once():
+    rng = random.Random(9)
+    body = lambda: " ".join(f"b{rng.randrange(10**6)}" for _ in range(60))
+    rows = [(["common"], 1, toxicity.copy_keys(body())) for _ in range(1985)]
+    rows += [(["rare"], 1, toxicity.copy_keys(body())) for _ in range(15)]
+    copied = body()
+    rows += [(["copied"], 1, toxicity.copy_keys(f"{copied} {k}")) for k in range(100)]
+    groups = toxicity.without_copies(rows)
+    assert sum("copied" in seen for seen, _, _ in groups) == 1 and sum("rare" in seen for seen, _, _ in groups) == 15
+    weights = {"common": 0.99, "rare": 0.95, "copied": 0.98}
+    assert set(toxicity.explaining(groups, weights, 0.1)) == {"common", "rare"}
+
+
 def test_quality_shards_and_urls_stand_hard_rows(spark, docs, empty):
     base = written(quality_rules.with_base_rules(docs).drop("text"), "t-base")
     judged = quality_rules.judge(base, quality_rules.host_verdicts(base))
