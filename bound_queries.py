@@ -195,7 +195,7 @@ def search_leveled_distinct(spark, folder):
 
 @query
 def level_summary(spark, folder):
-    return matching.level_summary(tables.event_contents(spark, folder))
+    return matching.level_summary(tables.event_contents(spark, folder)).drop("errors_total")
 
 
 @query
@@ -247,8 +247,9 @@ def flat_findings(df: DataFrame) -> DataFrame:
 
 @query
 def smart_findings(spark, folder):
-    found = matching.search_by_level(tables.event_contents(spark, folder), keep_order=True)
-    return flat_findings(diagnose.critical_findings(found))
+    contents = tables.event_contents(spark, folder)
+    found = matching.search_by_level(contents, keep_order=True)
+    return flat_findings(diagnose.critical_findings(found, matching.level_totals(contents)))
 
 
 @query

@@ -230,13 +230,30 @@ def search_by_level(
     return kept
 
 
+def level_totals(
+    contents: DataFrame, levels: Sequence[Catalog] = LEVEL_CATALOGS, max_levels: int = 3
+) -> DataFrame:
+    """``cluster_id, level, category, matches_total, critical_total, high_total`` without caps.
+
+    Levels stop as in :func:`search_by_level`. Matches are counted where they
+    are found, so a few rows per file move.
+    """
+    plan = [(number, catalog, None) for number, catalog in enumerate(levels, start=1)][:max_levels]
+    counts = _file_matches(contents, plan).groupBy("cluster_id", "level", "category").agg(
+        F.count("*").alias("matches_total"),
+        F.count_if(F.col("severity") == "critical").alias("critical_total"),
+        F.count_if(F.col("severity") == "high").alias("high_total"))
+    stop = F.expr("max(level = 1 AND category = 'critical_errors') OVER (PARTITION BY cluster_id)")
+    return counts.withColumn("__stop", stop).filter((F.col("level") == 1) | ~F.col("__stop")).drop("__stop")
+
+
 def level_summary(
     contents: DataFrame,
     levels: Sequence[Catalog] = LEVEL_CATALOGS,
     caps: Sequence[int | None] = LEVEL_CAPS,
     max_levels: int = 3,
 ) -> DataFrame:
-    """Per cluster and level that ran: categories searched and errors found."""
+    """Per cluster and level that ran: categories searched, errors found under the caps, and all of them."""
     steps = []
     for number, catalog in list(enumerate(levels, start=1))[:max_levels]:
         names = ", ".join(cat.name for cat in catalog)
@@ -250,14 +267,17 @@ def level_summary(
              F.max(F.col("category") == "critical_errors").alias("critical"))
     )
     grid = contents.select("cluster_id").distinct().select("cluster_id", F.inline(F.array(*steps)))
-    joined = grid.join(counts, ["cluster_id", "iteration"], "left").withColumn(
-        "errors_found", F.coalesce("errors_found", F.lit(0))
+    totals = level_totals(contents, levels, max_levels).groupBy(
+        "cluster_id", F.col("level").alias("iteration")).agg(F.sum("matches_total").alias("errors_total"))
+    keys = ["cluster_id", "iteration"]
+    joined = grid.join(counts, keys, "left").join(totals, keys, "left").withColumns(
+        {name: F.coalesce(name, F.lit(0)) for name in ("errors_found", "errors_total")}
     )
     stopped = F.expr("coalesce(max(iteration = 1 AND critical) OVER (PARTITION BY cluster_id), false)")
     return (
         joined.withColumn("__stop", stopped)
         .filter((F.col("iteration") == 1) | ~F.col("__stop"))
-        .select("cluster_id", "iteration", "patterns_used", "categories", "errors_found")
+        .select("cluster_id", "iteration", "patterns_used", "categories", "errors_found", "errors_total")
     )
 
 

@@ -17,7 +17,7 @@ from runscope.catalogs import (
 from runscope.functions.classify import error_kind
 from runscope.functions.text import sql_text
 from runscope.operators.jobs import failed_run_rows, run_clusters
-from runscope.operators.matching import pattern_counts, search_by_level, search_error_patterns
+from runscope.operators.matching import level_totals, pattern_counts, search_by_level, search_error_patterns
 from runscope.operators.ranking import cut_lineage, join_checked
 
 QUICK_CAP = 10
@@ -52,12 +52,14 @@ def quick_scan(contents: DataFrame) -> DataFrame:
     )
 
 
-def _category_stats(matches: DataFrame) -> DataFrame:
+def _category_stats(matches: DataFrame, totals: DataFrame) -> DataFrame:
     """Counts and the first examples per (cluster, category).
 
     Expects the capped, ordered matches of :func:`search_by_level`, so a group
-    holds 120 rows at most.
+    holds 120 rows at most, and the counts of :func:`level_totals`.
     """
+    whole = totals.groupBy("cluster_id", "category").agg(
+        *[F.sum(name).alias(name) for name in ("matches_total", "critical_total", "high_total")])
     critical, high = F.col("severity") == "critical", F.col("severity") == "high"
     row = F.struct("level", "rn", F.struct("file", "line_number", "line", "severity").alias("m"))
     stats = matches.groupBy("cluster_id", "category").agg(
@@ -68,8 +70,8 @@ def _category_stats(matches: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(high, row))).alias("h"),
     )
     worst = F.col("critical_count") > 0
-    return stats.select(
-        "cluster_id", "category", "matches", "deepest", "memory_hits",
+    return stats.join(whole, ["cluster_id", "category"]).select(
+        "cluster_id", "category", "matches", "deepest", "memory_hits", "matches_total", "critical_total", "high_total",
         F.when(worst, "critical").when(F.col("high_count") > 0, "high").alias("severity"),
         F.when(worst, F.col("critical_count")).otherwise(F.col("high_count")).alias("count"),
         F.expr("transform(if(critical_count > 0, slice(c, 1, 3), slice(h, 1, 2)), x -> x.m)")
@@ -77,10 +79,14 @@ def _category_stats(matches: DataFrame) -> DataFrame:
     )
 
 
-def critical_findings(matches: DataFrame) -> DataFrame:
-    """Per (cluster, category): the critical matches if any, else the high ones."""
-    return _category_stats(matches).filter("severity IS NOT NULL").select(
-        "cluster_id", "category", "severity", "count", "examples"
+def critical_findings(matches: DataFrame, totals: DataFrame) -> DataFrame:
+    """Per (cluster, category): the critical matches if any, else the high ones.
+
+    ``count`` counts the capped ``matches``; ``critical_total`` and
+    ``high_total`` are those of ``totals``, without caps.
+    """
+    return _category_stats(matches, totals).filter("severity IS NOT NULL").select(
+        "cluster_id", "category", "severity", "count", "examples", "critical_total", "high_total"
     )
 
 
@@ -107,14 +113,20 @@ def recommendations(matches: DataFrame) -> DataFrame:
 def smart_analysis(
     contents: DataFrame, focus_areas: Sequence[str] | None = None, max_levels: int = 3
 ) -> DataFrame:
-    """One row per cluster with a match: findings, counts, levels used and advice."""
+    """One row per cluster with a match: findings, counts, levels used and advice.
+
+    Columns and fields that end in ``_total`` count all matches, the others those under the caps.
+    """
     found = keep_focus(
         search_by_level(contents, max_levels=max_levels, keep_order=True), focus_areas
     )
-    stats = _category_stats(found).groupBy("cluster_id").agg(
+    totals = keep_focus(level_totals(contents, max_levels=max_levels), focus_areas)
+    stats = _category_stats(found, totals).groupBy("cluster_id").agg(
         F.array_sort(F.collect_list(
-            F.struct("category", "matches", "severity", "count", "examples")
+            F.struct("category", "matches", "severity", "count", "examples",
+                     "matches_total", "critical_total", "high_total")
         )).alias("s"),
+        F.sum("matches_total").alias("errors_total"),
         F.max("memory_hits").alias("memory_hits"), F.sum("matches").alias("total_errors"),
         F.max("deepest").alias("deepest_level"),
     )
@@ -125,12 +137,14 @@ def smart_analysis(
             seen += " OR memory_hits"
         advice.append(f"if({seen}, {sql_text(text)}, NULL)")
     return stats.select(
-        "cluster_id", "total_errors", "deepest_level",
-        F.transform("s", lambda x: F.struct(x.category.alias("category"), x.matches.alias("matches")))
+        "cluster_id", "total_errors", "errors_total", "deepest_level",
+        F.transform("s", lambda x: F.struct(
+            x.category.alias("category"), x.matches.alias("matches"), x.matches_total.alias("matches_total")))
         .alias("error_breakdown"),
         F.transform(F.filter("s", lambda x: x.severity.isNotNull()), lambda x: F.struct(
             x.category.alias("category"), x.severity.alias("severity"), x["count"].alias("count"),
-            x.examples.alias("examples"),
+            x.examples.alias("examples"), x.critical_total.alias("critical_total"),
+            x.high_total.alias("high_total"),
         )).alias("critical_findings"),
         F.expr(f"array_compact(array({', '.join(advice)}))").alias("recommendations"),
     )
@@ -162,7 +176,7 @@ def failure_diagnosis(
         contents, used.select("cluster_id").distinct(), ["cluster_id"], "left_semi"
     )
     matches = keep_focus(search_by_level(affected, keep_order=True), focus_areas)
-    findings = critical_findings(matches)
+    findings = critical_findings(matches, keep_focus(level_totals(affected), focus_areas))
     named = failed.select("run_id", "job_id", "job_name", "start_time", "state.result_state",
                           "state.life_cycle_state")
     advice = "map(" + ", ".join(f"{sql_text(c)}, {sql_text(t)}" for c, t in RECOMMENDATIONS) + ")"
@@ -171,7 +185,8 @@ def failure_diagnosis(
         .withColumn("recommendation", F.try_element_at(F.expr(advice), F.col("category")))
         .select(
             "run_id", "job_id", "job_name", "start_time", "result_state", "life_cycle_state",
-            "cluster_id", "category", "severity", "count", "examples", "recommendation",
+            "cluster_id", "category", "severity", "count", "examples", "critical_total", "high_total",
+            "recommendation",
         )
     )
 

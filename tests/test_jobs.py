@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 
 from runscope.functions import timespan
-from runscope.operators import jobs
+from runscope.operators import jobs, matching
 from runscope.plans import diagnose
 
 NOW = "2024-01-10 00:00:00"
@@ -165,3 +165,16 @@ def test_focus_areas(contents_of):
 def test_quick_scan_counts_beyond_its_cap(contents_of):
     rows = diagnose.quick_scan(contents_of({"c1/stderr": "FATAL ERROR\n" * 25, "c2/stderr": "all well"})).collect()
     assert [(r.cluster_id, r.critical_errors_found, r.total_errors) for r in rows] == [("c1", 10, 25)]
+
+
+def test_totals_count_beyond_the_caps_of_levels(contents_of):
+    contents = contents_of({"c1/stderr": "FATAL ERROR\n" * 200, "c2/stderr": "all well"})
+    totals = matching.level_totals(contents)
+    all_of = sum(r.matches_total for r in totals.collect())
+    assert all_of >= 200
+    row = diagnose.smart_analysis(contents).first()
+    assert row.errors_total == all_of and row.total_errors < row.errors_total
+    found = diagnose.critical_findings(matching.search_by_level(contents, keep_order=True), totals).first()
+    assert (found["count"], found.critical_total) == (20, 200)
+    first = matching.level_summary(contents).filter("cluster_id = 'c1' and iteration = 1").first()
+    assert first.errors_total == all_of
