@@ -5,9 +5,13 @@ Their longest increasing subsequence is fixed, and the gaps between anchors are
 aligned in the same way; gaps without anchors match equal words at their ends.
 Coverage is the share of template words that are matched.
 
-Stretches are found without loss: a stretch with the wanted coverage holds at
-least one of the template's rarest words (so many of them that the rest alone
-would not be enough), so only places around those words are aligned.
+A place is sought in a stretch of text in which no gap between two words of the
+template is longer than the template, or ``GAP`` words; words that the template
+does not have are left out before aligning, so line numbers, markup or a second
+column do not count. A stretch with the wanted coverage holds at least one of the
+template's rarest words (so many of them that the rest alone would not be
+enough), so windows start around those words; a window grows until it holds a
+place or all of its stretch.
 
 Defined results: a null, empty or license-free text gives no row; a license
 that stands in a text several times gives a row for each place, places of one
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 from runscope.llm.common import ship
 
 COVERAGE = 0.8
+GAP = 12
 DOCS_A_BATCH = 512
 WORD = re.compile(r"\w+")
 
@@ -107,6 +112,15 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def _stretches(at: list[int], gap: int) -> Iterator[list[int]]:
+    """Places split where more than ``gap`` words lie between two of them."""
+    start = 0
+    for k in range(1, len(at) + 1):
+        if k == len(at) or at[k] - at[k - 1] > gap + 1:
+            yield at[start:k]
+            start = k
+
+
 def scan(words: list[str], templates: Mapping[str, list[str]], vocabulary: set[str],
          coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
     """``(license, coverage, first word, end word)`` of all places in one text."""
@@ -123,13 +137,32 @@ def scan(words: list[str], templates: Mapping[str, list[str]], vocabulary: set[s
             continue
         rare = sorted(range(m), key=lambda i: (len(places.get(template[i], ())), i))[:m - need + 1]
         slack = max(2, m // 4)
-        windows = sorted({(max(0, p - i - slack), min(len(words), p - i + m + slack))
-                          for i in rare for p in places.get(template[i], ())})
-        found = []
+        windows = {(max(0, p - i - slack), min(len(words), p - i + m + slack))
+                   for i in rare for p in places.get(template[i], ())}
+        found = []      # first close by, so that the shortest place wins
         for start, end in windows:
             pairs = align(words[start:end], template)
             if len(pairs) >= need:
                 found.append((-len(pairs), pairs[-1][0] - pairs[0][0], start + pairs[0][0], start + pairs[-1][0] + 1))
+        for own in _stretches(sorted(k for w in want for k in places.get(w, ())), max(m, GAP)):
+            if len(own) < need:
+                continue
+            kept = [words[k] for k in own]
+            there = Counter(kept)
+            if sum(min(n, there[w]) for w, n in want.items()) < need:
+                continue
+            starts = {k - i for i in rare if template[i] in there for k, w in enumerate(kept) if w == template[i]}
+            for first in starts:
+                slack = max(2, m // 4)
+                while True:
+                    low, high = max(0, first - slack), min(len(own), first + m + slack)
+                    pairs = align(kept[low:high], template)
+                    if len(pairs) >= need:
+                        start, end = own[low + pairs[0][0]], own[low + pairs[-1][0]]
+                        found.append((-len(pairs), end - start, start, end + 1))
+                    if len(pairs) >= need or (low == 0 and high == len(own)):
+                        break
+                    slack *= 2
         taken: list[tuple[int, int]] = []
         for hits, _, start, end in sorted(set(found)):
             at = bisect_left(taken, (start, start))

@@ -184,6 +184,23 @@ def test_licenses(docs, empty):
     assert [b for _, b in licenses.align(text, licenses.words_of(licenses.TEMPLATES["apache-2.0-line"]))] == list(range(8))
 
 
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_scan_finds_what_aligning_the_whole_text_finds(name):
+    split = {k: licenses.words_of(body) for k, body in licenses.TEMPLATES.items()}
+    vocabulary = {w for own in split.values() for w in own}
+    rng = random.Random(12)
+    for most in (0, 1, 5, 10):
+        noise = lambda n: [f"{rng.randrange(10**6)}x" for _ in range(n)]
+        text = noise(30)
+        for w in split[name]:
+            text += [w, *noise(most)]
+        assert len(licenses.align(text, split[name])) == len(split[name])
+        found = [r for r in licenses.scan(text, split, vocabulary) if r[0] == name]
+        assert [(r[1], r[2]) for r in found] == [(1.0, 30)], most
+    words = licenses.words_of("Licensed under the Apache License a b c d e Version 2.0")
+    assert ("apache-2.0-line", 1.0, 0, 13) in licenses.scan(words, split, vocabulary)
+
+
 def test_nearest_equals_brute_force_also_in_the_grid(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(300)]
