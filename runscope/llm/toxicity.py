@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -143,14 +144,26 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+@lru_cache(1 << 14)
 def _kind(c: str) -> int:
     c = c.translate(_ACCENTS)
     return _CLASS.get(c, OTHER if c.isalnum() else EDGE)
 
 
+_LISTS: list[tuple[np.ndarray, list]] = []
+
+
+def _nested(model: np.ndarray) -> list:
+    """The model as lists, which are read faster one by one; the last model is remembered."""
+    if not _LISTS or _LISTS[0][0] is not model:
+        _LISTS[:] = [(model, model.tolist())]
+    return _LISTS[0][1]
+
+
 def decode(word: str | list[list[tuple[str, float]]], model: np.ndarray) -> str:
     """Best path of the lattice of a word, or of a given one; ties go to the first arcs."""
     arcs_of = lattice(word) if isinstance(word, str) else word
+    chance = _nested(model)
     # a path is its last letters and the path before, so long lattices take linear time
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
     for arcs in [*arcs_of, [(" ", 0.0)]]:
@@ -160,7 +173,7 @@ def decode(word: str | list[list[tuple[str, float]]], model: np.ndarray) -> str:
                 s, x, y = score + cost, a, b
                 for c in letters:
                     z = _kind(c)
-                    s += float(model[x, y, z])
+                    s += chance[x][y][z]
                     x, y = y, z
                 old = after.get((x, y))
                 if old is None or s > old[0]:
