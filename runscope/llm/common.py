@@ -40,6 +40,11 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows; it should be a written table."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``df`` without columns that an operator is about to add (any spelling of their case)."""
     clash = {n.lower() for n in names}

@@ -147,10 +147,95 @@ SELECT doc_id, class_id, coalesce(l.n, 0) AS n_links FROM w JOIN classes USING (
 LEFT JOIN (SELECT a AS r, count(*) AS n FROM links GROUP BY a) l USING (r)
 """
 
+TRIE = """
+WITH RECURSIVE crc AS (
+  SELECT c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''),
+      lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]),
+      lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL)
+), said AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS who, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), digests AS (
+  SELECT *, substr(sha256(CAST(strlen(who) AS VARCHAR) || ':' || who || text), 1, 32) AS digest,
+         CAST(strlen(text) AS BIGINT) AS bytes FROM said
+), own AS (
+  SELECT c, list(struct_pack(digest, bytes) ORDER BY turn NULLS FIRST, digest) AS t FROM digests GROUP BY c
+), rebuilt AS (
+  SELECT own.c, list_concat(coalesce(b.t, [])[1:h], own.t[h + 1:]) AS t
+  FROM own JOIN crc USING (c) LEFT JOIN own b ON b.c = own.c - own.c % 5
+), walk AS (
+  SELECT c, t, CAST(0 AS BIGINT) AS depth, '' AS path, CAST(NULL AS VARCHAR) AS above, CAST(0 AS BIGINT) AS bytes FROM rebuilt
+  UNION ALL
+  SELECT c, t, depth + 1, sha256(path || t[depth + 1].digest), path, t[depth + 1].bytes FROM walk WHERE depth < len(t)
+), nodes AS (
+  SELECT depth, path, any_value(above) AS above, any_value(bytes) AS bytes, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(t) = depth), '')) AS ends_sha256
+  FROM walk GROUP BY depth, path
+), kids AS (SELECT above AS path, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
+below AS (
+  SELECT path AS top, path, above, depth FROM nodes
+  UNION ALL
+  SELECT below.above, n.path, parent.above, parent.depth FROM below JOIN nodes n ON n.path = below.path
+  JOIN nodes parent ON parent.path = below.above
+), sums AS (
+  SELECT top AS path, sum((n.n_convs - 1) * n.bytes) AS saved_tokens, count_if(k.path IS NULL) AS n_leaves
+  FROM below JOIN nodes n ON n.path = below.path LEFT JOIN kids k ON k.path = n.path GROUP BY top
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.path = n.above LEFT JOIN kids ON kids.path = n.path JOIN sums ON sums.path = n.path
+"""
+
+
+def _codes(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """Integer k-means, one set of CTEs a round; doubles are exact at the size of these components."""
+    steps = [f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), part AS (
+  SELECT row_number() OVER () AS r, vec_id, label, v, CAST(len(v) // {parts} AS BIGINT) AS w FROM kept
+), x AS MATERIALIZED (
+  SELECT r, vec_id, label, k, v[k * w + 1:(k + 1) * w] AS p FROM part, range({parts}) AS t(k)
+), b0 AS MATERIALIZED (
+  SELECT k, e, p FROM (SELECT k, p, row_number() OVER (PARTITION BY k ORDER BY vec_id NULLS LAST) - 1 AS e FROM x)
+  WHERE e < {entries}
+)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT r, k, arg_min(e, d * {entries} + e) AS e, CAST(min(d) AS BIGINT) AS d FROM (
+    SELECT r, x.k, e, CAST(list_inner_product(x.p, x.p) + list_inner_product(b.p, b.p)
+                           - 2 * list_inner_product(x.p, b.p) AS BIGINT) AS d
+    FROM x JOIN b{n} b ON b.k = x.k) GROUP BY r, k
+)""")
+        if n < rounds:
+            steps.append(f"""b{n + 1} AS MATERIALIZED (
+  SELECT k, e, coalesce(m.p, b.p) AS p FROM b{n} b LEFT JOIN (
+    SELECT k, e, list(floor(s / c) ORDER BY i) AS p FROM (
+      SELECT k, e, i, sum(p[i]) AS s, count(*) AS c FROM x JOIN a{n} USING (r, k), range(1, len(p) + 1) AS t(i)
+      GROUP BY k, e, i) GROUP BY k, e) m USING (k, e)
+)""")
+    n = rounds
+    steps.append(f"""done AS (
+  SELECT r, string_agg(printf('%02x', e), '' ORDER BY k) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{n} GROUP BY r
+), whole AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(p, lambda y: CAST(y AS BIGINT)), ','), ',' ORDER BY k, e))
+         AS codebooks_sha256 FROM b{n}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM part JOIN done USING (r), whole
+""")
+    return ", ".join(steps)
+
+
+CODES = _codes()
+
 ORACLES = {
     "op2_url_reputation": URLS,
     "op4_nearest_neighbours": NEAREST,
     "op5_sharding": SHARDING,
     "op8_jaccard_join": JACCARD,
     "op10_quality_rules": QUALITY,
+    "op11_prefix_trie": TRIE,
+    "op13_vector_codes": CODES,
 }

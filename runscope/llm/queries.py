@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runscope.llm import (
+    histogram_packing,
     jaccard_join,
     licenses,
     packing,
     pieces,
+    prefix_trie,
     quality_rules,
     sharding,
     token_files,
     toxicity,
     url_reputation,
+    vector_codes,
     vector_search,
 )
 from runscope.llm.common import held_out, table, written
@@ -104,6 +107,22 @@ def op10_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *quality_rules.METRICS, "kept")
 
 
+@query
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_packing(spark, sf_dir):
+    found = histogram_packing.packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
