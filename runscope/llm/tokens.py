@@ -16,8 +16,8 @@ from collections.abc import Callable
 PARTS = 800_000        # parts a worker remembers; then it forgets all and starts again
 LONGEST_PART = 64      # longer parts are encoded each time
 _WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-# A word of plain Latin letters with marks behind it: two runs for both pre-tokenizers.
-_WORD_AND_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|]+)")
+# A word of plain Latin letters, perhaps with marks behind it: one or two runs for both pre-tokenizers.
+_WORD_AND_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|]*)")
 _RUNS = re.compile(r"\s\s")
 
 
@@ -41,14 +41,25 @@ def _kind(config: dict) -> str:
     return "whole"
 
 
+def _byte_characters() -> dict[int, str]:
+    """The characters by which byte-level tokenizers name bytes: visible ones stand for themselves."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class _Memo(dict):
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
+    """Ids of parts; ``word`` encodes plain words, ``encode`` everything else."""
+
+    def __init__(self, encode: Callable[[str], bytes], word: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.encode = encode
+        self.encode, self.word = encode, word
 
     def __missing__(self, part: str) -> bytes:
         found = _WORD_AND_MARKS.fullmatch(part)
-        ids = self[found[1]] + self[found[2]] if found else self.encode(part) if part else b""
+        if found:
+            ids = self[found[1]] + self[found[2]] if found[2] else self.word(part)
+        else:
+            ids = self.encode(part) if part else b""
         if len(part) <= LONGEST_PART:
             self[part] = ids
         return ids
@@ -70,7 +81,14 @@ def encoder(path: str) -> Callable[[str | None], bytes]:
     def whole(text: str) -> bytes:
         return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    memo = _Memo(whole)
+    names, model = _byte_characters(), tokenizer.model
+
+    def word(part: str) -> bytes:
+        """A word is a run of its own and in normal form but for case, so the model alone gives its ids."""
+        shown = (part.lower() if kind == "drop" else part).encode().decode("latin-1").translate(names)
+        return array("I", [token.id for token in model.tokenize(shown)]).tobytes()
+
+    memo = _Memo(whole, word)
 
     def encode(text: str | None) -> bytes:
         if not text:
