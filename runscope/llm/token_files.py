@@ -44,17 +44,6 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.ui
 # ---- the code ------------------------------------------------------------------
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of one document's ranks."""
-    ranks = ranks.astype(np.uint32)
-    lengths = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    codes[:len(ranks)] = lengths - 1
-    control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
-    whole = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), whole[np.arange(4) < lengths[:, None]].tobytes()
-
-
 def decode_ranks(control: np.ndarray, data: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Ranks of all documents of a block; ``tokens`` has the count of each."""
     lengths = LENGTHS[control].reshape(-1)
@@ -77,14 +66,33 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, tokens: np.ndarray) -> n
     return out
 
 
+def encode_documents(ranks: np.ndarray, tokens: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data bytes of many documents at once; ``tokens`` has the count of each."""
+    ranks = ranks.astype(np.uint32)
+    lengths = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    slots = -(-tokens // 4) * 4
+    codes = np.zeros(int(slots.sum()), np.uint8)
+    # a document's codes start at a byte border, so all of its places move by what earlier ones leave free
+    moved = np.repeat(np.cumsum(slots - tokens) - (slots - tokens), tokens)
+    codes[np.arange(len(ranks)) + moved] = lengths - 1
+    control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
+    whole = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return control.astype(np.uint8).tobytes(), whole[np.arange(4) < lengths[:, None]].tobytes()
+
+
 def pack_block(docs: list[int | None], ranks: list[np.ndarray]) -> bytes:
-    coded = [encode_ranks(r) for r in ranks]
-    control, data = b"".join(c for c, _ in coded), b"".join(d for _, d in coded)
+    tokens = np.array([len(r) for r in ranks], np.int64)
+    return _block(docs, np.concatenate([np.zeros(0, np.uint32), *ranks]), tokens)
+
+
+def _block(docs: list[int | None], ranks: np.ndarray, tokens: np.ndarray) -> bytes:
+    """A block of documents whose ranks follow each other in ``ranks``."""
+    control, data = encode_documents(ranks, tokens)
     return b"".join((
         MAGIC, struct.pack("<III", len(docs), len(control), len(data)),
         np.array([d or 0 for d in docs], "<i8").tobytes(),
         np.array([d is None for d in docs], np.uint8).tobytes(),
-        np.array([len(r) for r in ranks], "<u4").tobytes(), control, data))
+        tokens.astype("<u4").tobytes(), control, data))
 
 
 def unpack_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -106,45 +114,57 @@ def unpack_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 # ---- writing -------------------------------------------------------------------
 
 
+def id_kind(tokenizer: str, end_id: int = END_ID) -> str:
+    return "<u2" if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
+
+
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID,
               doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids``; ids in 16 bits where the vocabulary allows, else 32."""
-    kind = "<u2" if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    """``doc_id, ids, counts``; ids in 16 bits where the vocabulary allows, else 32.
+
+    The last row of every task has ``counts`` instead of ids: how often the task
+    saw each id, as int64 from id 0 on.
+    """
+    kind = id_kind(tokenizer, end_id)
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         last = np.array([end_id], "<u4").tobytes()
+        total = np.zeros(end_id + 1, np.int64)
         for big in batches:
             for at in range(0, big.num_rows, DOCS_A_BATCH):
                 batch = big.slice(at, DOCS_A_BATCH)
-                ids = [np.frombuffer(encode(t) + last, "<u4").astype(kind)
-                       for t in batch.column(1).to_pylist()]
+                wide = [encode(t) + last for t in batch.column(1).to_pylist()]
+                all_ids = np.frombuffer(b"".join(wide), "<u4")
+                seen = np.bincount(all_ids, minlength=len(total))
+                seen[:len(total)] += total
+                total = seen
+                narrow = memoryview(all_ids.astype(kind).tobytes())
+                ends = np.cumsum([len(x) // 4 for x in wide]) * int(kind[-1])
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([x.tobytes() for x in ids], pa.binary())], schema=schema)
+                    batch.column(0).cast(pa.int64()),
+                    pa.array([bytes(narrow[a:b]) for a, b in zip([0, *ends[:-1]], ends)], pa.binary()),
+                    pa.nulls(len(wide), pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v, t) for v, t in zip(([None], [None], [total.astype("<i8").tobytes()]), schema.types)], schema=schema)
 
     ship(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(
-        run, "doc_id long, n_tokens long, ids binary")
+        run, "doc_id long, ids binary, counts binary")
 
 
-def token_counts(tokens: DataFrame, kind: str) -> DataFrame:
-    """``id, n`` over all documents; every task sends one row per id it has seen."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+def token_counts(tokens: DataFrame) -> DataFrame:
+    """``id, n`` over all documents, from the counts that every task left in its last row."""
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(0)
-            for at in range(0, len(column), DOCS_A_BATCH):
-                own = np.frombuffer(b"".join(column.slice(at, DOCS_A_BATCH).to_pylist()), kind)
-                seen = np.bincount(own)
-                if len(seen) > len(total):
-                    total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
-                total[:len(seen)] += seen
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
+            for counts in batch.column(0):
+                n = np.frombuffer(counts.as_py(), "<i8")
+                found = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], ["id", "n"])
 
-    return tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.filter("counts IS NOT NULL").select("counts").mapInArrow(
+        spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
@@ -155,9 +175,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     driver.
     """
     spark = docs.sparkSession
-    kind = "<u2" if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
+    kind = id_kind(tokenizer, end_id)
     tokens = written(token_ids(docs, tokenizer, end_id), "token-ids")
-    counted = token_counts(tokens, kind).collect()
+    counted = token_counts(tokens).collect()
     counted.sort(key=lambda r: (-r["n"], r["id"]))
     spark.createDataFrame([(r["id"], k, r["n"]) for k, r in enumerate(counted)],
                           "id long, rank long, n long").coalesce(1).write.parquet(f"{path}/ranks")
@@ -172,28 +192,30 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, first = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
-        ranks: list[np.ndarray] = []
-        held = 0
+        held: list[bytes] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
+            ids = np.frombuffer(b"".join(held), kind)
+            tokens = np.array([len(x) for x in held], np.int64) // int(kind[-1])
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(
-                (part, seq, len(names), held, first, pack_block(names, ranks)), schema.types)], schema=schema)
+                (part, seq, len(names), len(ids), first, _block(names, rank_of[ids], tokens)), schema.types)],
+                schema=schema)
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0), batch.column(1)):
-                own = rank_of[np.frombuffer(ids.as_py(), kind)]
-                names.append(doc.as_py())
-                ranks.append(own)
-                held += len(own)
-                if held >= BLOCK_TOKENS:
+            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                names.append(doc)
+                held.append(ids)
+                size += len(ids) // int(kind[-1])
+                if size >= BLOCK_TOKENS:
                     yield flush()
-                    seq, first = seq + 1, first + held
-                    names, ranks, held = [], [], 0
+                    seq, first = seq + 1, first + size
+                    names, held, size = [], [], 0
         if names:
             yield flush()
 
     (
-        tokens.select("doc_id", "ids", F.crc32("ids").alias("__crc"))
+        tokens.filter("ids IS NOT NULL").select("doc_id", "ids", F.crc32("ids").alias("__crc"))
         .repartitionByRange(parts, "doc_id", "__crc").sortWithinPartitions("doc_id", "__crc", "ids")
         .select("doc_id", "ids")
         .mapInArrow(blocks, "part int, seq int, n_docs long, n_tokens long, first long, block binary")
