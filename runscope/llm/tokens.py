@@ -55,8 +55,10 @@ class _Memo(dict):
         self.encode, self.word = encode, word
 
     def __missing__(self, part: str) -> bytes:
-        found = _WORD_AND_MARKS.fullmatch(part)
-        if found:
+        body = part[1:] if part[:1] == " " else part
+        if body.isascii() and body.isalpha():
+            ids = self.word(part)
+        elif found := _WORD_AND_MARKS.fullmatch(part):
             ids = self[found[1]] + self[found[2]] if found[2] else self.word(part)
         else:
             ids = self.encode(part) if part else b""
@@ -82,10 +84,16 @@ def encoder(path: str) -> Callable[[str | None], bytes]:
         return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     names, model = _byte_characters(), tokenizer.model
+    blank = names[ord(" ")]
 
     def word(part: str) -> bytes:
         """A word is a run of its own and in normal form but for case, so the model alone gives its ids."""
-        shown = (part.lower() if kind == "drop" else part).encode().decode("latin-1").translate(names)
+        if kind == "drop":
+            part = part.lower()
+        if part.isascii():                  # letters stand for themselves
+            shown = blank + part[1:] if part[0] == " " else part
+        else:
+            shown = part.encode().decode("latin-1").translate(names)
         return array("I", [token.id for token in model.tokenize(shown)]).tobytes()
 
     memo = _Memo(whole, word)
