@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runscope import catalogs
 from runscope.functions import classify, text, timespan
-from runscope.operators import chunking, jobs, matching, snippets
+from runscope.operators import chunking, jobs, matching, oversize, snippets
 from runscope.plans import analysis, diagnose, reports
 from runscope.sources import files, tables
 from runscope.streaming import feeds
@@ -21,6 +21,7 @@ DOCUMENT_LINES = 10  # lines per chunk on the documents
 SPREAD = 32          # tasks of heavy text work on documents; the test tables have one row group
 SNIPPET = "exception|failed"
 DOCUMENT_QUERY = "the "
+CAP_MB = 700 / files.MB  # size cap of the queries on oversize files; the event logs are short
 JOB_PATTERN = "customer#0000.*[05]$"
 TOKENS = 130
 ITERATIVE_TOKENS = 1200
@@ -114,12 +115,37 @@ def file_lines(spark, folder):
 def file_rejects(spark, folder):
     root = feeds.scratch_path(spark, "caps")
     layout = files.write_contents(tables.event_contents(spark, folder), root)
-    found = files.rejected_files(spark, root, max_size_mb=700 / files.MB, layout=layout)
+    found = files.rejected_files(spark, root, max_size_mb=CAP_MB, layout=layout)
     return found.groupBy("cluster_id", "reason").agg(
         F.count("*").alias("files"), F.sum("size").alias("bytes")
     )
 
 
+def _oversize_lines(spark, folder, name):
+    root = feeds.scratch_path(spark, name)
+    layout = files.write_contents(tables.event_contents(spark, folder), root)
+    return files.oversize_lines(spark, root, CAP_MB, layout=layout)
+
+
+@query
+def file_oversize_matches(spark, folder):
+    blocks = oversize.log_blocks(_oversize_lines(spark, folder, "oversize"), 256, 4, 4)
+    found = matching.find_block_matches(blocks)
+    return found.select(
+        "cluster_id", "file", "category", "pattern_idx", "pattern", "matched_text", "line", "line_number", "context",
+        "timestamp", "position", "severity",
+    )
+
+
+@query
+def file_oversize_chunks(spark, folder):
+    found = oversize.line_chunks(_oversize_lines(spark, folder, "chunks"), "worker handled", LINES)
+    return found.select(
+        "cluster_id", "file_name", "chunk_no", "content", "priority_score",
+        joined("error_indicators").alias("error_indicators"),
+    )
+
+
 # ---- pattern search ----------------------------------------------------------
 
 

@@ -635,3 +635,13 @@ ORACLES["file_lines"] = f"""WITH {_WRITTEN}, ls AS (SELECT cluster_id, file_name
   SELECT cluster_id, file_name, generate_subscripts(l, 1) AS line_number, unnest(l) AS line FROM n"""
 ORACLES["file_rejects"] = f"""WITH {_WRITTEN} SELECT cluster_id, 'too_large' AS reason, count(*) AS files,
   CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM written WHERE strlen(content) > 700 GROUP BY ALL"""
+
+_OVERSIZE = f"""WITH contents AS (WITH {_WRITTEN}
+  SELECT cluster_id, cluster_id || '/' || file_name AS file_path, file_name, strlen(content) AS size,
+         TIMESTAMP '2024-01-01 00:00:00' AS last_modified, {log_type('file_name')} AS log_type, content
+  FROM written WHERE strlen(content) > 700)"""
+ORACLES["file_oversize_matches"] = f"""{_OVERSIZE}, {SEARCH}
+  SELECT cluster_id, file, category, pattern_idx, pattern, matched_text, line, line_number, context, "timestamp",
+         position, severity FROM found"""
+ORACLES["file_oversize_chunks"] = f"""{_OVERSIZE}, {chunks(LINES)} {scored('worker handled')}
+  SELECT cluster_id, file_name, chunk_no, content, s12 AS priority_score, i12 AS error_indicators FROM score"""

@@ -7,6 +7,8 @@ to reduce a file before anything is shuffled; ``log_chunks`` is the flat form.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +100,14 @@ def file_chunks(
     ``hits`` holds the match count of each category, so every later score and
     indicator list comes from one pass over the text.
     """
-    split = split_chunks(contents, lines_per_chunk).withColumn(
+    return scored_texts(split_chunks(contents, lines_per_chunk), search_query, catalog)
+
+
+def scored_texts(
+    split: DataFrame, search_query: str | None = None, catalog: Catalog = ANALYSIS_CATALOG, extra: Sequence[str] = ()
+) -> DataFrame:
+    """``chunks`` as in :func:`file_chunks`, from rows with ``texts``; ``extra`` columns are kept."""
+    split = split.withColumn(
         # compressed files have no weight of their own
         "log_type", F.when(F.col("log_type") == "compressed", "unknown").otherwise(F.col("log_type")),
     )
@@ -112,7 +121,7 @@ def file_chunks(
         f"transform({flagged}, (c, i) -> named_struct('chunk_no', i, 'content', c.content, "
         f"'hits', {_hits_sql(catalog, count)}, 'base', {_base_sql(search_query, count)}))"
     )
-    return split.select(*FILE_COLUMNS, F.expr(scored).alias("chunks"))
+    return split.select(*FILE_COLUMNS, *extra, F.expr(scored).alias("chunks"))
 
 
 def log_chunks(

@@ -23,7 +23,7 @@ from runscope.catalogs import (
 from runscope.functions.classify import line_timestamp, match_severity, search_rank
 from runscope.functions.guard import Guards, low_sql
 from runscope.functions.text import newlines_sql, sql_text, strip_sql
-from runscope.operators.ranking import top_n_per_group
+from runscope.operators.ranking import cut_lineage, join_checked, top_n_per_group
 
 # Case-insensitive, multi-line anchors, and "\n" as the only line terminator.
 SEARCH_FLAGS = "(?idm)"
@@ -78,20 +78,31 @@ transform(array(flatten(transform(cat.ids, (id, i) -> transform(
   coalesce(try_element_at(__spots, id), CAST(array() AS ARRAY<{_SPOT}>)),
   spot -> named_struct('idx', i, 'spot', spot))))),
   rows -> slice(rows, 1, coalesce(cat.cap, size(rows))))[0]"""
-_FIRST = "greatest(row.spot.line_number - 2, 1)"
-_LINE = "array_join(slice(__lines, row.spot.line_number, row.spot.breaks + 1), '\\n')"
-_ROWS = f"""
+
+
+def _rows_sql(number: str = "row.spot.line_number") -> str:
+    """SQL for the match rows; ``number`` is the place of a match's first line in ``__lines``."""
+    first = f"greatest({number} - 2, 1)"
+    line = f"array_join(slice(__lines, {number}, row.spot.breaks + 1), '\\n')"
+    return f"""
 transform({_KEPT}, row -> named_struct(
   'level', cat.level, 'category', cat.category, 'pattern_idx', row.idx,
   'pattern', cat.patterns[row.idx], 'matched_text', row.spot.matched_text,
-  'line', {strip_sql(_LINE)}, 'line_number', row.spot.line_number,
-  'context', array_join(slice(__lines, {_FIRST}, row.spot.line_number + 3 - {_FIRST}), '\\n'),
+  'line', {strip_sql(line)}, 'line_number', row.spot.line_number,
+  'context', array_join(slice(__lines, {first}, {number} + 3 - {first}), '\\n'),
   'position', row.spot.position))"""
 
 
+# What a block of a large file adds to the columns of its file.
+BLOCK_COLUMNS = ("block", "next_block", "first_line", "offset", "own_chars", "before")
+_BLOCK_ROWS = _rows_sql("row.spot.line_number + size(before)")
+_ROWS = _rows_sql()
+
+
 def _file_matches(
     contents: DataFrame,
     plan: Sequence[tuple[int | None, Catalog, int | None]],
+    blocks: bool = False,
 ) -> DataFrame:
     """Match rows of every (level, catalog, cap) in ``plan``, one scan for all.
 
@@ -102,8 +113,9 @@ def _file_matches(
     patterns = list(dict.fromkeys(p for _, cats, _ in plan for cat in cats for p in cat.patterns))
     number = {pattern: i for i, pattern in enumerate(patterns)}
     guards = Guards(patterns)
+    columns = [*FILE_COLUMNS, *(BLOCK_COLUMNS if blocks else ())]
     base = contents.select(
-        *FILE_COLUMNS, "content", F.expr(low_sql("content")).alias("__low")
+        *columns, "content", F.expr(low_sql("content")).alias("__low")
     ).withColumn("__flags", F.expr(guards.flags_sql("__low")))
 
     candidates = []
@@ -114,12 +126,12 @@ def _file_matches(
         )
         candidates.append(f"named_struct('id', {i}, 'regex', {regex}, 'texts', {texts})")
     hits = base.select(
-        *FILE_COLUMNS, "content",
+        *columns, "content",
         F.expr(f"filter(array({', '.join(candidates)}), h -> size(h.texts) > 0)").alias("__hits"),
     )
     spots = hits.select(
-        *FILE_COLUMNS,
-        F.split("content", "\n", -1).alias("__lines"),
+        *columns,
+        _lines(blocks).alias("__lines"),
         F.expr(f"map_from_entries(transform(__hits, h -> struct(h.id, {_SPOTS})))").alias("__spots"),
     )
     categories = []
@@ -135,14 +147,24 @@ def _file_matches(
                     f"'ids', array({ids}), 'patterns', array({texts}))"
                 )
 
-    rows = F.expr(f"flatten(transform(array({', '.join(categories)}), cat -> {_ROWS}))")
+    each = _BLOCK_ROWS if blocks else _ROWS
+    return _exploded(spots, F.expr(f"flatten(transform(array({', '.join(categories)}), cat -> {each}))"), columns)
+
+
+def _lines(blocks: bool) -> Column:
+    lines = F.split("content", "\n", -1)
+    return F.concat("before", lines) if blocks else lines
+
+
+def _exploded(spots: DataFrame, rows: Column, columns: Sequence[str]) -> DataFrame:
+    """One row per match, from an array of match rows in the row of the file or block."""
     # the outer form, because explode would add a filter that computes the rows twice
-    hit = spots.select(*FILE_COLUMNS, F.explode_outer(rows).alias("m")).filter("m IS NOT NULL")
+    hit = spots.select(*columns, F.explode_outer(rows).alias("m")).filter("m IS NOT NULL")
     return hit.select(
         "cluster_id", "file_path",
         F.col("file_name").alias("file"),
         F.col("log_type").alias("file_type"),
-        "last_modified", "m.*",
+        "last_modified", *columns[len(FILE_COLUMNS):], "m.*",
     ).withColumns({
         "timestamp": line_timestamp(F.col("line")),
         "severity": match_severity(F.col("line"), F.col("category")),
@@ -165,22 +187,100 @@ def find_matches(
     return found.select(*MATCH_COLUMNS)
 
 
+def find_block_matches(
+    blocks: DataFrame, patterns: Catalog | Mapping[str, Iterable[str]] = SEARCH_CATALOG
+) -> DataFrame:
+    """Every match in files that are read in blocks, the same rows as on their whole texts.
+
+    A block's text goes on into the next block as far as its halo, and a match
+    belongs to the block in which it starts. Where it ends in the next block, the
+    search of its pattern there must start behind it; these few (block, pattern)
+    pairs are searched again from that place, until nothing changes. The rows
+    are the same for patterns whose matches can span at most as many line ends as
+    the halo has lines; ``cut_by_halo`` marks matches that reach the end of a halo.
+    ``\\A`` and ``\\z`` stand for the ends of a block. Runs jobs while it is called.
+    """
+    catalog = as_catalog(patterns)
+    kept = cut_lineage(blocks)
+    found = _file_matches(kept, [(None, catalog, None)], blocks=True)
+    own = cut_lineage(_own_matches(found, kept))
+    keys = ["file_path", "block", "category", "pattern_idx"]
+    carried, matches = None, own
+    while True:
+        beyond = matches.filter("end > own_chars AND next_block IS NOT NULL").groupBy(
+            "file_path", F.col("next_block").alias("block"), "category", "pattern_idx", "pattern"
+        ).agg(F.max(F.col("end") - F.col("own_chars")).cast("int").alias("carry"))
+        now = cut_lineage(beyond)
+        if carried is None:
+            if now.isEmpty():
+                break
+        elif now.exceptAll(carried).isEmpty() and carried.exceptAll(now).isEmpty():
+            break
+        carried = now
+        again = _own_matches(_matches_behind(kept, carried), kept)
+        matches = cut_lineage(own.join(carried.select(*keys), keys, "left_anti").unionByName(again))
+    return matches.withColumns({
+        "line_number": (F.col("line_number") + F.col("first_line") - 1).cast("int"),
+        "position": (F.col("position") + F.col("offset")).cast("int"),
+    }).select(*MATCH_COLUMNS, "last_modified", "level", "cut_by_halo")
+
+
+def _own_matches(found: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Matches that start in the block itself, with their end in its text."""
+    sized = found.withColumn("end", F.col("position") + F.length("matched_text"))
+    sizes = blocks.select("file_path", "block", F.length("content").alias("__chars"))
+    return sized.filter(F.col("position") < F.col("own_chars")).join(sizes, ["file_path", "block"]).withColumn(
+        "cut_by_halo", (F.col("end") == F.col("__chars")) & F.col("next_block").isNotNull()
+    ).drop("__chars", "before")
+
+
+def _matches_behind(blocks: DataFrame, carried: DataFrame) -> DataFrame:
+    """Matches of single patterns in single blocks, searched from ``carry`` characters on.
+
+    The first alternative takes the skipped text as a match of its own, so the
+    pattern still sees what stands before the place where its search starts.
+    """
+    columns = [*FILE_COLUMNS, *BLOCK_COLUMNS]
+    regex = F.concat(F.lit("\\A(?s:.{"), F.col("carry").cast("string"), F.lit("})|(?idm:"), F.col("pattern"), F.lit(")"))
+    rows = join_checked(blocks, carried, ["file_path", "block"], placed=True).withColumn("__regex", regex)
+    hits = rows.select(*columns, "content", "category", "pattern_idx", "pattern", F.array(F.struct(
+        F.col("__regex").alias("regex"), F.regexp_extract_all("content", F.col("__regex"), F.lit(0)).alias("texts")
+    )).alias("__hits"))
+    spots = hits.select(
+        *columns, "category", "pattern_idx", "pattern", _lines(True).alias("__lines"),
+        F.expr(f"transform(transform(__hits, h -> {_SPOTS}), x -> slice(x, 2, size(x)))[0]").alias("__own"),
+    )
+    cat = ("named_struct('level', CAST(NULL AS INT), 'category', category, 'cap', CAST(NULL AS INT), "
+           "'ids', array(0), 'patterns', array(pattern))")
+    each = _BLOCK_ROWS.replace("try_element_at(__spots, id)", "__own")
+    found = spots.withColumn("__idx", F.col("pattern_idx")).select(
+        *columns, "__lines", "__own", "category", "pattern", "__idx")
+    rows = F.expr(f"flatten(transform(array({cat}), cat -> {each}))")
+    rows = F.transform(rows, lambda m: m.withField("pattern_idx", F.col("__idx")))
+    return _exploded(found, rows, columns)
+
+
 def search_error_patterns(
     contents: DataFrame,
     patterns: Catalog | Mapping[str, Iterable[str]] | None = None,
     max_per_category: int | None = 50,
     keep_order: bool = False,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """First ``max_per_category`` matches per (cluster, category) over all files.
 
     ``None`` lifts the cap, ``keep_order`` adds the rank as ``rn``. A caller's own catalog replaces the default one;
     run it through :func:`runscope.catalogs.valid_patterns` first when its
-    regexes come from outside.
+    regexes come from outside. ``blocks`` are those of files above the size cap
+    (:func:`runscope.operators.oversize.log_blocks`), which are searched too.
     """
     catalog = as_catalog(patterns) if patterns else SEARCH_CATALOG
     if max_per_category is None:
-        return find_matches(contents, catalog)
+        found = find_matches(contents, catalog)
+        return found if blocks is None else found.unionByName(find_block_matches(blocks, catalog).select(*MATCH_COLUMNS))
     found = _file_matches(contents, [(None, catalog, max_per_category)])
+    if blocks is not None:
+        found = found.unionByName(find_block_matches(blocks, catalog).select(*found.columns))
     capped = top_n_per_group(
         found, ["cluster_id", "category"], _search_order(), max_per_category, ["file_path"]
     )

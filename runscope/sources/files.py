@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from runscope.functions.classify import log_type
 from runscope.functions.text import normalize_newlines, quote_regex
-from runscope.operators.ranking import join_checked
+from runscope.operators.ranking import cut_lineage, join_checked
 
 LAYOUT = r"([^/]+)/(?:.*/)?([^/]+)$"
 MB = 1024 * 1024
@@ -168,27 +168,70 @@ def log_lines(
     Gzip files cannot be split and come as one block. A file that breaks off
     keeps the lines before the break; :func:`rejected_files` reports it.
     """
+    rows = _line_rows(spark, root, cluster_id, layout)
+    return _numbered(rows, _line_blocks(rows)).select("cluster_id", "file_path", "line_number", "line")
+
+
+def _line_rows(spark: SparkSession, root: str, cluster_id: str | None, layout: str) -> DataFrame:
     raw = spark.read.option("recursiveFileLookup", "true").option(
         "ignoreCorruptFiles", "true"
     ).option("ignoreMissingFiles", "true").text(_path(root, cluster_id))
-    rows = described(raw, root, layout).select(
-        "cluster_id", "file_path", F.col("value").alias("line"),
+    return described(raw, root, layout).select(
+        "cluster_id", "file_path", "file_name", "size", "last_modified", "log_type", F.col("value").alias("line"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row_id"),
     )
-    blocks = rows.groupBy("file_path", "block").agg(
-        F.min("row_id").alias("first_row"), F.count("*").alias("block_lines")
+
+
+def _line_blocks(rows: DataFrame) -> DataFrame:
+    """One row per block of a file: its first row, and its lines, bytes and lines before it."""
+    blocks = rows.groupBy("cluster_id", "file_path", "file_name", "size", "last_modified", "log_type", "block").agg(
+        F.min("row_id").alias("first_row"), F.count("*").alias("block_lines"),
+        F.sum(F.octet_length("line")).alias("block_bytes"),
+        F.bool_and(F.is_valid_utf8("line")).alias("valid"),
     )
-    # one row per block of a file
     before = F.expr(
         "coalesce(sum(block_lines) OVER (PARTITION BY file_path ORDER BY block "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
     )
-    starts = blocks.withColumn("before", before).drop("block_lines")
-    return join_checked(rows, starts, ["file_path", "block"]).select(
-        "cluster_id", "file_path",
-        (F.col("before") + F.col("row_id") - F.col("first_row") + 1).alias("line_number"), "line",
-    )
+    return blocks.withColumn("before", before)
+
+
+def _numbered(rows: DataFrame, blocks: DataFrame, placed: bool = False) -> DataFrame:
+    starts = blocks.select("file_path", "block", "first_row", "before")
+    return join_checked(rows, starts, ["file_path", "block"], placed=placed).withColumn(
+        "line_number", F.col("before") + F.col("row_id") - F.col("first_row") + 1)
+
+
+def oversize_lines(
+    spark: SparkSession,
+    root: str,
+    max_size_mb: float,
+    log_types: Sequence[str] | None = None,
+    cluster_id: str | None = None,
+    layout: str = LAYOUT,
+) -> DataFrame:
+    """Numbered lines, with the columns of their file, of the files that a size cap leaves out.
+
+    The lines are those of the text that :func:`log_contents` would give: a plain
+    file that ends with a line end has an empty last line, which the bytes of the
+    file tell (they are not known of a gzip file, which never gets one). Files
+    with bytes that are no UTF-8 are left out, as there.
+    """
+    rows = _line_rows(spark, root, cluster_id, layout).filter(F.col("size") > int(max_size_mb * MB))
+    if log_types:
+        rows = rows.filter(F.col("log_type").isin(*log_types))
+    blocks = cut_lineage(_line_blocks(rows))
+    columns = ["cluster_id", "file_path", "file_name", "size", "last_modified", "log_type"]
+    whole = blocks.groupBy(*columns).agg(
+        F.sum("block_lines").alias("n"), F.sum("block_bytes").alias("bytes"), F.bool_and("valid").alias("valid"))
+    ends = F.col("size") - F.col("bytes")      # one byte a line end, or two
+    last = whole.filter(
+        F.col("valid") & ~F.lower("file_path").endswith(".gz") & ((ends == F.col("n")) | (ends == 2 * F.col("n")))
+    ).select(*columns, (F.col("n") + 1).alias("line_number"), F.lit("").alias("line"))
+    bad = whole.filter(~F.col("valid")).select("file_path")
+    numbered = _numbered(rows, blocks, placed=True).select(*columns, "line_number", "line")
+    return join_checked(numbered, bad, ["file_path"], "left_anti").unionByName(last)
 
 
 def write_contents(contents: DataFrame, root: str, gzip: bool = False) -> str:
