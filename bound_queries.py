@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runscope import catalogs
 from runscope.functions import classify, text, timespan
-from runscope.operators import chunking, jobs, matching, oversize, snippets
+from runscope.operators import chunking, jobs, matching, oversize, pattern_tables, snippets
 from runscope.plans import analysis, diagnose, reports
 from runscope.sources import files, tables
 from runscope.streaming import feeds
@@ -187,6 +187,18 @@ def rejected_patterns(spark, folder):
     return found.groupBy("category", "pattern").agg(F.count("*").alias("matches"))
 
 
+@query
+def custom_patterns_table(spark, folder):
+    usable, _ = pattern_tables.checked_patterns(tables.document_pattern_table(spark, folder))
+    return flat_matches(pattern_tables.find_table_matches(tables.document_contents(spark, folder, SPREAD), usable))
+
+
+@query
+def custom_patterns_rejected(spark, folder):
+    _, rejected = pattern_tables.checked_patterns(tables.document_pattern_table(spark, folder))
+    return rejected.select("category", "pattern_idx", "pattern", F.col("reason").isNotNull().alias("has_reason"))
+
+
 @query
 def pattern_counts(spark, folder):
     return matching.pattern_counts(tables.event_contents(spark, folder))

@@ -645,3 +645,14 @@ ORACLES["file_oversize_matches"] = f"""{_OVERSIZE}, {SEARCH}
          position, severity FROM found"""
 ORACLES["file_oversize_chunks"] = f"""{_OVERSIZE}, {chunks(LINES)} {scored('worker handled')}
   SELECT cluster_id, file_name, chunk_no, content, s12 AS priority_score, i12 AS error_indicators FROM score"""
+
+_TABLE_PATTERNS = f"""pats AS (
+  SELECT CAST(NULL AS INTEGER) AS level, 'benchmark' AS category, CAST(item_id AS INTEGER) AS pattern_idx,
+         array_to_string(regexp_extract_all(text, '[^\\s\\[\\](){{}}.*+?^$|\\\\,;:!-]+')[1:3], '\\s+') AS pattern
+  FROM benchmark WHERE regexp_matches(text, '[^\\s\\[\\](){{}}.*+?^$|\\\\,;:!-]')
+  UNION ALL {values(pattern_rows(tables.DOCUMENT_PATTERNS))})"""
+_TABLE_MATCHES = matches([(None, "", 0, "")])
+ORACLES["custom_patterns_table"] = (
+    f"WITH {DOCUMENTS}, {_TABLE_PATTERNS}, {_TABLE_MATCHES[_TABLE_MATCHES.index('raw AS'):]} SELECT {MATCH} FROM found")
+ORACLES["custom_patterns_rejected"] = """SELECT 'broken' AS category, CAST(n_nationkey AS INTEGER) AS pattern_idx,
+  '[' || lower(n_name) AS pattern, true AS has_reason FROM nation"""

@@ -171,7 +171,7 @@ def _exploded(spots: DataFrame, rows: Column, columns: Sequence[str]) -> DataFra
     })
 
 
-def _search_order() -> list[Column]:
+def search_order() -> list[Column]:
     """Files by type and newest first, then by pattern and place in the file."""
     return [
         search_rank(F.col("file_type")), F.col("last_modified").desc_nulls_last(),
@@ -260,6 +260,28 @@ def _matches_behind(blocks: DataFrame, carried: DataFrame) -> DataFrame:
     return _exploded(found, rows, columns)
 
 
+def table_matches(texts: DataFrame) -> DataFrame:
+    """Match rows of each text for its own ``candidates``: an array of (category, pattern_idx, pattern, word)."""
+    hits = texts.select(*FILE_COLUMNS, "content", "candidates", F.expr(low_sql("content")).alias("__low")).select(
+        *FILE_COLUMNS, "content", F.expr(
+            "filter(transform(filter(candidates, c -> c.word IS NULL OR contains(__low, c.word)), (c, i) -> named_struct("
+            f"'id', i, 'category', c.category, 'pattern_idx', c.pattern_idx, 'pattern', c.pattern, "
+            f"'regex', {sql_text(SEARCH_FLAGS)} || c.pattern, "
+            f"'texts', regexp_extract_all(content, {sql_text(SEARCH_FLAGS)} || c.pattern, 0))), h -> size(h.texts) > 0)"
+        ).alias("__hits"))
+    spots = hits.select(
+        *FILE_COLUMNS, _lines(False).alias("__lines"),
+        F.expr("transform(__hits, h -> named_struct('id', h.id, 'category', h.category, 'pattern_idx', h.pattern_idx, "
+               "'pattern', h.pattern))").alias("__found"),
+        F.expr(f"map_from_entries(transform(__hits, h -> struct(h.id, {_SPOTS})))").alias("__spots"))
+    fields = ("level", "category", "pattern_idx", "pattern", "matched_text", "line", "line_number", "context", "position")
+    named = ", ".join(f"'{f}', {'found.pattern_idx' if f == 'pattern_idx' else f'm.{f}'}" for f in fields)
+    cat = ("named_struct('level', CAST(NULL AS INT), 'category', found.category, 'cap', CAST(NULL AS INT), "
+           "'ids', array(found.id), 'patterns', array(found.pattern))")
+    each = f"transform(transform(array({cat}), cat -> {_ROWS})[0], m -> named_struct({named}))"
+    return _exploded(spots, F.expr(f"flatten(transform(__found, found -> {each}))"), FILE_COLUMNS)
+
+
 def search_error_patterns(
     contents: DataFrame,
     patterns: Catalog | Mapping[str, Iterable[str]] | None = None,
@@ -282,7 +304,7 @@ def search_error_patterns(
     if blocks is not None:
         found = found.unionByName(find_block_matches(blocks, catalog).select(*found.columns))
     capped = top_n_per_group(
-        found, ["cluster_id", "category"], _search_order(), max_per_category, ["file_path"]
+        found, ["cluster_id", "category"], search_order(), max_per_category, ["file_path"]
     )
     extra = ["last_modified", "rn"] if keep_order else []
     return capped.select(*MATCH_COLUMNS, *extra)
@@ -312,7 +334,7 @@ def search_by_level(
         cap = F.when(F.col("level") == number, F.lit(size).cast("int")).otherwise(cap)
     sizes = [size for _, _, size in plan]
     capped = top_n_per_group(
-        found, ["cluster_id", "level", "category"], _search_order(),
+        found, ["cluster_id", "level", "category"], search_order(),
         None if None in sizes else max(sizes), ["file_path"],
     ).filter(cap.isNull() | (F.col("rn") <= cap))
     per_cluster = F.expr(

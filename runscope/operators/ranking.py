@@ -103,18 +103,22 @@ BROADCAST_ROW_BYTES = 200
 
 
 def join_checked(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", placed: bool = False
+    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", placed: bool = False,
+    width: Column | None = None,
 ) -> DataFrame:
     """Join texts with a slim table without moving the texts, if the table is small.
 
     The slim table is written once (unless it is ``placed`` already), and its
     rows and key lengths are counted.
     Below the bound it is broadcast; above it the engine shuffles both sides,
-    with its runtime filters and its handling of skewed keys.
+    with its runtime filters and its handling of skewed keys. ``width`` measures
+    what the slim table has besides its keys, if that is of any length.
     """
     table = small if placed else cut_lineage(small)
-    width = sum((F.coalesce(F.length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(0))
-    rows, chars = table.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    chars_of = sum((F.coalesce(F.length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(0))
+    if width is not None:
+        chars_of = chars_of + width
+    rows, chars = table.agg(F.count("*"), F.coalesce(F.sum(chars_of), F.lit(0))).first()
     fits = rows <= BROADCAST_ROWS and chars <= BROADCAST_ROWS * BROADCAST_ROW_BYTES
     return big.join(F.broadcast(table) if fits else table, list(keys), how)
 

@@ -154,6 +154,20 @@ def with_file_columns(files: DataFrame) -> DataFrame:
     )
 
 
+def document_pattern_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Patterns as a table: the first words of every benchmark item in any spacing, plain ones and broken ones."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\s\[\](){}.*+?^$|\\,;:!-]+"), F.lit(0))
+    items = _read(spark, folder, "benchmark").select(
+        F.lit("benchmark").alias("category"), F.col("item_id").cast("int").alias("pattern_idx"),
+        F.array_join(F.slice(words, 1, 3), r"\s+").alias("pattern"))
+    names = _read(spark, folder, "nation").select(
+        F.lit("broken").alias("category"), F.col("n_nationkey").cast("int").alias("pattern_idx"),
+        F.concat(F.lit("["), F.lower("n_name")).alias("pattern"))
+    given = [(category, idx, pattern) for category, own in DOCUMENT_PATTERNS.items() for idx, pattern in enumerate(own)]
+    plain = spark.createDataFrame(given, "category STRING, pattern_idx INT, pattern STRING")
+    return items.filter("pattern <> ''").unionByName(names).unionByName(plain)
+
+
 def jobs(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "customer").select(
         F.col("c_custkey").alias("job_id"), F.col("c_name").alias("job_name"),
