@@ -233,7 +233,7 @@ def search_leveled_distinct(spark, folder):
 
 @query
 def level_summary(spark, folder):
-    return matching.level_summary(tables.event_contents(spark, folder)).drop("errors_total")
+    return matching.level_summary(tables.event_contents(spark, folder))
 
 
 @query
@@ -277,7 +277,7 @@ def quick_scan(spark, folder):
 
 def flat_findings(df: DataFrame) -> DataFrame:
     return df.select(
-        "cluster_id", "category", "severity", "count",
+        "cluster_id", "category", "severity", "count", "critical_total", "high_total",
         F.array_join(F.transform("examples", lambda m: F.concat_ws(
             "|", m.file, m.line_number, m.line)), "\n").alias("examples"),
     )
@@ -285,29 +285,27 @@ def flat_findings(df: DataFrame) -> DataFrame:
 
 @query
 def smart_findings(spark, folder):
-    contents = tables.event_contents(spark, folder)
-    found = matching.search_by_level(contents, keep_order=True)
-    return flat_findings(diagnose.critical_findings(found, matching.level_totals(contents)))
+    return flat_findings(diagnose.findings(matching.category_stats(tables.event_contents(spark, folder))))
 
 
 @query
 def focus_area(spark, folder):
-    found = matching.search_by_level(tables.event_contents(spark, folder), keep_order=True)
-    kept = diagnose.keep_focus(found, ["memory", "io", "configuration_errors"])
-    return kept.groupBy("cluster_id", "category").agg(F.count("*").alias("matches"))
+    totals = matching.level_totals(tables.event_contents(spark, folder))
+    kept = diagnose.keep_focus(totals, ["memory", "io", "configuration_errors"])
+    return kept.groupBy("cluster_id", "category").agg(F.sum("matches_total").alias("matches"))
 
 
 @query
 def recommendations(spark, folder):
-    return diagnose.recommendations(matching.search_by_level(tables.event_contents(spark, folder)))
+    return diagnose.recommendations(matching.category_stats(tables.event_contents(spark, folder)))
 
 
 @query
 def smart_analysis(spark, folder):
     found = diagnose.smart_analysis(tables.event_contents(spark, folder), ["memory", "spark", "io"])
     return found.select(
-        "cluster_id", "total_errors", "deepest_level",
-        joined(F.transform("error_breakdown", lambda e: F.concat_ws("=", e.category, e.matches)))
+        "cluster_id", "total_errors", "errors_total", "deepest_level",
+        joined(F.transform("error_breakdown", lambda e: F.concat_ws("=", e.category, e.matches, e.matches_total)))
         .alias("error_breakdown"),
         joined(F.transform("critical_findings", lambda e: F.concat_ws("=", e.category, e.severity, e["count"])))
         .alias("critical_findings"),
@@ -543,7 +541,7 @@ def _diagnosis(spark, folder):
 def failure_diagnosis(spark, folder):
     return _diagnosis(spark, folder).select(
         "run_id", "job_id", "job_name", stamp("start_time").alias("start_time"), "result_state",
-        "life_cycle_state", "cluster_id", "category", "severity", "count",
+        "life_cycle_state", "cluster_id", "category", "severity", "count", "critical_total", "high_total",
         F.array_join(F.transform("examples", lambda m: F.concat_ws(
             "|", m.file, m.line_number, m.line)), "\n").alias("examples"),
         "recommendation",

@@ -167,18 +167,20 @@ LEVELS = matches(LEVEL_ROWS) + f""",
 ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, level, category ORDER BY {ORDER}) AS rn FROM found),
 capped AS (SELECT * FROM ranked WHERE rn <= ({array(cat.LEVEL_CAPS)})[level]),
 kept AS (SELECT * FROM capped c WHERE level = 1
-         OR NOT EXISTS (SELECT 1 FROM capped x WHERE x.cluster_id = c.cluster_id AND x.level = 1))"""
+         OR NOT EXISTS (SELECT 1 FROM capped x WHERE x.cluster_id = c.cluster_id AND x.level = 1)),
+whole AS (SELECT * FROM ranked c WHERE level = 1
+          OR NOT EXISTS (SELECT 1 FROM ranked x WHERE x.cluster_id = c.cluster_id AND x.level = 1))"""
 
 FINDINGS = """,
 findings AS (
   SELECT cluster_id, category, CASE WHEN nc > 0 THEN 'critical' ELSE 'high' END AS severity,
-         CASE WHEN nc > 0 THEN nc ELSE nh END AS "count",
+         CASE WHEN nc > 0 THEN nc ELSE nh END AS "count", nc AS critical_total, nh AS high_total,
          array_to_string(CASE WHEN nc > 0 THEN lc[1:3] ELSE lh[1:2] END, chr(10)) AS examples
   FROM (SELECT cluster_id, category,
                count(*) FILTER (severity = 'critical') AS nc, count(*) FILTER (severity = 'high') AS nh,
                list(file || '|' || line_number || '|' || line ORDER BY level, rn) FILTER (severity = 'critical') AS lc,
                list(file || '|' || line_number || '|' || line ORDER BY level, rn) FILTER (severity = 'high') AS lh
-        FROM kept GROUP BY ALL)
+        FROM whole GROUP BY ALL)
   WHERE nc + nh > 0)"""
 
 OUT_OF_MEMORY = "(category = 'critical_errors' AND contains(lower(line), 'outofmemory'))"
@@ -487,7 +489,8 @@ ORACLES: dict[str, str] = {
     "level_summary": f"""WITH {EVENTS}, {LEVELS},
         steps(iteration, categories) AS ({values([(n, ', '.join(c.name for c in x)) for n, x in enumerate(cat.LEVEL_CATALOGS, 1)])})
         SELECT c.cluster_id, iteration, CASE WHEN iteration = 3 THEN 'comprehensive' ELSE categories END AS patterns_used,
-               categories, (SELECT count(*) FROM capped k WHERE k.cluster_id = c.cluster_id AND k.level = iteration) AS errors_found
+               categories, (SELECT count(*) FROM capped k WHERE k.cluster_id = c.cluster_id AND k.level = iteration) AS errors_found,
+               (SELECT count(*) FROM ranked k WHERE k.cluster_id = c.cluster_id AND k.level = iteration) AS errors_total
         FROM (SELECT DISTINCT cluster_id FROM contents) c, steps
         WHERE iteration = 1 OR c.cluster_id NOT IN (SELECT cluster_id FROM capped WHERE level = 1)""",
     "snippet_context": f"WITH {EVENTS}, {snippet(SNIPPET, 4, 2)} SELECT * FROM snip",
@@ -510,23 +513,27 @@ ORACLES: dict[str, str] = {
                {q(diagnose.RERUN_ADVICE)} AS recommendation
         FROM kinds GROUP BY cluster_id""",
     "smart_findings": f"WITH {EVENTS}, {LEVELS} {FINDINGS} SELECT * FROM findings",
-    "focus_area": f"""WITH {EVENTS}, {LEVELS} SELECT cluster_id, category, count(*) AS matches FROM kept
+    "focus_area": f"""WITH {EVENTS}, {LEVELS} SELECT cluster_id, category, count(*) AS matches FROM whole
         WHERE category IN ('memory_issues', 'critical_errors', 'io_errors', 'configuration_errors') GROUP BY ALL""",
     "recommendations": f"""WITH {EVENTS}, {LEVELS} SELECT DISTINCT cluster_id, category, recommendation
-        FROM (SELECT cluster_id, CASE WHEN {OUT_OF_MEMORY} THEN 'memory_issues' ELSE category END AS category FROM kept)
+        FROM (SELECT cluster_id, CASE WHEN {OUT_OF_MEMORY} THEN 'memory_issues' ELSE category END AS category FROM whole)
         JOIN {ADVICE} USING (category)""",
-    "smart_analysis": f"""WITH {EVENTS}, {LEVELS.replace('kept AS', 'kept_all AS')},
-        kept AS (SELECT * FROM kept_all WHERE category IN ('memory_issues', 'critical_errors', 'spark_errors', 'io_errors'))
+    "smart_analysis": f"""WITH {EVENTS}, {LEVELS.replace('kept AS', 'kept_all AS').replace('whole AS', 'whole_all AS')},
+        kept AS (SELECT * FROM kept_all WHERE category IN ('memory_issues', 'critical_errors', 'spark_errors', 'io_errors')),
+        whole AS (SELECT * FROM whole_all WHERE category IN ('memory_issues', 'critical_errors', 'spark_errors', 'io_errors'))
         {FINDINGS},
         advice AS (SELECT cluster_id, string_agg(recommendation, '; ' ORDER BY place) AS recommendations
-          FROM (SELECT DISTINCT cluster_id, CASE WHEN {OUT_OF_MEMORY} THEN 'memory_issues' ELSE category END AS category FROM kept)
+          FROM (SELECT DISTINCT cluster_id, CASE WHEN {OUT_OF_MEMORY} THEN 'memory_issues' ELSE category END AS category FROM whole)
           JOIN ({values([(i, *r) for i, r in enumerate(cat.RECOMMENDATIONS)])}) AS a(place, category, recommendation) USING (category)
           GROUP BY cluster_id)
-        SELECT k.cluster_id, total_errors, deepest_level, error_breakdown, coalesce(critical_findings, '') AS critical_findings,
+        SELECT k.cluster_id, total_errors, errors_total, deepest_level, error_breakdown, coalesce(critical_findings, '') AS critical_findings,
                coalesce(recommendations, '') AS recommendations
-        FROM (SELECT cluster_id, CAST(sum(n) AS BIGINT) AS total_errors, max(deepest) AS deepest_level,
-                     string_agg(category || '=' || n, ',' ORDER BY category) AS error_breakdown
-              FROM (SELECT cluster_id, category, count(*) AS n, max(level) AS deepest FROM kept GROUP BY ALL) GROUP BY cluster_id) k
+        FROM (SELECT cluster_id, CAST(sum(n) AS BIGINT) AS total_errors, CAST(sum(w) AS BIGINT) AS errors_total,
+                     max(deepest) AS deepest_level,
+                     string_agg(category || '=' || n || '=' || w, ',' ORDER BY category) AS error_breakdown
+              FROM (SELECT cluster_id, category, count(*) AS n, max(level) AS deepest FROM kept GROUP BY ALL)
+              JOIN (SELECT cluster_id, category, count(*) AS w FROM whole GROUP BY ALL) USING (cluster_id, category)
+              GROUP BY cluster_id) k
         LEFT JOIN (SELECT cluster_id, string_agg(category || '=' || severity || '=' || "count", ',' ORDER BY category) AS critical_findings
                    FROM findings GROUP BY cluster_id) f USING (cluster_id)
         LEFT JOIN advice USING (cluster_id)""",
@@ -595,7 +602,7 @@ ORACLES: dict[str, str] = {
                epoch_ms(start_time) AS start_ms FROM latest""",
     "failure_diagnosis": f"""WITH {AFFECTED}, {LEVELS} {FINDINGS}
         SELECT f.run_id, f.job_id, f.job_name, substr(CAST(f.start_time AS VARCHAR), 1, 19) AS start_time, f.result_state,
-               f.life_cycle_state, u.cluster_id, x.category, x.severity, x."count", x.examples, a.recommendation
+               f.life_cycle_state, u.cluster_id, x.category, x.severity, x."count", x.critical_total, x.high_total, x.examples, a.recommendation
         FROM used u JOIN failed f USING (run_id) JOIN findings x ON x.cluster_id = u.cluster_id
         LEFT JOIN {ADVICE} ON a.category = x.category""",
     "common_failure_patterns": f"""WITH {AFFECTED}, {SEARCH} SELECT category, pattern, count(*) AS matches,

@@ -99,17 +99,23 @@ _BLOCK_ROWS = _rows_sql("row.spot.line_number + size(before)")
 _ROWS = _rows_sql()
 
 
-def _file_matches(
-    contents: DataFrame,
-    plan: Sequence[tuple[int | None, Catalog, int | None]],
-    blocks: bool = False,
-) -> DataFrame:
+Plan = Sequence[tuple[int | None, Catalog, int | None]]
+
+
+def _file_matches(contents: DataFrame, plan: Plan, blocks: bool = False) -> DataFrame:
     """Match rows of every (level, catalog, cap) in ``plan``, one scan for all.
 
     A pattern used by several levels is matched once. Within a file a category
     keeps its first ``cap`` matches by pattern, then position; that is what a
     file can contribute to the capped result.
     """
+    spots, categories, columns = _file_spots(contents, plan, blocks)
+    each = _BLOCK_ROWS if blocks else _ROWS
+    return _exploded(spots, F.expr(f"flatten(transform({categories}, cat -> {each}))"), columns)
+
+
+def _file_spots(contents: DataFrame, plan: Plan, blocks: bool = False) -> tuple[DataFrame, str, list[str]]:
+    """Per file the places of all matches by pattern, the categories of ``plan`` as SQL, and the columns kept."""
     patterns = list(dict.fromkeys(p for _, cats, _ in plan for cat in cats for p in cat.patterns))
     number = {pattern: i for i, pattern in enumerate(patterns)}
     guards = Guards(patterns)
@@ -147,8 +153,7 @@ def _file_matches(
                     f"'ids', array({ids}), 'patterns', array({texts}))"
                 )
 
-    each = _BLOCK_ROWS if blocks else _ROWS
-    return _exploded(spots, F.expr(f"flatten(transform(array({', '.join(categories)}), cat -> {each}))"), columns)
+    return spots, f"array({', '.join(categories)})", columns
 
 
 def _lines(blocks: bool) -> Column:
@@ -352,21 +357,90 @@ def search_by_level(
     return kept
 
 
+# All matches of one category ``cat`` of a file, with their line.
+_SEEN = f"""
+named_struct('level', cat.level, 'category', cat.category, 'rows', flatten(transform(cat.ids, (id, i) -> transform(
+  coalesce(try_element_at(__spots, id), CAST(array() AS ARRAY<{_SPOT}>)),
+  spot -> named_struct('pattern_idx', i, 'position', spot.position, 'line_number', spot.line_number, 'line',
+    {strip_sql("array_join(slice(__lines, spot.line_number, spot.breaks + 1), '\\n')")})))))"""
+CRITICAL_EXAMPLES, HIGH_EXAMPLES = 3, 2
+
+
+def _file_stats(contents: DataFrame, plan: Plan) -> DataFrame:
+    """One row per (file, level, category) with matches: counts by severity and the first of each severity."""
+    spots, categories, columns = _file_spots(contents, plan)
+    met = f"filter({categories}, cat -> exists(cat.ids, id -> map_contains_key(__spots, id)))"
+    seen = spots.select(*columns, F.expr(f"transform({met}, cat -> {_SEEN})").alias("__seen"))
+    judged = F.transform("__seen", lambda c: F.struct(
+        c.level.alias("level"), c.category.alias("category"), F.transform(c.rows, lambda r: F.struct(
+            r.pattern_idx.alias("pattern_idx"), r.position.alias("position"), r.line_number.alias("line_number"),
+            r.line.alias("line"), match_severity(r.line, c.category).alias("severity"))).alias("rows")))
+    split = F.transform(judged, lambda c: F.struct(
+        c.level.alias("level"), c.category.alias("category"), F.size(c.rows).cast("bigint").alias("matches_total"),
+        F.exists(c.rows, lambda r: _out_of_memory(r.line, c.category)).alias("memory_hits"),
+        F.filter(c.rows, lambda r: r.severity == "critical").alias("critical"),
+        F.filter(c.rows, lambda r: r.severity == "high").alias("high")))
+    counted = F.transform(split, lambda c: F.struct(
+        c.level.alias("level"), c.category.alias("category"), c.matches_total.alias("matches_total"),
+        c.memory_hits.alias("memory_hits"), F.size(c.critical).cast("bigint").alias("critical_total"),
+        F.size(c.high).cast("bigint").alias("high_total"),
+        F.concat(F.slice(c.critical, 1, CRITICAL_EXAMPLES), F.slice(c.high, 1, HIGH_EXAMPLES)).alias("examples")))
+    return seen.select(*columns, F.inline_outer(counted)).filter("matches_total > 0")
+
+
+def _out_of_memory(line: Column, category: Column) -> Column:
+    return (category == "critical_errors") & F.lower(line).contains("outofmemory")
+
+
+def _levels_that_ran(counts: DataFrame) -> DataFrame:
+    """Level 1, and deeper levels of clusters where level 1 found nothing critical."""
+    stop = F.expr("max(level = 1 AND category = 'critical_errors') OVER (PARTITION BY cluster_id)")
+    return counts.withColumn("__stop", stop).filter((F.col("level") == 1) | ~F.col("__stop")).drop("__stop")
+
+
+def _totals(stats: DataFrame) -> DataFrame:
+    return stats.groupBy("cluster_id", "level", "category").agg(
+        *[F.sum(name).alias(name) for name in ("matches_total", "critical_total", "high_total")],
+        F.max("memory_hits").alias("memory_hits"))
+
+
+def category_stats(
+    contents: DataFrame, levels: Sequence[Catalog] = LEVEL_CATALOGS, max_levels: int = 3
+) -> DataFrame:
+    """``cluster_id, level, category`` with counts over all matches and the first examples, from one look at the texts.
+
+    Counts are ``matches_total, critical_total, high_total``; ``memory_hits``
+    tells of a critical out-of-memory line. ``critical`` and ``high`` have the
+    first three and two matches of that severity in search order. A file is
+    reduced to counts and these few lines in its own row; those slim rows are
+    checkpointed and used for both. Levels stop as in :func:`search_by_level`.
+    """
+    plan = [(number, catalog, None) for number, catalog in enumerate(levels, start=1)][:max_levels]
+    stats = cut_lineage(_file_stats(contents, plan).select(
+        "cluster_id", "file_path", F.col("file_name").alias("file"), F.col("log_type").alias("file_type"),
+        "last_modified", "level", "category", "matches_total", "critical_total", "high_total", "memory_hits", "examples"))
+    keys = ["cluster_id", "level", "category"]
+    lines = stats.select(*keys, "file_path", "file", "file_type", "last_modified", F.inline("examples"))
+    first = top_n_per_group(lines, [*keys, "severity"], search_order(), CRITICAL_EXAMPLES, ["file_path"])
+    row = F.struct("rn", F.struct("file", "line_number", "line", "severity").alias("m"))
+    # five rows a group at most
+    shown = first.groupBy(*keys).agg(*[
+        F.transform(F.array_sort(F.collect_list(F.when((F.col("severity") == name) & (F.col("rn") <= n), row))),
+                    lambda x: x.m).alias(name)
+        for name, n in (("critical", CRITICAL_EXAMPLES), ("high", HIGH_EXAMPLES))])
+    return _levels_that_ran(_totals(stats)).join(shown, keys, "left")
+
+
 def level_totals(
     contents: DataFrame, levels: Sequence[Catalog] = LEVEL_CATALOGS, max_levels: int = 3
 ) -> DataFrame:
     """``cluster_id, level, category, matches_total, critical_total, high_total`` without caps.
 
-    Levels stop as in :func:`search_by_level`. Matches are counted where they
-    are found, so a few rows per file move.
+    Levels stop as in :func:`search_by_level`. Matches are counted in the row
+    of their file, so a few rows per file move.
     """
     plan = [(number, catalog, None) for number, catalog in enumerate(levels, start=1)][:max_levels]
-    counts = _file_matches(contents, plan).groupBy("cluster_id", "level", "category").agg(
-        F.count("*").alias("matches_total"),
-        F.count_if(F.col("severity") == "critical").alias("critical_total"),
-        F.count_if(F.col("severity") == "high").alias("high_total"))
-    stop = F.expr("max(level = 1 AND category = 'critical_errors') OVER (PARTITION BY cluster_id)")
-    return counts.withColumn("__stop", stop).filter((F.col("level") == 1) | ~F.col("__stop")).drop("__stop")
+    return _levels_that_ran(_totals(_file_stats(contents, plan))).drop("memory_hits")
 
 
 def level_summary(
@@ -382,17 +456,11 @@ def level_summary(
         used = "comprehensive" if number == 3 else names
         steps.append(F.struct(F.lit(number).alias("iteration"), F.lit(names).alias("categories"),
                               F.lit(used).alias("patterns_used")))
-    counts = (
-        search_by_level(contents, levels, caps, max_levels)
-        .groupBy("cluster_id", F.col("level").alias("iteration"))
-        .agg(F.count("*").alias("errors_found"),
-             F.max(F.col("category") == "critical_errors").alias("critical"))
-    )
+    counts = level_totals(contents, levels, max_levels).groupBy("cluster_id", F.col("level").alias("iteration")).agg(
+        F.sum(under_cap(caps)).alias("errors_found"), F.sum("matches_total").alias("errors_total"),
+        F.max(F.col("category") == "critical_errors").alias("critical"))
     grid = contents.select("cluster_id").distinct().select("cluster_id", F.inline(F.array(*steps)))
-    totals = level_totals(contents, levels, max_levels).groupBy(
-        "cluster_id", F.col("level").alias("iteration")).agg(F.sum("matches_total").alias("errors_total"))
-    keys = ["cluster_id", "iteration"]
-    joined = grid.join(counts, keys, "left").join(totals, keys, "left").withColumns(
+    joined = grid.join(counts, ["cluster_id", "iteration"], "left").withColumns(
         {name: F.coalesce(name, F.lit(0)) for name in ("errors_found", "errors_total")}
     )
     stopped = F.expr("coalesce(max(iteration = 1 AND critical) OVER (PARTITION BY cluster_id), false)")
@@ -403,6 +471,14 @@ def level_summary(
     )
 
 
+def under_cap(caps: Sequence[int | None] = LEVEL_CAPS) -> Column:
+    """How many of a category's matches its level shows."""
+    cap = F.lit(None).cast("bigint")
+    for number, size in enumerate(caps, start=1):
+        cap = F.when(F.col("level") == number, F.lit(size).cast("bigint")).otherwise(cap)
+    return F.least("matches_total", cap)        # a null cap is no limit
+
+
 def pattern_counts(
     contents: DataFrame, patterns: Catalog | Mapping[str, Iterable[str]] = SEARCH_CATALOG
 ) -> DataFrame:

@@ -17,7 +17,7 @@ from runscope.catalogs import (
 from runscope.functions.classify import error_kind
 from runscope.functions.text import sql_text
 from runscope.operators.jobs import failed_run_rows, run_clusters
-from runscope.operators.matching import level_totals, pattern_counts, search_by_level, search_error_patterns
+from runscope.operators.matching import category_stats, pattern_counts, search_error_patterns, under_cap
 from runscope.operators.ranking import cut_lineage, join_checked
 
 QUICK_CAP = 10
@@ -52,42 +52,59 @@ def quick_scan(contents: DataFrame) -> DataFrame:
     )
 
 
-def _category_stats(matches: DataFrame, totals: DataFrame) -> DataFrame:
-    """Counts and the first examples per (cluster, category).
+def critical_findings(matches: DataFrame, totals: DataFrame) -> DataFrame:
+    """Per (cluster, category) with critical or else high matches, from capped matches and their totals.
 
-    Expects the capped, ordered matches of :func:`search_by_level`, so a group
-    holds 120 rows at most, and the counts of :func:`level_totals`.
+    Severity follows all matches, as :func:`runscope.operators.matching.level_totals`
+    counts them. ``count`` counts those of that severity among the capped
+    ``matches`` of :func:`runscope.operators.matching.search_by_level`, or all if
+    none of them is; ``examples`` are the first of them. :func:`findings` needs no
+    capped matches.
     """
     whole = totals.groupBy("cluster_id", "category").agg(
-        *[F.sum(name).alias(name) for name in ("matches_total", "critical_total", "high_total")])
+        *[F.sum(name).alias(name) for name in ("critical_total", "high_total")])
     critical, high = F.col("severity") == "critical", F.col("severity") == "high"
     row = F.struct("level", "rn", F.struct("file", "line_number", "line", "severity").alias("m"))
-    stats = matches.groupBy("cluster_id", "category").agg(
-        F.count("*").alias("matches"), F.max("level").alias("deepest"),
-        F.max(_out_of_memory()).alias("memory_hits"),
-        F.count_if(critical).alias("critical_count"), F.count_if(high).alias("high_count"),
+    # a group holds as many rows as the caps of the levels allow
+    shown = matches.groupBy("cluster_id", "category").agg(
+        F.count_if(critical).alias("n_critical"), F.count_if(high).alias("n_high"),
         F.array_sort(F.collect_list(F.when(critical, row))).alias("c"),
         F.array_sort(F.collect_list(F.when(high, row))).alias("h"),
     )
-    worst = F.col("critical_count") > 0
-    return stats.join(whole, ["cluster_id", "category"]).select(
-        "cluster_id", "category", "matches", "deepest", "memory_hits", "matches_total", "critical_total", "high_total",
-        F.when(worst, "critical").when(F.col("high_count") > 0, "high").alias("severity"),
-        F.when(worst, F.col("critical_count")).otherwise(F.col("high_count")).alias("count"),
-        F.expr("transform(if(critical_count > 0, slice(c, 1, 3), slice(h, 1, 2)), x -> x.m)")
-        .alias("examples"),
+    worst = F.col("critical_total") > 0
+    count = F.when(worst, F.col("n_critical")).otherwise(F.col("n_high"))
+    return whole.filter("critical_total + high_total > 0").join(shown, ["cluster_id", "category"], "left").select(
+        "cluster_id", "category", F.when(worst, "critical").otherwise("high").alias("severity"),
+        F.when(count > 0, count).when(worst, F.col("critical_total")).otherwise(F.col("high_total")).alias("count"),
+        F.expr("transform(if(critical_total > 0, slice(c, 1, 3), slice(h, 1, 2)), x -> x.m)").alias("examples"),
+        "critical_total", "high_total",
     )
 
 
-def critical_findings(matches: DataFrame, totals: DataFrame) -> DataFrame:
-    """Per (cluster, category): the critical matches if any, else the high ones.
+def _over_levels(stats: DataFrame) -> DataFrame:
+    """:func:`category_stats` per (cluster, category); there are as many rows in a group as levels."""
+    ordered = "flatten(transform(array_sort(collect_list(struct(level, {0}))), x -> x.{0}))"
+    counts = ("matches_total", "critical_total", "high_total")
+    rows = stats.withColumn("matches", under_cap()).groupBy("cluster_id", "category").agg(
+        *[F.sum(name).alias(name) for name in ("matches", *counts)], F.max("level").alias("deepest"),
+        F.max("memory_hits").alias("memory_hits"),
+        *[F.expr(ordered.format(name)).alias(name) for name in ("critical", "high")])
+    worst = F.col("critical_total") > 0
+    return rows.select(
+        "cluster_id", "category", "matches", "deepest", "memory_hits", *counts,
+        F.when(worst, "critical").when(F.col("high_total") > 0, "high").alias("severity"),
+        F.when(worst, F.col("critical_total")).otherwise(F.col("high_total")).alias("count"),
+        F.expr("if(critical_total > 0, slice(critical, 1, 3), slice(high, 1, 2))").alias("examples"))
+
 
-    ``count`` counts the capped ``matches``; ``critical_total`` and
-    ``high_total`` are those of ``totals``, without caps.
+def findings(stats: DataFrame) -> DataFrame:
+    """Per (cluster, category): the critical matches if there are any, else the high ones; all are counted.
+
+    ``stats`` is :func:`runscope.operators.matching.category_stats`, perhaps
+    with :func:`keep_focus`.
     """
-    return _category_stats(matches, totals).filter("severity IS NOT NULL").select(
-        "cluster_id", "category", "severity", "count", "examples", "critical_total", "high_total"
-    )
+    return _over_levels(stats).filter("severity IS NOT NULL").select(
+        "cluster_id", "category", "severity", "count", "examples", "critical_total", "high_total")
 
 
 def _out_of_memory() -> Column:
@@ -97,14 +114,18 @@ def _out_of_memory() -> Column:
 def recommendations(matches: DataFrame) -> DataFrame:
     """Per cluster: advice for the categories that have a match.
 
-    A critical out-of-memory line counts as a memory issue too, because the
-    search stops before the memory patterns when it finds one.
+    Takes match rows, or the rows of :func:`runscope.operators.matching.category_stats`,
+    which know all matches. A critical out-of-memory line counts as a memory issue
+    instead, because the search stops before the memory patterns when it finds one.
     """
     advice = "map(" + ", ".join(f"{sql_text(c)}, {sql_text(t)}" for c, t in RECOMMENDATIONS) + ")"
-    seen = F.when(_out_of_memory(), "memory_issues").otherwise(F.col("category"))
-    listed = seen.isin(*[c for c, _ in RECOMMENDATIONS])
+    if "memory_hits" in matches.columns:
+        named = F.explode(F.when(F.col("memory_hits"), F.array(F.lit("memory_issues"), "category")).otherwise(F.array("category")))
+    else:
+        named = F.when(_out_of_memory(), "memory_issues").otherwise(F.col("category"))
     return (
-        matches.select("cluster_id", seen.alias("category")).filter(listed)
+        matches.select("cluster_id", named.alias("category"))
+        .filter(F.col("category").isin(*[c for c, _ in RECOMMENDATIONS]))
         .distinct()
         .withColumn("recommendation", F.element_at(F.expr(advice), F.col("category")))
     )
@@ -115,13 +136,10 @@ def smart_analysis(
 ) -> DataFrame:
     """One row per cluster with a match: findings, counts, levels used and advice.
 
-    Columns and fields that end in ``_total`` count all matches, the others those under the caps.
+    Severities, the ``count`` of a finding and what ends in ``_total`` follow all
+    matches; ``total_errors`` and ``matches`` are what the caps of the levels show.
     """
-    found = keep_focus(
-        search_by_level(contents, max_levels=max_levels, keep_order=True), focus_areas
-    )
-    totals = keep_focus(level_totals(contents, max_levels=max_levels), focus_areas)
-    stats = _category_stats(found, totals).groupBy("cluster_id").agg(
+    stats = _over_levels(keep_focus(category_stats(contents, max_levels=max_levels), focus_areas)).groupBy("cluster_id").agg(
         F.array_sort(F.collect_list(
             F.struct("category", "matches", "severity", "count", "examples",
                      "matches_total", "critical_total", "high_total")
@@ -168,20 +186,19 @@ def failure_diagnosis(
     a few findings before it meets the runs again. ``limit`` is that of
     :func:`runscope.operators.jobs.failed_runs`; ``None`` looks at all runs.
     """
-    found = failed_run_rows(jobs, runs, as_of, name_pattern, hours_back, limit)
+    rows = failed_run_rows(jobs, runs, as_of, name_pattern, hours_back, limit)
     # slim rows that are needed three times below
-    failed = cut_lineage(found.select("run_id", "job_id", "job_name", "start_time", "cluster_id", "state"))
+    failed = cut_lineage(rows.select("run_id", "job_id", "job_name", "start_time", "cluster_id", "state"))
     used = cut_lineage(run_clusters(failed, tasks))
     affected = join_checked(
         contents, used.select("cluster_id").distinct(), ["cluster_id"], "left_semi"
     )
-    matches = keep_focus(search_by_level(affected, keep_order=True), focus_areas)
-    findings = critical_findings(matches, keep_focus(level_totals(affected), focus_areas))
+    found = findings(keep_focus(category_stats(affected), focus_areas))
     named = failed.select("run_id", "job_id", "job_name", "start_time", "state.result_state",
                           "state.life_cycle_state")
     advice = "map(" + ", ".join(f"{sql_text(c)}, {sql_text(t)}" for c, t in RECOMMENDATIONS) + ")"
     return (
-        used.join(findings, "cluster_id").join(named, "run_id")
+        used.join(found, "cluster_id").join(named, "run_id")
         .withColumn("recommendation", F.try_element_at(F.expr(advice), F.col("category")))
         .select(
             "run_id", "job_id", "job_name", "start_time", "result_state", "life_cycle_state",
