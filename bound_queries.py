@@ -11,7 +11,7 @@ from runscope import catalogs
 from runscope.functions import classify, text, timespan
 from runscope.operators import chunking, jobs, matching, oversize, pattern_tables, snippets
 from runscope.plans import analysis, diagnose, reports
-from runscope.sources import files, tables
+from runscope.sources import exports, files, tables
 from runscope.streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -231,6 +231,11 @@ def search_leveled_distinct(spark, folder):
     return flat_matches(found, "level")
 
 
+@query
+def search_leveled_staged(spark, folder):
+    return flat_matches(matching.search_by_level_staged(tables.event_contents(spark, folder)), "level")
+
+
 @query
 def level_summary(spark, folder):
     return matching.level_summary(tables.event_contents(spark, folder))
@@ -527,6 +532,36 @@ def job_timeline(spark, folder):
     )
 
 
+def _exported(spark, folder):
+    """The runs written as an export, among them a broken line and a record without a job per customer."""
+    root = feeds.scratch_path(spark, "export")
+    exports.export_records(tables.runs(spark, folder), tables.run_tasks(spark, folder)).write.json(f"{root}/good")
+    broken = tables.jobs(spark, folder).select(F.explode(F.array(
+        F.concat(F.lit('{"run_id": '), "job_id", F.lit(', "job_id": "'), "job_name", F.lit('"}')),
+        F.concat(F.lit('{"run_id": '), F.col("job_id") + 10**9, F.lit(', "run_name": "'), "job_name", F.lit('"}')),
+        F.concat(F.lit('{"run_id": '), "job_id", F.lit(", ")))).alias("value"))
+    broken.write.text(f"{root}/bad")
+    return exports.exported_records(spark, root)
+
+
+@query
+def runs_from_export(spark, folder):
+    return flat_runs(exports.runs_from_export(_exported(spark, folder)))
+
+
+@query
+def tasks_from_export(spark, folder):
+    return exports.tasks_from_export(_exported(spark, folder)).select(
+        "run_id", "task_key", "cluster_id", F.col("state.result_state").alias("task_result"),
+        stamp("start_time").alias("task_start"))
+
+
+@query
+def rejected_records(spark, folder):
+    return exports.rejected_records(_exported(spark, folder)).groupBy("reason").agg(
+        F.count("*").alias("records"), F.sum(F.length("record")).alias("characters"))
+
+
 # ---- diagnosis ---------------------------------------------------------------
 
 
@@ -539,7 +574,11 @@ def _diagnosis(spark, folder):
 
 @query
 def failure_diagnosis(spark, folder):
-    return _diagnosis(spark, folder).select(
+    return flat_diagnosis(_diagnosis(spark, folder))
+
+
+def flat_diagnosis(found: DataFrame) -> DataFrame:
+    return found.select(
         "run_id", "job_id", "job_name", stamp("start_time").alias("start_time"), "result_state",
         "life_cycle_state", "cluster_id", "category", "severity", "count", "critical_total", "high_total",
         F.array_join(F.transform("examples", lambda m: F.concat_ws(
@@ -619,8 +658,26 @@ def stream_failed_runs(spark, folder):
     return feeds.run_available(found.select("run_id", "job_id", "job_name"), "alerts")
 
 
+@query
+def error_bursts(spark, folder):
+    lines = tables.lines_from_events(spark.read.parquet(f"{folder}/events.parquet"))
+    found = matching.find_matches(tables.with_file_columns(
+        lines.withColumnRenamed("line", "content").withColumnRenamed("ts", "last_modified")))
+    timed = found.withColumn("event_time", classify.line_event_time(F.col("line")).cast("timestamp"))
+    return _windows(feeds.sliced_bursts(timed, "6 hours"))
+
+
 @query
 def stream_error_sessions(spark, folder):
     matches = _event_stream_matches(spark, folder).withColumn(
         "event_time", classify.line_event_time(F.col("line")).cast("timestamp")).filter("event_time IS NOT NULL")
     return _windows(feeds.run_to_end(feeds.error_bursts(matches, "6 hours"), "bursts"))
+
+
+@query
+def stream_failure_diagnosis(spark, folder):
+    runs = tables.runs_from_orders(feeds.stream_table(spark, folder, "orders"))
+    span = timespan.look_back(tables.RUNS_AS_OF, tables.LOOK_BACK_HOURS)
+    return flat_diagnosis(feeds.diagnose_alerts(
+        runs.filter(timespan.in_range("start_time", span)), tables.jobs(spark, folder), tables.run_tasks(spark, folder),
+        tables.event_contents(spark, folder), "diagnoses"))

@@ -663,3 +663,15 @@ ORACLES["custom_patterns_table"] = (
     f"WITH {DOCUMENTS}, {_TABLE_PATTERNS}, {_TABLE_MATCHES[_TABLE_MATCHES.index('raw AS'):]} SELECT {MATCH} FROM found")
 ORACLES["custom_patterns_rejected"] = """SELECT 'broken' AS category, CAST(n_nationkey AS INTEGER) AS pattern_idx,
   '[' || lower(n_name) AS pattern, true AS has_reason FROM nation"""
+ORACLES["search_leveled_staged"] = ORACLES["search_leveled"]
+ORACLES["error_bursts"] = ORACLES["stream_error_sessions"]
+ORACLES["runs_from_export"] = f"WITH {RUNS} SELECT {RUN_COLUMNS} FROM runs"
+ORACLES["tasks_from_export"] = f"""WITH {RUNS} SELECT run_id, task_key, t.cluster_id, task_result,
+  substr(CAST(task_start AS VARCHAR), 1, 19) AS task_start FROM runs LEFT JOIN tasks t USING (run_id)"""
+ORACLES["rejected_records"] = """SELECT 'not_json' AS reason, count(*) * 2 AS records,
+  CAST(sum(length('{"run_id": ' || c_custkey || ', "job_id": "' || c_name || '"}')
+           + length('{"run_id": ' || c_custkey || ', ')) AS BIGINT) AS characters FROM customer
+  UNION ALL SELECT 'no_job_id', count(*),
+  CAST(sum(length('{"run_id":' || (c_custkey + 1000000000) || ',"run_name":"' || c_name || '"}')) AS BIGINT) FROM customer"""
+# the stream looks at all runs, not at the newest of every job
+ORACLES["stream_failure_diagnosis"] = ORACLES["failure_diagnosis"].replace("QUALIFY rn <= 20", "")

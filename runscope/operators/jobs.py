@@ -44,9 +44,13 @@ def project_runs(raw: DataFrame) -> DataFrame:
     )
 
 
-def project_tasks(raw: DataFrame) -> DataFrame:
-    """The nested tasks of exported run records, one row per task."""
-    tasks = raw.select("run_id", F.explode("tasks").alias("t")).select("run_id", "t.*")
+def project_tasks(raw: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """The nested tasks of exported run records, one row per task.
+
+    ``keep_empty`` keeps a run without tasks as a row whose other columns are null.
+    """
+    each = F.explode_outer("tasks") if keep_empty else F.explode("tasks")
+    tasks = raw.select("run_id", each.alias("t")).select("run_id", "t.*")
     return tasks.select(
         "run_id", "task_key",
         F.nullif(F.col("cluster_instance.cluster_id"), F.lit("")).alias("cluster_id"),

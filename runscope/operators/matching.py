@@ -333,15 +333,7 @@ def search_by_level(
         (number, catalog, cap)
         for number, (catalog, cap) in enumerate(zip(levels, caps, strict=True), start=1)
     ][:max_levels]
-    found = _file_matches(contents, plan)
-    cap = F.lit(None).cast("int")
-    for number, _, size in plan:
-        cap = F.when(F.col("level") == number, F.lit(size).cast("int")).otherwise(cap)
-    sizes = [size for _, _, size in plan]
-    capped = top_n_per_group(
-        found, ["cluster_id", "level", "category"], search_order(),
-        None if None in sizes else max(sizes), ["file_path"],
-    ).filter(cap.isNull() | (F.col("rn") <= cap))
+    capped = _capped(_file_matches(contents, plan), plan)
     per_cluster = F.expr(
         "max(level = 1 AND category = 'critical_errors') OVER (PARTITION BY cluster_id)"
     )
@@ -357,6 +349,45 @@ def search_by_level(
     return kept
 
 
+def _capped(found: DataFrame, plan: Plan) -> DataFrame:
+    """The first matches per (cluster, level, category), each level up to its own cap, numbered in ``rn``."""
+    cap = F.lit(None).cast("int")
+    for number, _, size in plan:
+        cap = F.when(F.col("level") == number, F.lit(size).cast("int")).otherwise(cap)
+    sizes = [size for _, _, size in plan]
+    return top_n_per_group(
+        found, ["cluster_id", "level", "category"], search_order(),
+        None if None in sizes else max(sizes), ["file_path"],
+    ).filter(cap.isNull() | (F.col("rn") <= cap))
+
+
+def search_by_level_staged(
+    contents: DataFrame,
+    levels: Sequence[Catalog] = LEVEL_CATALOGS,
+    caps: Sequence[int | None] = LEVEL_CAPS,
+    max_levels: int = 3,
+    keep_order: bool = False,
+) -> DataFrame:
+    """:func:`search_by_level` in two looks at the texts: deeper levels only meet clusters that go on.
+
+    Level 1 alone runs first and its capped matches are checkpointed. Clusters
+    that stop there are then taken out by an anti-join below the text work, so
+    their files are not matched again. Cheaper than one look at all levels where
+    many clusters stop; it runs jobs while it is called.
+    """
+    plan = [
+        (number, catalog, cap)
+        for number, (catalog, cap) in enumerate(zip(levels, caps, strict=True), start=1)
+    ][:max_levels]
+    columns = [*MATCH_COLUMNS, "level", *(["last_modified", "rn"] if keep_order else [])]
+    first = cut_lineage(_capped(_file_matches(contents, plan[:1]), plan[:1]).select(*columns))
+    if len(plan) == 1:
+        return first
+    stopped = first.filter("category = 'critical_errors'").select("cluster_id").distinct()
+    rest = join_checked(contents, stopped, ["cluster_id"], "left_anti")
+    return first.unionByName(_capped(_file_matches(rest, plan[1:]), plan[1:]).select(*columns))
+
+
 # All matches of one category ``cat`` of a file, with their line.
 _SEEN = f"""
 named_struct('level', cat.level, 'category', cat.category, 'rows', flatten(transform(cat.ids, (id, i) -> transform(

@@ -186,9 +186,16 @@ def failure_diagnosis(
     a few findings before it meets the runs again. ``limit`` is that of
     :func:`runscope.operators.jobs.failed_runs`; ``None`` looks at all runs.
     """
-    rows = failed_run_rows(jobs, runs, as_of, name_pattern, hours_back, limit)
+    found = failed_run_rows(jobs, runs, as_of, name_pattern, hours_back, limit)
+    return diagnosis_of(found, tasks, contents, focus_areas)
+
+
+def diagnosis_of(
+    failed: DataFrame, tasks: DataFrame, contents: DataFrame, focus_areas: Sequence[str] | None = None
+) -> DataFrame:
+    """:func:`failure_diagnosis` of given failed runs; the logs are semi-joined with the clusters these used."""
     # slim rows that are needed three times below
-    failed = cut_lineage(rows.select("run_id", "job_id", "job_name", "start_time", "cluster_id", "state"))
+    failed = cut_lineage(failed.select("run_id", "job_id", "job_name", "start_time", "cluster_id", "state"))
     used = cut_lineage(run_clusters(failed, tasks))
     affected = join_checked(
         contents, used.select("cluster_id").distinct(), ["cluster_id"], "left_semi"

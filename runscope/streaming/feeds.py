@@ -6,9 +6,10 @@ on batch input too); :func:`run_available` drives one to the end of its input.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runscope.catalogs import SEARCH_CATALOG, Catalog
@@ -16,9 +17,20 @@ from runscope.functions.classify import line_event_time
 from runscope.operators.jobs import is_failed
 from runscope.operators.matching import find_matches
 from runscope.operators.ranking import scratch_path
+from runscope.plans import diagnose
 from runscope.sources.files import LAYOUT, described, usable_texts
 
 
+DIAGNOSIS = (
+    "run_id BIGINT, job_id BIGINT, job_name STRING, start_time TIMESTAMP_NTZ, result_state STRING, "
+    "life_cycle_state STRING, cluster_id STRING, category STRING, severity STRING, count BIGINT, "
+    "examples ARRAY<STRUCT<file: STRING, line_number: INT, line: STRING, severity: STRING>>, "
+    "critical_total BIGINT, high_total BIGINT, recommendation STRING"
+)
+# Sessions of a task are merged before they are shuffled.
+MERGE_FIRST = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
+
 def stream_log_contents(
     spark: SparkSession, root: str, max_size_mb: float | None = None, layout: str = LAYOUT
 ) -> DataFrame:
@@ -67,9 +79,9 @@ def error_bursts(lines: DataFrame, gap: str = "30 minutes", delay: str = "10 min
     """Runs of error lines per cluster that are closer together than ``gap``.
 
     Expects ``cluster_id`` and a TIMESTAMP column ``event_time``. The sessions of
-    one cluster meet in one task; where a cluster is very busy, set the session's
-    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` to
-    true, so that they are merged before the shuffle.
+    one cluster meet in one task. :func:`run_to_end` has them merged before the
+    shuffle, so that a task sends a few rows of a busy cluster; for a batch see
+    :func:`sliced_bursts`.
     """
     return (
         lines.withWatermark("event_time", delay)
@@ -80,12 +92,84 @@ def error_bursts(lines: DataFrame, gap: str = "30 minutes", delay: str = "10 min
     )
 
 
+def sliced_bursts(lines: DataFrame, gap: str = "30 minutes", slice_hours: int = 6) -> DataFrame:
+    """:func:`error_bursts` of a batch, with the lines of one cluster spread over tasks by time.
+
+    Sessions are built per (cluster, slice of time) and stitched where the last
+    of one slice reaches into the next. What meets in one task per cluster is a
+    row per partial session, so its number follows the time covered, not the lines.
+    """
+    place = F.floor(F.unix_seconds("event_time") / (3600 * slice_hours))
+    partial = (
+        lines.filter(F.col("event_time").isNotNull()).withColumn("slice", place)
+        .groupBy(F.session_window("event_time", gap).alias("w"), "cluster_id", "slice")
+        .agg(F.count("*").alias("n"))
+        .select("cluster_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    )
+    order = Window.partitionBy("cluster_id").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(F.col("start") <= reach, 0).otherwise(1)     # as sessions merge where one ends as the next starts
+    return (
+        partial.withColumn("fresh", fresh).withColumn("burst", F.sum("fresh").over(order))
+        .groupBy("cluster_id", "burst")
+        .agg(F.min("start").alias("burst_start"), F.max("end").alias("burst_end"), F.sum("n").alias("errors"))
+        .drop("burst")
+    )
+
+
 def stream_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """A parquet table of ``folder`` as a file stream."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
+def diagnose_alerts(
+    runs: DataFrame, jobs: DataFrame, tasks: DataFrame, contents: DataFrame, name: str,
+    focus_areas: Sequence[str] | None = None,
+) -> DataFrame:
+    """From failed runs as they arrive to the likely causes in the logs of their clusters, up to the end of the input.
+
+    Each micro-batch diagnoses its failed runs and writes rows and run ids under
+    its own number, so a repeated batch replaces its own tables. A run that
+    arrives again is diagnosed again, and its newest batch counts
+    (:func:`latest_diagnoses`).
+    """
+    spark = runs.sparkSession
+    place = scratch_path(spark, name)
+    query = (
+        runs.filter(is_failed()).writeStream.foreachBatch(diagnosis_writer(place, jobs, tasks, contents, focus_areas))
+        .option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return latest_diagnoses(spark, place)
+
+
+def diagnosis_writer(
+    place: str, jobs: DataFrame, tasks: DataFrame, contents: DataFrame, focus_areas: Sequence[str] | None = None
+) -> Callable[[DataFrame, int], None]:
+    """The function that :func:`diagnose_alerts` calls with each micro-batch and its number."""
+    def write(batch: DataFrame, number: int) -> None:
+        alerts = batch.dropDuplicates(["run_id"]).join(jobs.select("job_id", "job_name"), "job_id")
+        found = diagnose.diagnosis_of(alerts, tasks, contents, focus_areas)
+        found.write.mode("overwrite").parquet(f"{place}/rows/batch={number}")
+        batch.select("run_id").distinct().write.mode("overwrite").parquet(f"{place}/runs/batch={number}")
+
+    return write
+
+
+def latest_diagnoses(spark: SparkSession, place: str) -> DataFrame:
+    """The rows of every run's newest batch; an empty table if no batch was written."""
+    try:
+        rows = spark.read.schema(f"{DIAGNOSIS}, batch BIGINT").parquet(f"{place}/rows")
+        runs = spark.read.schema("run_id BIGINT, batch BIGINT").parquet(f"{place}/runs")
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], DIAGNOSIS)
+    newest = runs.groupBy("run_id").agg(F.max("batch").alias("batch"))
+    return rows.join(newest, ["run_id", "batch"], "left_semi").drop("batch")
+
+
 def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     """Process what is there as a stream that has ended, and return all groups of its aggregation.
 
@@ -101,10 +185,15 @@ def run_to_end(stream: DataFrame, name: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{place}/rows/{number}")
         done.append(number)
 
-    query = (
-        stream.writeStream.outputMode("complete").foreachBatch(keep)
-        .option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start()
-    )
+    before = spark.conf.get(MERGE_FIRST)
+    spark.conf.set(MERGE_FIRST, "true")     # the query keeps the settings of its start
+    try:
+        query = (
+            stream.writeStream.outputMode("complete").foreachBatch(keep)
+            .option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(MERGE_FIRST, before)
     query.awaitTermination()
     if not done:
         return spark.createDataFrame([], stream.schema)
