@@ -19,6 +19,15 @@ _WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 # A word of plain Latin letters, perhaps with marks behind it: one or two runs for both pre-tokenizers.
 _WORD_AND_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|]*)")
 _RUNS = re.compile(r"\s\s")
+_PLAIN_RUNS = ("  ", "\n\n", " \n", "\n ")
+_OTHER_SPACES = [chr(c) for c in range(0x110000) if chr(c).isspace() and chr(c) not in " \n"]
+
+
+def has_runs(text: str) -> bool:
+    """True if two characters of white space follow each other; mostly without a look at every character."""
+    if any(space in text for space in _OTHER_SPACES):
+        return _RUNS.search(text) is not None
+    return any(run in text for run in _PLAIN_RUNS)
 
 
 def _kind(config: dict) -> str:
@@ -59,7 +68,12 @@ class _Memo(dict):
         if body.isascii() and body.isalpha():
             ids = self.word(part)
         elif found := _WORD_AND_MARKS.fullmatch(part):
-            ids = self[found[1]] + self[found[2]] if found[2] else self.word(part)
+            if not found[2]:
+                ids = self.word(part)
+            elif found[1] in self:
+                ids = self[found[1]] + self[found[2]]
+            else:                           # a rare word is remembered by itself only
+                return self[found[1]] + self[found[2]]
         else:
             ids = self.encode(part) if part else b""
         if len(part) <= LONGEST_PART:
@@ -107,7 +121,7 @@ def encoder(path: str) -> Callable[[str | None], bytes]:
             if text.isascii() and "<|" not in text:     # the tokenizer lowers letters; marks of special tokens stay
                 text = text.lower()
             return b"".join(map(memo.__getitem__, text.replace("\n", " ").split(" ")))
-        if kind == "space" and "\0" not in text and not _RUNS.search(text):
+        if kind == "space" and "\0" not in text and not has_runs(text):
             parts = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
             return b"".join(map(memo.__getitem__, parts))
         return whole(text)
