@@ -100,6 +100,31 @@ def file_contents_gzip(spark, folder):
     return _written(spark, folder, gzip=True)
 
 
+@query
+def file_contents_crlf(spark, folder):
+    """Line ends of two bytes are one line end in the texts."""
+    contents = tables.event_contents(spark, folder)
+    root = feeds.scratch_path(spark, "crlf")
+    layout = files.write_contents(contents.withColumn("content", F.replace("content", F.lit("\n"), F.lit("\r\n"))), root)
+    return files.log_contents(spark, root, layout=layout).select(
+        "cluster_id", "file_name", F.md5("content").alias("digest"))
+
+
+@query
+def file_not_utf8(spark, folder):
+    """Files with a byte that is no UTF-8 are reported, and the others are read."""
+    bad = F.col("file_name") == "stdout"
+    contents = tables.event_contents(spark, folder).withColumn(
+        "content", F.when(bad, F.concat("content", F.unhex(F.lit("FF")).cast("string"))).otherwise(F.col("content")))
+    root = feeds.scratch_path(spark, "bytes")
+    layout = files.write_contents(contents, root)
+    read = files.log_contents(spark, root, layout=layout).groupBy("cluster_id").agg(F.count("*").alias("files"))
+    left_out = files.rejected_files(spark, root, layout=layout).groupBy("cluster_id", "reason").agg(
+        F.count("*").alias("files"))
+    return read.select("cluster_id", F.lit("read").alias("outcome"), "files").unionByName(
+        left_out.select("cluster_id", F.col("reason").alias("outcome"), "files"))
+
+
 @query
 def file_lines(spark, folder):
     root = feeds.scratch_path(spark, "lines")

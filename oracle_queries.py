@@ -675,3 +675,6 @@ ORACLES["rejected_records"] = """SELECT 'not_json' AS reason, count(*) * 2 AS re
   CAST(sum(length('{"run_id":' || (c_custkey + 1000000000) || ',"run_name":"' || c_name || '"}')) AS BIGINT) FROM customer"""
 # the stream looks at all runs, not at the newest of every job
 ORACLES["stream_failure_diagnosis"] = ORACLES["failure_diagnosis"].replace("QUALIFY rn <= 20", "")
+ORACLES["file_contents_crlf"] = f"WITH {_WRITTEN} SELECT cluster_id, file_name, md5(content) AS digest FROM written"
+ORACLES["file_not_utf8"] = f"""WITH {EVENTS} SELECT cluster_id,
+  CASE WHEN file_name = 'stdout' THEN 'not_utf8' ELSE 'read' END AS outcome, count(*) AS files FROM contents GROUP BY ALL"""
