@@ -422,7 +422,9 @@ def flat_rounds(found: DataFrame) -> DataFrame:
     return found.select(
         "cluster_id", "total_iterations",
         joined(F.transform("error_summary", lambda e: F.concat_ws(
-            "=", e.error_type, e.frequency, e.distinct_chunks, e.severity))).alias("errors"),
+            "=", e.error_type, e.frequency, e.distinct_chunks, e.frequency_total, e.severity))).alias("errors"),
+        joined(F.transform("category_totals", lambda e: F.concat_ws("=", e.error_type, e.frequency_total)))
+        .alias("category_totals"),
         joined(F.transform("prioritized_chunks", lambda c: F.concat_ws(
             "#", c.iteration, c.file_path, c.chunk_no))).alias("chunks"),
     )

@@ -338,6 +338,14 @@ ran AS (
   SELECT s.*, least(estimate, budget) AS token_usage FROM steps s
   WHERE NOT EXISTS (SELECT 1 FROM steps p WHERE p.cluster_id = s.cluster_id AND p.iteration < s.iteration
                     AND ((p.iteration = 1 AND p.critical) OR p.budget - least(p.estimate, p.budget) < 1000))),
+totals AS (
+  SELECT cluster_id, category, count(*) AS frequency_total, any_value(place) AS place
+  FROM (SELECT cluster_id, unnest(string_split(i12, ',')) AS category FROM score WHERE i12 <> '') JOIN cats USING (category)
+  GROUP BY ALL),
+round_totals AS (
+  SELECT r.cluster_id, r.iteration, t.category, t.frequency_total, t.place
+  FROM ran r JOIN totals t USING (cluster_id) JOIN searched s
+    ON s.iteration = r.iteration AND list_contains(string_split(s.patterns_searched, ', '), t.category)),
 merged AS (
   SELECT l.cluster_id, category, sum(frequency) AS frequency, any_value(l.severity) AS severity,
          any_value(solution) AS solution, any_value(severity_rank) AS severity_rank,
@@ -559,15 +567,22 @@ ORACLES: dict[str, str] = {
         SELECT p.* EXCLUDE (chunk_count), (SELECT count(*) FROM contents c WHERE c.cluster_id = p.cluster_id) AS files_analyzed,
                'worker' AS search_pattern, 'standard' AS analysis_method FROM per_cluster p""",
     "analyze_iterative": f"""WITH {EVENTS}, {rounds(ITERATIVE_TOKENS)}
-        SELECT r.cluster_id, r.total_iterations, coalesce(e.errors, '') AS errors, g.chunks
+        SELECT r.cluster_id, r.total_iterations, coalesce(e.errors, '') AS errors, coalesce(a.category_totals, '') AS category_totals, g.chunks
         FROM (SELECT cluster_id, count(*) AS total_iterations FROM ran GROUP BY ALL) r
-        LEFT JOIN (SELECT cluster_id, string_agg(category || '=' || frequency || '=' || distinct_chunks || '=' || severity, ',' ORDER BY o) AS errors
-                   FROM ordered GROUP BY ALL) e USING (cluster_id)
+        LEFT JOIN (SELECT cluster_id, string_agg(category || '=' || frequency || '=' || distinct_chunks || '=' || frequency_total
+                     || '=' || severity, ',' ORDER BY o) AS errors
+                   FROM ordered JOIN totals USING (cluster_id, category) GROUP BY ALL) e USING (cluster_id)
+        LEFT JOIN (SELECT cluster_id, string_agg(category || '=' || frequency_total, ',' ORDER BY place) AS category_totals
+                   FROM (SELECT DISTINCT cluster_id, category, frequency_total, place FROM round_totals) GROUP BY ALL) a USING (cluster_id)
         JOIN (SELECT cluster_id, string_agg(iteration || '#' || file_path || '#' || chunk_no, ',' ORDER BY o) AS chunks
               FROM gathered WHERE o <= 15 GROUP BY ALL) g USING (cluster_id)""",
     "iteration_breakdown": f"""WITH {EVENTS}, {rounds(ITERATIVE_TOKENS)}
         SELECT cluster_id, iteration, patterns_searched, errors_found, chunks_analyzed,
-               round(CAST(token_usage AS DOUBLE), 6) AS token_usage FROM ran JOIN searched USING (iteration)""",
+               round(CAST(token_usage AS DOUBLE), 6) AS token_usage, coalesce(errors_total, 0) AS errors_total,
+               coalesce(frequency_total, 0) AS frequency_total
+        FROM ran JOIN searched USING (iteration) LEFT JOIN (
+          SELECT cluster_id, iteration, count(*) AS errors_total, CAST(sum(frequency_total) AS BIGINT) AS frequency_total
+          FROM round_totals GROUP BY ALL) USING (cluster_id, iteration)""",
     "iterative_report": f"""WITH {EVENTS}, {rounds(100000)} {ITERATIVE} SELECT *,
         round(len(regexp_extract_all(optimized_content, '{WORD}')) * 1.3e0, 6) AS token_estimate FROM report""",
     "token_estimate": f"""WITH {DOCUMENTS} SELECT file_path,

@@ -23,7 +23,7 @@ from runscope.operators.chunking import (
     score_sql,
     with_texts,
 )
-from runscope.operators.ranking import join_checked, top_n_per_group, top_n_with_total
+from runscope.operators.ranking import cut_lineage, join_checked, top_n_per_group, top_n_with_total
 from runscope.plans.reports import iterative_report, standard_report
 
 TOKEN_LIMIT = 100_000
@@ -172,8 +172,12 @@ def analyze_logs(
 def _rounds(
     contents: DataFrame, search_query: str | None, lines_per_chunk: int, catalog: Catalog,
     max_iterations: int,
-) -> DataFrame:
-    """One row per (cluster, round): its chunks in rank order."""
+) -> tuple[DataFrame, DataFrame]:
+    """One row per (cluster, round): its chunks in rank order; and per cluster, the chunks that show each category.
+
+    A file is reduced in its own row to the keys of its best chunks and to its
+    totals, and these slim rows are written once, so the text is scored once.
+    """
     files = file_chunks(contents, search_query, lines_per_chunk, catalog)
     plan = [ROUNDS[min(i, len(ROUNDS) - 1)] for i in range(max_iterations)]
     per_round = []
@@ -185,9 +189,16 @@ def _rounds(
             f"))), 1, {keep}), c -> named_struct('iteration', {number}, 'neg', c.neg, "
             "'chunk_no', c.chunk_no, 'error_indicators', c.error_indicators))"
         )
-    rows = files.select(
+    showing = ", ".join(
+        f"CAST(size(filter(chunks, c -> c.hits[{i}] > 0)) AS BIGINT)" for i in range(len(catalog)))
+    reduced = cut_lineage(files.select(
         "cluster_id", "file_path", "file_name", "log_type", file_key().alias("file_key"),
-        F.expr(f"inline_outer(concat({', '.join(per_round)}))"),
+        F.expr(f"concat({', '.join(per_round)})").alias("best"), F.expr(f"array({showing})").alias("showing"),
+    ))
+    totals = reduced.groupBy("cluster_id").agg(
+        F.array(*[F.sum(F.get("showing", F.lit(i))) for i in range(len(catalog))]).alias("totals"))
+    rows = reduced.select(
+        "cluster_id", "file_path", "file_name", "log_type", "file_key", F.expr("inline_outer(best)"),
     ).filter("chunk_no IS NOT NULL")
     order = [F.col("neg"), F.col("file_key"), F.col("chunk_no")]
     best = top_n_per_group(
@@ -200,7 +211,7 @@ def _rounds(
             "rn", "iteration", "file_path", "file_name", "log_type", "chunk_no", "content", "neg",
             "error_indicators",
         ))).alias("chunks")
-    )
+    ), totals
 
 
 def _round_errors(catalog: Catalog) -> str:
@@ -224,6 +235,7 @@ def _merged_errors(catalog: Catalog) -> str:
     """Errors of all rounds with equal type merged; frequencies are added up."""
     names = ", ".join(sql_text(cat.name) for cat in catalog)
     rank = _lookup(catalog, lambda c: str(SEVERITY_RANK.get(c.severity, 0)), "t")
+    place = _category_columns(catalog, "t")["place"]
     return (
         f"transform(array_sort(flatten(transform(array({names}), t -> transform(filter("
         "array(filter(found, f -> f.e.error_type = t)), s -> size(s) > 0), s -> named_struct("
@@ -232,6 +244,7 @@ def _merged_errors(catalog: Catalog) -> str:
         "'error_type', t, 'description', s[0].e.description, "
         "'frequency', aggregate(s, 0L, (x, f) -> x + f.e.frequency), "
         "'distinct_chunks', CAST(size(array_distinct(flatten(transform(s, f -> f.e.seen_in)))) AS BIGINT), "
+        f"'frequency_total', totals[{place}], "
         "'severity', s[0].e.severity, 'suggested_solution', s[0].e.suggested_solution, "
         "'relevant_logs', s[0].e.relevant_logs)))))), x -> x.e)"
     )
@@ -252,28 +265,36 @@ def analyze_iteratively(
     token budget falls below 1000. Frequencies add up over rounds;
     ``distinct_chunks`` counts each chunk once. Rounds take the categories of
     highest priority first, whatever the order of the catalog.
+
+    A round keeps a few chunks only, and the names above count these. What ends
+    in ``_total``, and ``category_totals``, count all chunks of the cluster: a
+    category is listed there if a round that ran searched it and any chunk shows
+    it, in the order of the catalog. ``max_iterations`` beyond the fixed rounds
+    repeats the last one. Slim tables are written while the plan is built.
     """
     catalog = tuple(sorted(catalog, key=lambda c: -c.priority))
     sample = (
         f"aggregate(slice(chunks, 1, {SAMPLE_CHUNKS}), 0, "
         f"(x, c) -> x + regexp_count(substring(c.content, 1, {SAMPLE_CHARS}), {sql_text(WORD)})) * 1.3D"
     )
+    kept, totals = _rounds(contents, search_query, lines_per_chunk, catalog, max_iterations)
     rounds = (
-        _rounds(contents, search_query, lines_per_chunk, catalog, max_iterations)
-        .withColumn("errors", F.expr(_round_errors(catalog)))
+        kept.withColumn("errors", F.expr(_round_errors(catalog)))
         .withColumn("estimate", F.expr(sample))
     )
     per_cluster = rounds.groupBy("cluster_id").agg(
         F.array_sort(F.collect_list(F.struct("iteration", "chunks", "errors", "estimate"))).alias("all")
-    )
+    ).join(totals, "cluster_id")
     searched = {
-        number: ", ".join(cat.name for cat in catalog[: ROUNDS[min(number, len(ROUNDS)) - 1][0]])
-        for number in range(1, max_iterations + 1)
+        number: catalog[: ROUNDS[min(number, len(ROUNDS)) - 1][0]] for number in range(1, max_iterations + 1)
     }
-    names = "map(" + ", ".join(f"{n}, {sql_text(text)}" for n, text in searched.items()) + ")"
+    names = "map(" + ", ".join(
+        f"{n}, {sql_text(', '.join(cat.name for cat in own))}" for n, own in searched.items()) + ")"
+    sizes = "map(" + ", ".join(f"{n}, {len(own)}" for n, own in searched.items()) + ")"
+    seen = f"slice(totals, 1, element_at({sizes}, r.iteration))"
     entry = (
         "struct<iteration:int,patterns_searched:string,errors_found:int,"
-        "chunks_analyzed:int,token_usage:double>"
+        "chunks_analyzed:int,token_usage:double,errors_total:int,frequency_total:bigint>"
     )
     # the walk over the rounds carries the budget left and whether to go on
     walk = (
@@ -284,14 +305,20 @@ def analyze_iteratively(
         f"AND s.left - least(r.estimate, s.left) >= {MIN_BUDGET}, "
         "'done', concat(s.done, array(named_struct('iteration', r.iteration, "
         f"'patterns_searched', element_at({names}, r.iteration), 'errors_found', size(r.errors), "
-        "'chunks_analyzed', size(r.chunks), 'token_usage', least(r.estimate, s.left)))))), "
+        "'chunks_analyzed', size(r.chunks), 'token_usage', least(r.estimate, s.left), "
+        f"'errors_total', size(filter({seen}, n -> n > 0)), "
+        f"'frequency_total', aggregate({seen}, 0L, (x, n) -> x + n)))))), "
         "s -> s.done)"
     )
     walked = per_cluster.withColumn("iteration_breakdown", F.expr(walk))
     ran = walked.withColumn("ran", F.expr("slice(all, 1, size(iteration_breakdown))"))
     chunk = _CHUNK.format(c="c").replace("named_struct(", "named_struct('iteration', c.iteration, ", 1)
+    places = ", ".join(f"named_struct('error_type', {sql_text(cat.name)}, 'frequency_total', totals[{i}])"
+                       for i, cat in enumerate(catalog))
     gathered = ran.select(
-        "cluster_id", "iteration_breakdown",
+        "cluster_id", "iteration_breakdown", "totals",
+        F.expr(f"filter(slice(array({places}), 1, element_at({sizes}, size(iteration_breakdown))), "
+               "x -> x.frequency_total > 0)").alias("category_totals"),
         F.expr("flatten(transform(ran, r -> transform(r.errors, (e, i) -> "
                "named_struct('iteration', r.iteration, 'place', i, 'e', e))))").alias("found"),
         F.expr(f"flatten(transform(ran, r -> transform(r.chunks, c -> {chunk})))").alias("chunks"),
@@ -299,7 +326,7 @@ def analyze_iteratively(
     merged = gathered.select(
         "cluster_id", F.expr(_merged_errors(catalog)).alias("error_summary"),
         F.slice("chunks", 1, ROUND_CHUNKS).alias("prioritized_chunks"), "chunks",
-        "iteration_breakdown", F.size("iteration_breakdown").alias("total_iterations"),
+        "iteration_breakdown", F.size("iteration_breakdown").alias("total_iterations"), "category_totals",
     )
     return (
         merged.withColumn("optimized_content", iterative_report())
