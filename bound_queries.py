@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runscope import catalogs
 from runscope.functions import classify, text, timespan
-from runscope.operators import chunking, jobs, matching, oversize, pattern_tables, snippets
+from runscope.operators import chunking, jobs, matching, oversize, pattern_tables, snippets, templates
 from runscope.plans import analysis, diagnose, reports
 from runscope.sources import exports, files, tables
 from runscope.streaming import feeds
@@ -622,6 +622,20 @@ def common_failure_patterns(spark, folder):
     )
 
 
+@query
+def failure_templates(spark, folder):
+    return diagnose.failure_templates(
+        tables.jobs(spark, folder), tables.runs(spark, folder), tables.run_tasks(spark, folder),
+        tables.event_contents(spark, folder), tables.RUNS_AS_OF, tables.LOOK_BACK_HOURS, looks_like=None,
+    )
+
+
+@query
+def document_templates(spark, folder):
+    contents = tables.document_contents(spark, folder, SPREAD)
+    return templates.line_templates(matching.unmatched_lines(contents, tables.DOCUMENT_PATTERNS))
+
+
 @query
 def json_results(spark, folder):
     found = jobs.search_jobs(tables.jobs(spark, folder), JOB_PATTERN).select("job_id", "job_name")
@@ -708,3 +722,29 @@ def stream_failure_diagnosis(spark, folder):
     return flat_diagnosis(feeds.diagnose_alerts(
         runs.filter(timespan.in_range("start_time", span)), tables.jobs(spark, folder), tables.run_tasks(spark, folder),
         tables.event_contents(spark, folder), "diagnoses"))
+
+
+def _fed(spark, folder, name):
+    """Event logs that arrive in two waves, with a byte that is no UTF-8 in some files, taken in after each wave."""
+    root, place = feeds.scratch_path(spark, f"{name}-in"), feeds.scratch_path(spark, name)
+    bad = F.col("file_name") == "stdout"
+    contents = tables.event_contents(spark, folder).withColumn(
+        "content", F.when(bad, F.concat("content", F.unhex(F.lit("FF")).cast("string"))).otherwise(F.col("content")))
+    for wave in (0, 1):
+        mine = contents.filter(F.pmod(F.crc32("cluster_id"), F.lit(2)) == wave)
+        layout = files.write_contents(mine, f"{root}/wave={wave}")
+        feeds.take_in_files(spark, root, place, max_size_mb=CAP_MB, layout=f"wave=[01]/{layout}")
+    return place
+
+
+@query
+def stream_file_matches(spark, folder):
+    return feeds.fed_matches(spark, _fed(spark, folder, "fed-matches")).select(
+        "cluster_id", "file", "category", "pattern_idx", "pattern", "matched_text", "line", "line_number", "context",
+        "timestamp", "position", "severity")
+
+
+@query
+def stream_file_outcomes(spark, folder):
+    found = feeds.fed_files(spark, _fed(spark, folder, "fed-files"))
+    return found.groupBy("cluster_id", "outcome").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))

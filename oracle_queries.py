@@ -18,6 +18,7 @@ from bound_queries import (
 )
 from runscope import catalogs as cat
 from runscope.functions import classify
+from runscope.operators import templates
 from runscope.plans import diagnose, reports
 from runscope.sources import tables
 
@@ -693,3 +694,51 @@ ORACLES["stream_failure_diagnosis"] = ORACLES["failure_diagnosis"].replace("QUAL
 ORACLES["file_contents_crlf"] = f"WITH {_WRITTEN} SELECT cluster_id, file_name, md5(content) AS digest FROM written"
 ORACLES["file_not_utf8"] = f"""WITH {EVENTS} SELECT cluster_id,
   CASE WHEN file_name = 'stdout' THEN 'not_utf8' ELSE 'read' END AS outcome, count(*) AS files FROM contents GROUP BY ALL"""
+
+
+def line_templates(found: str) -> str:
+    """CTEs from ``contents`` and the matches ``found`` to a query of the templates of the lines between them."""
+    line = "line"
+    for pattern, name in templates.MASKS:
+        line = f"regexp_replace({line}, {q(pattern)}, {q(name)}, 'g')"
+    levels = []
+    for k in range(templates.DEPTH):
+        word = f"t[{k + 1}]"
+        levels.append(f"""
+b{k} AS (SELECT node FROM p{k} WHERE {word} IS NOT NULL GROUP BY node HAVING count(DISTINCT {word}) > {templates.WIDE}),
+p{k + 1} AS (SELECT p.masked, p.t, CASE WHEN {word} IS NULL THEN p.node ELSE list_append(p.node,
+  CASE WHEN b.node IS NULL THEN {word} ELSE {q(templates.ANY)} END) END AS node FROM p{k} p LEFT JOIN b{k} b ON b.node = p.node)""")
+    return f"""{found},
+touched AS (SELECT DISTINCT file_path, unnest(range(ln, ln + breaks + 1)) AS line_number FROM lined),
+every AS (SELECT cluster_id, file_path, generate_subscripts(string_split(content, {NL}), 1) AS line_number,
+                 unnest(string_split(content, {NL})) AS line FROM contents),
+left_over AS (SELECT *, trim(regexp_replace({line}, '[ \\t]+', ' ', 'g')) AS masked
+              FROM every ANTI JOIN touched USING (file_path, line_number)),
+counted AS (SELECT * FROM left_over WHERE masked <> '' AND regexp_matches(line, '[^\\s\\x0b]')),
+p0 AS (SELECT DISTINCT masked, string_split(masked, ' ') AS t, [CAST(len(string_split(masked, ' ')) AS VARCHAR)] AS node FROM counted),{",".join(levels)},
+leaves AS (SELECT * FROM p{templates.DEPTH}),
+tails AS (SELECT node, list(CASE WHEN low = high THEN low ELSE {q(templates.ANY)} END ORDER BY place) AS tail
+  FROM (SELECT node, place, min(word) AS low, max(word) AS high
+        FROM (SELECT node, generate_subscripts(t, 1) AS place, unnest(t) AS word FROM leaves)
+        WHERE place > {templates.DEPTH} GROUP BY ALL) GROUP BY node)
+SELECT array_to_string(list_concat(s.node[2:], coalesce(tail, [])), ' ') AS template, len(s.node) - 1 + len(coalesce(tail, [])) AS words,
+       lines, clusters, distinct_lines, e.file_path AS example_file, e.line_number AS example_number, e.line AS example
+FROM (SELECT node, count(*) AS lines, count(DISTINCT cluster_id) AS clusters, count(DISTINCT masked) AS distinct_lines,
+             min({{'file_path': file_path, 'line_number': line_number, 'line': line}}) AS e
+      FROM counted JOIN leaves USING (masked) GROUP BY node) s LEFT JOIN tails USING (node)"""
+
+
+ORACLES["failure_templates"] = f"WITH {AFFECTED}, {line_templates(SEARCH)}"
+ORACLES["document_templates"] = f"WITH {DOCUMENTS}, {line_templates(matches(pattern_rows(tables.DOCUMENT_PATTERNS)))}"
+_FED = f"""WITH fed AS (WITH {_WRITTEN}
+  SELECT *, strlen(content) + CASE WHEN file_name = 'driver_stdout' THEN 1 ELSE 0 END AS size,
+         CASE WHEN strlen(content) + CASE WHEN file_name = 'driver_stdout' THEN 1 ELSE 0 END > 700 THEN 'too_large'
+              WHEN file_name = 'driver_stdout' THEN 'not_utf8' ELSE 'read' END AS outcome FROM written)"""
+ORACLES["stream_file_outcomes"] = f"""{_FED} SELECT cluster_id, outcome, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes
+  FROM fed GROUP BY ALL"""
+ORACLES["stream_file_matches"] = f"""{_FED}, contents AS (
+  SELECT cluster_id, cluster_id || '/' || file_name AS file_path, file_name, size,
+         TIMESTAMP '2024-01-01 00:00:00' AS last_modified, {log_type('file_name')} AS log_type, content
+  FROM fed WHERE outcome = 'read'), {SEARCH}
+  SELECT cluster_id, file, category, pattern_idx, pattern, matched_text, line, line_number, context, "timestamp",
+         position, severity FROM found"""

@@ -192,6 +192,25 @@ def find_matches(
     return found.select(*MATCH_COLUMNS)
 
 
+def unmatched_lines(
+    contents: DataFrame, patterns: Catalog | Mapping[str, Iterable[str]] = SEARCH_CATALOG, looks_like: str | None = None
+) -> DataFrame:
+    """``cluster_id, file_path, line_number, line`` of the lines that no match of a pattern touches.
+
+    ``looks_like`` is a regex that a line must contain. Lines are picked in the
+    row of their file, from the places of its matches. Blank lines are left out.
+    """
+    spots, _, _ = _file_spots(contents, [(None, as_catalog(patterns), None)])
+    touched = ("flatten(transform(flatten(map_values(__spots)), "
+               "s -> sequence(s.line_number, s.line_number + s.breaks)))")
+    wanted = "x.line RLIKE '\\\\S'" if looks_like is None else f"x.line RLIKE {sql_text(looks_like)}"
+    left = (
+        f"filter(transform(array_except(sequence(1, size(__lines)), {touched}), "
+        f"n -> named_struct('line_number', n, 'line', __lines[n - 1])), x -> {wanted})"
+    )
+    return spots.select("cluster_id", "file_path", F.expr(f"inline_outer({left})")).filter("line IS NOT NULL")
+
+
 def find_block_matches(
     blocks: DataFrame, patterns: Catalog | Mapping[str, Iterable[str]] = SEARCH_CATALOG
 ) -> DataFrame:

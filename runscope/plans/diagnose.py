@@ -17,10 +17,19 @@ from runscope.catalogs import (
 from runscope.functions.classify import error_kind
 from runscope.functions.text import sql_text
 from runscope.operators.jobs import failed_run_rows, run_clusters
-from runscope.operators.matching import category_stats, pattern_counts, search_error_patterns, under_cap
+from runscope.operators.matching import (
+    category_stats,
+    pattern_counts,
+    search_error_patterns,
+    under_cap,
+    unmatched_lines,
+)
 from runscope.operators.ranking import cut_lineage, join_checked
+from runscope.operators.templates import line_templates
 
 QUICK_CAP = 10
+# What a line of trouble says, whatever its pattern.
+TROUBLE = r"(?i)\b(warn|warning|error|fatal|severe|critical|exception|fail|failed|failure)\b"
 RERUN_ADVICE = "Run full analysis for detailed diagnosis"
 
 
@@ -229,13 +238,40 @@ def common_failure_patterns(
 
     ``limit`` is that of :func:`runscope.operators.jobs.failed_runs`; ``None`` looks at all runs.
     """
-    found = failed_run_rows(jobs, runs, as_of, None, hours_back, limit)
-    failed = cut_lineage(found.select("run_id", "cluster_id"))
-    hit = run_clusters(failed, tasks).select("cluster_id").distinct()
-    affected = join_checked(contents, hit, ["cluster_id"], "left_semi")
+    affected = _affected(jobs, runs, tasks, contents, as_of, hours_back, limit)
     return (
         pattern_counts(affected, catalog)
         .groupBy("category", "pattern")
         .agg(F.sum("matches").alias("matches"), F.count("*").alias("files"))
         .orderBy(F.desc("matches"), "category", "pattern")
     )
+
+
+def failure_templates(
+    jobs: DataFrame,
+    runs: DataFrame,
+    tasks: DataFrame,
+    contents: DataFrame,
+    as_of: str,
+    hours_back: float = 24,
+    catalog: Catalog = SEARCH_CATALOG,
+    limit: int | None = 20,
+    looks_like: str | None = TROUBLE,
+) -> DataFrame:
+    """Common errors that no pattern names: templates of the other lines in the logs of clusters with recent failures.
+
+    ``looks_like`` tells which lines count, ``None`` takes all; for the columns see
+    :func:`runscope.operators.templates.line_templates`.
+    """
+    affected = _affected(jobs, runs, tasks, contents, as_of, hours_back, limit)
+    return line_templates(unmatched_lines(affected, catalog, looks_like))
+
+
+def _affected(
+    jobs: DataFrame, runs: DataFrame, tasks: DataFrame, contents: DataFrame, as_of: str, hours_back: float, limit: int | None
+) -> DataFrame:
+    """The logs of clusters that recently failed runs used."""
+    found = failed_run_rows(jobs, runs, as_of, None, hours_back, limit)
+    failed = cut_lineage(found.select("run_id", "cluster_id"))
+    hit = run_clusters(failed, tasks).select("cluster_id").distinct()
+    return join_checked(contents, hit, ["cluster_id"], "left_semi")

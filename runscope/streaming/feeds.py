@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from runscope.operators.jobs import is_failed
 from runscope.operators.matching import find_matches
 from runscope.operators.ranking import scratch_path
 from runscope.plans import diagnose
-from runscope.sources.files import LAYOUT, described, usable_texts
+from runscope.sources.files import LAYOUT, MB, described, usable_texts
 
 
 DIAGNOSIS = (
@@ -27,6 +28,11 @@ DIAGNOSIS = (
     "examples ARRAY<STRUCT<file: STRING, line_number: INT, line: STRING, severity: STRING>>, "
     "critical_total BIGINT, high_total BIGINT, recommendation STRING"
 )
+LISTING = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+FED_MATCHES = (
+    "cluster_id STRING, file_path STRING, file STRING, file_type STRING, category STRING, pattern_idx INT, pattern STRING, "
+    "matched_text STRING, line STRING, line_number INT, context STRING, timestamp STRING, position INT, severity STRING"
+)
 # Sessions of a task are merged before they are shuffled.
 MERGE_FIRST = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
@@ -46,6 +52,78 @@ def error_feed(
     return find_matches(contents, patterns)
 
 
+def take_in_files(
+    spark: SparkSession, root: str, place: str, patterns: Catalog | Mapping[str, Iterable[str]] = SEARCH_CATALOG,
+    max_size_mb: float | None = None, layout: str = LAYOUT, files_a_batch: int = 1000,
+) -> None:
+    """Take in the files that arrived under ``root`` since the last call with the same ``place``, and return.
+
+    One stream lists files without reading them. A second one, started when the
+    first has ended, reads each text once per micro-batch for matches and for
+    the UTF-8 check; both write under the number of the batch, so a repeated
+    batch replaces its own tables. See :func:`fed_matches` and :func:`fed_files`.
+    A file counts as it was when it was first seen.
+    """
+    def reader():
+        return spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_a_batch)
+
+    listed = described(reader().schema(LISTING).format("binaryFile").load(root), root, layout, off_layout=True)
+    small = F.lit(True) if max_size_mb is None else F.col("size") <= int(max_size_mb * MB)
+    outcome = F.when(F.col("cluster_id") == "", "off_layout").when(~small, "too_large")
+    listing = (
+        listed.select("cluster_id", "file_path", "file_name", "size", outcome.alias("left_out"))
+        .writeStream.format("parquet").option("path", f"{place}/listed")
+        .option("checkpointLocation", f"{place}/progress-listed").trigger(availableNow=True).start()
+    )
+    listing.awaitTermination()
+    texts = described(reader().option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+                      .text(root, wholetext=True), root, layout).filter(small)
+
+    def write(batch: DataFrame, number: int) -> None:
+        held = batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            held.select("file_path", F.is_valid_utf8("value").alias("valid")).write.mode("overwrite").parquet(
+                f"{place}/read/batch={number}")
+            find_matches(usable_texts(held, None), patterns).write.mode("overwrite").parquet(
+                f"{place}/matches/batch={number}")
+        finally:
+            held.unpersist()
+
+    reading = (
+        texts.writeStream.foreachBatch(write).option("checkpointLocation", f"{place}/progress-read")
+        .trigger(availableNow=True).start()
+    )
+    reading.awaitTermination()
+
+
+def fed_matches(spark: SparkSession, place: str) -> DataFrame:
+    """Match rows of all files taken in so far, with the micro-batch of each."""
+    return _table_or_none(spark, f"{place}/matches", f"{FED_MATCHES}, batch BIGINT")
+
+
+def fed_files(spark: SparkSession, place: str) -> DataFrame:
+    """One row per file taken in so far: ``cluster_id, file_path, file_name, size, outcome, batch``.
+
+    The outcome is ``read``, or why the file gave no matches: ``too_large``,
+    ``not_utf8``, ``unreadable`` (listed, but without a text) or ``off_layout``.
+    """
+    listed = _table_or_none(
+        spark, f"{place}/listed", "cluster_id STRING, file_path STRING, file_name STRING, size BIGINT, left_out STRING")
+    read = _table_or_none(spark, f"{place}/read", "file_path STRING, valid BOOLEAN, batch BIGINT")
+    outcome = F.coalesce("left_out", F.when(F.col("valid").isNull(), "unreadable").when(F.col("valid"), "read").otherwise("not_utf8"))
+    return listed.join(read, "file_path", "left").select(
+        "cluster_id", "file_path", "file_name", "size", outcome.alias("outcome"), "batch")
+
+
+def _table_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def error_windows(
     matches: DataFrame, size: str = "1 hour", slide: str | None = None, delay: str = "10 minutes"
 ) -> DataFrame:
@@ -159,13 +237,8 @@ def diagnosis_writer(
 
 def latest_diagnoses(spark: SparkSession, place: str) -> DataFrame:
     """The rows of every run's newest batch; an empty table if no batch was written."""
-    try:
-        rows = spark.read.schema(f"{DIAGNOSIS}, batch BIGINT").parquet(f"{place}/rows")
-        runs = spark.read.schema("run_id BIGINT, batch BIGINT").parquet(f"{place}/runs")
-    except AnalysisException as err:
-        if err.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], DIAGNOSIS)
+    rows = _table_or_none(spark, f"{place}/rows", f"{DIAGNOSIS}, batch BIGINT")
+    runs = _table_or_none(spark, f"{place}/runs", "run_id BIGINT, batch BIGINT")
     newest = runs.groupBy("run_id").agg(F.max("batch").alias("batch"))
     return rows.join(newest, ["run_id", "batch"], "left_semi").drop("batch")
 
