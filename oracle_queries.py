@@ -731,9 +731,9 @@ FROM (SELECT node, count(*) AS lines, count(DISTINCT cluster_id) AS clusters, co
 ORACLES["failure_templates"] = f"WITH {AFFECTED}, {line_templates(SEARCH)}"
 ORACLES["document_templates"] = f"WITH {DOCUMENTS}, {line_templates(matches(pattern_rows(tables.DOCUMENT_PATTERNS)))}"
 _FED = f"""WITH fed AS (WITH {_WRITTEN}
-  SELECT *, strlen(content) + CASE WHEN file_name = 'driver_stdout' THEN 1 ELSE 0 END AS size,
-         CASE WHEN strlen(content) + CASE WHEN file_name = 'driver_stdout' THEN 1 ELSE 0 END > 700 THEN 'too_large'
-              WHEN file_name = 'driver_stdout' THEN 'not_utf8' ELSE 'read' END AS outcome FROM written)"""
+  SELECT *, strlen(content) + CASE WHEN ends_with(file_name, 'driver_stdout') THEN 1 ELSE 0 END AS size,
+         CASE WHEN strlen(content) + CASE WHEN ends_with(file_name, 'driver_stdout') THEN 1 ELSE 0 END > 700 THEN 'too_large'
+              WHEN ends_with(file_name, 'driver_stdout') THEN 'not_utf8' ELSE 'read' END AS outcome FROM written)"""
 ORACLES["stream_file_outcomes"] = f"""{_FED} SELECT cluster_id, outcome, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes
   FROM fed GROUP BY ALL"""
 ORACLES["stream_file_matches"] = f"""{_FED}, contents AS (
