@@ -5,13 +5,16 @@ Their longest increasing subsequence is fixed, and the gaps between anchors are
 aligned in the same way; gaps without anchors match equal words at their ends.
 Coverage is the share of template words that are matched.
 
-A place is sought in a stretch of text in which no gap between two words of the
-template is longer than the template, or ``GAP`` words; words that the template
-does not have are left out before aligning, so line numbers, markup or a second
-column do not count. A stretch with the wanted coverage holds at least one of the
-template's rarest words (so many of them that the rest alone would not be
-enough), so windows start around those words; a window grows until it holds a
-place or all of its stretch.
+A place may have words between those of the template: words with a digit (line
+numbers, dates, sizes) count for nothing, of all others there may be ``FOREIGN``
+times as many as the template has words, so ordinary sentences that happen to use
+the words of a short notice are no place. No more than the length of the template,
+or ``GAP`` words, may lie between two words that count.
+
+A place with the wanted coverage holds at least one of the template's rarest words
+(so many of them that the rest alone would not be enough). Windows start around
+those words and reach as far as a place can, so the cost of a text grows with its
+length and not faster.
 
 Defined results: a null, empty or license-free text gives no row; a license
 that stands in a text several times gives a row for each place, places of one
@@ -34,8 +37,10 @@ from runscope.llm.common import ship
 
 COVERAGE = 0.8
 GAP = 12
+FOREIGN = 0.65      # other words in a place, as a share of the template's words
 DOCS_A_BATCH = 512
 WORD = re.compile(r"\w+")
+DIGIT = re.compile(r"\d")
 
 # Notices as they stand in public licenses and file headers (fixed texts).
 TEMPLATES = {
@@ -112,13 +117,39 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
-def _stretches(at: list[int], gap: int) -> Iterator[list[int]]:
-    """Places split where more than ``gap`` words lie between two of them."""
-    start = 0
-    for k in range(1, len(at) + 1):
-        if k == len(at) or at[k] - at[k - 1] > gap + 1:
-            yield at[start:k]
-            start = k
+def _around(words: list[str], at: int, left: int, right: int, want: Mapping[str, int], gap: int) -> list[int]:
+    """Places of up to ``left`` and ``right`` words that count on both sides of ``at``, up to a wide gap."""
+    out = [at]
+    for step, limit in ((-1, left), (1, right)):
+        k = last = at
+        side = []
+        while len(side) < limit and 0 <= (k := k + step) < len(words) and abs(k - last) <= gap + 1:
+            if words[k] in want or not DIGIT.search(words[k]):
+                side.append(k)
+                last = k
+        out = side[::-1] + out if step < 0 else out + side
+    return out
+
+
+def _best_run(words: list[str], own: list[int], pairs: list[tuple[int, int]], need: int,
+              foreign: int) -> tuple[int, int, int] | None:
+    """``(matched, first word, last word)`` of the longest run of pairs without too many other words in it."""
+    costs = [0]
+    for k in own:
+        costs.append(costs[-1] + (DIGIT.search(words[k]) is None))
+    taken = [0]
+    for k, _ in pairs:
+        taken.append(taken[-1] + costs[k + 1] - costs[k])
+    for n in range(len(pairs), need - 1, -1):
+        best = None
+        for first in range(len(pairs) - n + 1):
+            a, b = pairs[first][0], pairs[first + n - 1][0]
+            other = costs[b + 1] - costs[a] - (taken[first + n] - taken[first])
+            if other <= foreign and (best is None or own[b] - own[a] < best[2] - best[1]):
+                best = n, own[a], own[b]
+        if best:
+            return best
+    return None
 
 
 def scan(words: list[str], templates: Mapping[str, list[str]], vocabulary: set[str],
@@ -136,33 +167,20 @@ def scan(words: list[str], templates: Mapping[str, list[str]], vocabulary: set[s
         if sum(min(n, len(places.get(w, ()))) for w, n in want.items()) < need:
             continue
         rare = sorted(range(m), key=lambda i: (len(places.get(template[i], ())), i))[:m - need + 1]
-        slack = max(2, m // 4)
-        windows = {(max(0, p - i - slack), min(len(words), p - i + m + slack))
-                   for i in rare for p in places.get(template[i], ())}
-        found = []      # first close by, so that the shortest place wins
-        for start, end in windows:
-            pairs = align(words[start:end], template)
-            if len(pairs) >= need:
-                found.append((-len(pairs), pairs[-1][0] - pairs[0][0], start + pairs[0][0], start + pairs[-1][0] + 1))
-        for own in _stretches(sorted(k for w in want for k in places.get(w, ())), max(m, GAP)):
-            if len(own) < need:
-                continue
-            kept = [words[k] for k in own]
-            there = Counter(kept)
-            if sum(min(n, there[w]) for w, n in want.items()) < need:
-                continue
-            starts = {k - i for i in rare if template[i] in there for k, w in enumerate(kept) if w == template[i]}
-            for first in starts:
-                slack = max(2, m // 4)
-                while True:
-                    low, high = max(0, first - slack), min(len(own), first + m + slack)
-                    pairs = align(kept[low:high], template)
-                    if len(pairs) >= need:
-                        start, end = own[low + pairs[0][0]], own[low + pairs[-1][0]]
-                        found.append((-len(pairs), end - start, start, end + 1))
-                    if len(pairs) >= need or (low == 0 and high == len(own)):
-                        break
-                    slack *= 2
+        foreign, gap = int(FOREIGN * m), max(m, GAP)
+        found = []
+        for i in rare:
+            for p in places.get(template[i], ()):
+                for slack in sorted({min(max(2, m // 4), foreign), foreign}):   # close by first, so that the shortest place wins
+                    own = _around(words, p, i + slack, m - i - 1 + slack, want, gap)
+                    run = None
+                    if len(own) >= need:
+                        pairs = align([words[k] for k in own], template)
+                        run = _best_run(words, own, pairs, need, foreign) if len(pairs) >= need else None
+                    if run:
+                        found.append((-run[0], run[2] - run[1], run[1], run[2] + 1))
+                        if run[0] == m:
+                            break
         taken: list[tuple[int, int]] = []
         for hits, _, start, end in sorted(set(found)):
             at = bisect_left(taken, (start, start))
