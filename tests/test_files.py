@@ -122,3 +122,30 @@ def test_unreadable_and_misplaced_files_are_reported(spark, tmp_path):
     assert [r.file_name for r in texts] == ["good.log"]
     found = {r.file_path.rsplit("/", 1)[1]: r.reason for r in files.rejected_files(spark, root, layout=layout).collect()}
     assert found == {"cut.log.gz": "unreadable", "stray.log": "off_layout"}
+
+
+@pytest.mark.parametrize("gzipped", [False, True])
+def test_written_texts_lie_where_the_engine_puts_them(spark, tmp_path, gzipped):
+    rows = [("c1", "c1/r0/driver/stderr", "one\ntwo"), ("c1", "c1/r0/a:b=%2 ü.log", "é\r\n"), ("c1", "c1/r0/a:b=%2 ü.log", "again"),
+            (None, "c2/x", "lost"), ("c3", "c3/", ""), ("c3", "c3/none", None), ("c[4]", "c[4]/x?", "x")]
+    contents = spark.createDataFrame(rows, "cluster_id STRING, file_path STRING, content STRING").coalesce(1)
+    ours, engine = tmp_path / "ours", tmp_path / "engine"
+    files.write_contents(contents, str(ours), gzipped)
+    writer = contents.selectExpr("cluster_id", "replace(substr(file_path, length(cluster_id) + 2), '/', '_') AS log", "content")
+    writer.write.partitionBy("cluster_id", "log").option("compression", "gzip" if gzipped else "none").text(str(engine))
+
+    def found(root):
+        read = gzip.decompress if gzipped else bytes
+        return sorted((str(f.parent.relative_to(root)), sorted(read(f.read_bytes()).split(b"\n")))
+                      for f in root.rglob("part-*"))
+
+    assert len(found(ours)) == 6 and found(ours) == found(engine)
+    # the engine's writer leaves a checksum beside each file and starts processes for both of them
+    assert not [f for f in ours.rglob("*") if f.is_file() and f.name.startswith((".", "_"))]
+    with pytest.raises(FileExistsError):
+        files.write_contents(contents, str(ours), gzipped)
+
+
+def test_only_local_paths_are_written_by_the_tasks(spark):
+    local = {p: files._is_local(spark, p) for p in ("/a", "a/b", "file:/a", "file:///a", "hdfs://h/a", "s3a://b/a", "viewfs:/a")}
+    assert [p for p, own in local.items() if own] == ["/a", "a/b", "file:/a", "file:///a"]
