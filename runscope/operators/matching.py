@@ -285,10 +285,16 @@ def _matches_behind(blocks: DataFrame, carried: DataFrame) -> DataFrame:
 
 
 def table_matches(texts: DataFrame) -> DataFrame:
-    """Match rows of each text for its own ``candidates``: an array of (category, pattern_idx, pattern, word)."""
-    hits = texts.select(*FILE_COLUMNS, "content", "candidates", F.expr(low_sql("content")).alias("__low")).select(
+    """Match rows of each text for its own ``candidates``: an array of (category, pattern_idx, pattern, words).
+
+    A regex runs where all its ``words`` occur; null words stand for a regex that runs always.
+    """
+    # the array of one text is walked, because a column used once would be computed again for every candidate
+    met = (f"transform(array({low_sql('content')}), low -> filter(candidates, "
+           "c -> c.words IS NULL OR forall(c.words, w -> contains(low, w))))[0]")
+    hits = texts.select(
         *FILE_COLUMNS, "content", F.expr(
-            "filter(transform(filter(candidates, c -> c.word IS NULL OR contains(__low, c.word)), (c, i) -> named_struct("
+            f"filter(transform({met}, (c, i) -> named_struct("
             f"'id', i, 'category', c.category, 'pattern_idx', c.pattern_idx, 'pattern', c.pattern, "
             f"'regex', {sql_text(SEARCH_FLAGS)} || c.pattern, "
             f"'texts', regexp_extract_all(content, {sql_text(SEARCH_FLAGS)} || c.pattern, 0))), h -> size(h.texts) > 0)"

@@ -26,7 +26,12 @@ BATCH = 256         # patterns tried at once
 
 
 def required_word(pattern: Column) -> Column:
-    """The longest plain text that every match must contain, lower-cased; null if none is known.
+    """The longest of the :func:`required_words`; null if none is known."""
+    return F.get(required_words(pattern), F.lit(0))
+
+
+def required_words(pattern: Column) -> Column:
+    """All plain texts that every match must contain, lower-cased, the longest first; null if none is known.
 
     As :func:`runscope.catalogs.required_pieces` on a column: words joined by
     white space, digits, any text and plain alternations are understood. Letters
@@ -38,8 +43,9 @@ def required_word(pattern: Column) -> Column:
     pieces = F.split(bare, r"\\s[+*]|\\d\+|\\w\+|\.\*|[^\x00-\x7f]+", -1)
     plain = F.forall(pieces, lambda p: p.rlike(r"\A[a-z0-9: \x00]*\z"))
     shown = F.filter(F.transform(pieces, lambda p: F.replace(p, F.lit("\x00"), F.lit("."))), lambda p: p != "")
-    longest = F.array_max(F.transform(shown, lambda p: F.struct(F.length(p).alias("n"), p.alias("word"))))
-    return F.when(plain, longest["word"])
+    longest_first = F.reverse(F.array_sort(F.transform(
+        F.array_distinct(shown), lambda p: F.struct(F.length(p).alias("n"), p.alias("word")))))
+    return F.when(plain & (F.size(shown) > 0), F.transform(longest_first, lambda x: x.word))
 
 
 def _filed_under(word: Column) -> Column:
@@ -82,9 +88,9 @@ def _broken(spark: SparkSession, patterns: list[str]) -> list[tuple[str, str]]:
 
 
 def pattern_index(patterns: DataFrame) -> DataFrame:
-    """The table with ``word`` and ``gram``, each pattern filed under one gram."""
-    rows = patterns.filter("pattern IS NOT NULL").withColumn("word", required_word(F.col("pattern")))
-    return rows.select(*PATTERN_COLUMNS, "word", _filed_under(F.col("word")).alias("gram"))
+    """The table with ``words`` and ``gram``, each pattern filed under one gram of its longest word."""
+    rows = patterns.filter("pattern IS NOT NULL").withColumn("words", required_words(F.col("pattern")))
+    return rows.select(*PATTERN_COLUMNS, "words", _filed_under(F.get("words", F.lit(0))).alias("gram"))
 
 
 def _grams(low: str) -> Column:
@@ -104,9 +110,9 @@ def candidates(contents: DataFrame, index: DataFrame) -> DataFrame:
     slim = contents.select("cluster_id", "file_path", F.expr(low_sql("content")).alias("low"))
     grams = slim.select("cluster_id", "file_path", F.explode_outer(_grams("low")).alias("gram"))
     met = join_checked(grams, index, ["gram"], width=sum(
-        (F.coalesce(F.length(c), F.lit(0)) for c in ("category", "pattern", "word")), F.lit(16)))
+        (F.coalesce(F.length(c), F.lit(0)) for c in ("category", "pattern", F.array_join("words", ""))), F.lit(16)))
     return met.groupBy("cluster_id", "file_path").agg(F.array_sort(F.collect_list(
-        F.struct("category", "pattern_idx", "pattern", "word"))).alias("candidates"))
+        F.struct("category", "pattern_idx", "pattern", "words"))).alias("candidates"))
 
 
 def find_table_matches(contents: DataFrame, patterns: DataFrame) -> DataFrame:

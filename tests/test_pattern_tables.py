@@ -107,3 +107,18 @@ def test_tables_without_rows(spark, texts):
     usable, rejected = pattern_tables.checked_patterns(none)
     assert usable.isEmpty() and rejected.isEmpty()
     assert pattern_tables.find_table_matches(texts.limit(0), table_of(spark, {"a": ["b"]})).collect() == []
+
+
+def test_all_words_of_a_pattern_guard_it_and_are_looked_for_in_one_lowered_text(spark):
+    index = pattern_tables.pattern_index(table_of(spark, {"p": [r"so\s+called\s+it", r"[0-9]+"]}))
+    assert {r.pattern: r.words for r in index.collect()} == {r"so\s+called\s+it": ["called", "so", "it"], r"[0-9]+": None}
+    texts = spark.createDataFrame(
+        [("c", f"c/{i}", "stderr", t, [("p", 0, r"so\s+called\s+it", ["called", "so", "it"])])
+         for i, t in enumerate(["So  Called it", "called it"])],
+        "cluster_id STRING, file_path STRING, log_type STRING, content STRING, "
+        "candidates ARRAY<STRUCT<category: STRING, pattern_idx: INT, pattern: STRING, words: ARRAY<STRING>>>").selectExpr(
+        "*", "'f' AS file_name", "0L AS size", "timestamp_ntz'2024-01-01' AS last_modified")
+    found = matching.table_matches(texts)
+    assert [r.matched_text for r in found.collect()] == ["So  Called it"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "contains(lambda low" in plan and "contains(regexp_replace" not in plan
