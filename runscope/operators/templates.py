@@ -40,6 +40,13 @@ def masked(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"[ \t]+", " "))
 
 
+def _masked_lines(lines: DataFrame) -> DataFrame:
+    """Lines that are not blank, with ``masked``; a filter on a plain column would mask every line a second time."""
+    return lines.select(
+        "cluster_id", "file_path", "line_number", "line", F.explode_outer(F.array(masked(F.col("line")))).alias("masked")
+    ).filter("masked <> ''")
+
+
 def line_templates(lines: DataFrame, depth: int = DEPTH, wide: int = WIDE) -> DataFrame:
     """``template, words, lines, clusters, distinct_lines, example_file, example_number, example``.
 
@@ -50,8 +57,7 @@ def line_templates(lines: DataFrame, depth: int = DEPTH, wide: int = WIDE) -> Da
     if depth < 0 or wide < 1:
         raise ValueError("depth must not be negative and wide must be at least 1")
     counted = cut_lineage(
-        lines.select("cluster_id", "file_path", "line_number", "line", masked(F.col("line")).alias("masked"))
-        .filter("masked <> ''").groupBy("masked", "cluster_id").agg(
+        _masked_lines(lines).groupBy("masked", "cluster_id").agg(
             F.count("*").alias("n"), F.min(F.struct("file_path", "line_number", "line")).alias("first"))
     )
     tree = counted.select("masked").distinct().withColumn("t", F.split("masked", " ")).withColumn(

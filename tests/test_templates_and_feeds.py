@@ -104,3 +104,11 @@ def test_files_in_waves_are_reported_once(spark, tmp_path):
     assert [r.outcome for r in feeds.fed_files(spark, place).filter("cluster_id = ''").collect()] == ["off_layout"]
     batch = files.rejected_files(spark, str(root), 0.001, layout=layout).filter("cluster_id <> ''")
     assert {(r.file_path.rsplit("/")[-1], r.reason) for r in batch.collect()} == {s for s in seen if s[1] != "read"}
+
+
+def test_a_line_is_masked_once(spark):
+    lines = as_lines(spark, [("c1", "f", 1, "disk 7"), ("c1", "f", 2, " "), ("c1", "f", 3, None)])
+    counted = templates._masked_lines(lines).groupBy("masked", "cluster_id").count()
+    assert [tuple(r) for r in counted.collect()] == [("disk <num>", "c1", 1)]
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<path>") == 1
