@@ -562,7 +562,8 @@ def job_timeline(spark, folder):
 def _exported(spark, folder):
     """The runs written as an export, among them a broken line and a record without a job per customer."""
     root = feeds.scratch_path(spark, "export")
-    exports.export_records(tables.runs(spark, folder), tables.run_tasks(spark, folder)).write.json(f"{root}/good")
+    exports.export_records(tables.runs(spark, folder), tables.run_tasks(spark, folder)).write.json(
+        f"{root}/good", compression="gzip")
     broken = tables.jobs(spark, folder).select(F.explode(F.array(
         F.concat(F.lit('{"run_id": '), "job_id", F.lit(', "job_id": "'), "job_name", F.lit('"}')),
         F.concat(F.lit('{"run_id": '), F.col("job_id") + 10**9, F.lit(', "run_name": "'), "job_name", F.lit('"}')),

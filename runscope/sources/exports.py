@@ -7,6 +7,8 @@ and only the fields below are built.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ RECORD = (
     "start_time: BIGINT, end_time: BIGINT>>"
 )
 CORRUPT = "_corrupt_record"
+ADDED = ("reason", "file_path", CORRUPT)     # columns that are no fields of a record
 
 
 def exported_records(spark: SparkSession, path: str) -> DataFrame:
@@ -47,28 +50,27 @@ def runs_from_export(records: DataFrame) -> DataFrame:
     An export that is repeated while a run goes on holds it several times. Records
     of a run are compared as slim rows; a run has few, however many tasks.
     """
-    latest = _latest(records)
-    return project_runs(latest)
+    return project_runs(_latest(records, [c for c in records.columns if c not in (*ADDED, "tasks")]))
 
 
 def tasks_from_export(records: DataFrame) -> DataFrame:
     """One row per task of the runs of :func:`runs_from_export`; a run without tasks keeps one row of nulls."""
-    return project_tasks(_latest(records), keep_empty=True)
+    return project_tasks(_latest(records, ["run_id", "tasks"]), keep_empty=True)
 
 
-def _latest(records: DataFrame) -> DataFrame:
+def _latest(records: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """The given fields of the record that counts of each run; nothing else of a record moves."""
     rank = F.struct(
         (F.coalesce(F.nullif(F.col("end_time"), F.lit(0)), F.lit(-1))).alias("ended"),
         F.coalesce(F.size("tasks"), F.lit(-1)).alias("n_tasks"),
         F.xxhash64(F.to_json(F.struct("state", "tasks", "cluster_instance"))).alias("tie"))
-    whole = F.struct(*[c for c in records.columns if c not in ("reason", "file_path", CORRUPT)])
     return records.filter("reason IS NULL").groupBy("run_id").agg(
-        F.max_by(whole, rank).alias("r")).select("r.*")
+        F.max_by(F.struct(*fields), rank).alias("r")).select("r.*")
 
 
 def rejected_records(records: DataFrame) -> DataFrame:
     """Records that are left out: ``file_path, reason, record``, as they stand in the file where they are no JSON."""
-    fields = [c for c in records.columns if c not in ("reason", "file_path", CORRUPT)]
+    fields = [c for c in records.columns if c not in ADDED]
     text = F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*fields)))
     return records.filter("reason IS NOT NULL").select("file_path", "reason", text.alias("record"))
 

@@ -66,3 +66,18 @@ def test_an_empty_export(spark, tmp_path):
     (tmp_path / "none.json").write_text("\n")
     records = exports.exported_records(spark, str(tmp_path))
     assert exports.runs_from_export(records).isEmpty() and exports.rejected_records(records).isEmpty()
+
+
+def test_only_the_fields_asked_for_move(records):
+    assert exports._latest(records, ["run_id", "tasks"]).columns == ["run_id", "tasks"]
+    plan = exports.runs_from_export(records)._jdf.queryExecution().optimizedPlan().toString()
+    moved = plan[plan.index("max_by("):].split(" AS r#")[0]
+    assert "run_name" in moved and "tasks, tasks#" not in moved.split(", named_struct(ended")[0].split(", struct(ended")[0]
+
+
+def test_the_export_is_written_compressed(spark, folder):
+    import bound_queries
+
+    records = bound_queries._exported(spark, folder)
+    good = [f for f in records.inputFiles() if "/good/" in f]
+    assert good and all(f.endswith(".json.gz") for f in good)
