@@ -149,3 +149,40 @@ def test_written_texts_lie_where_the_engine_puts_them(spark, tmp_path, gzipped):
 def test_only_local_paths_are_written_by_the_tasks(spark):
     local = {p: files._is_local(spark, p) for p in ("/a", "a/b", "file:/a", "file:///a", "hdfs://h/a", "s3a://b/a", "viewfs:/a")}
     assert [p for p, own in local.items() if own] == ["/a", "a/b", "file:/a", "file:///a"]
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    context, most = spark.sparkContext, 4 * spark.sparkContext.defaultParallelism
+    for i in range(most + 40):
+        (tmp_path / f"c{i}").mkdir()
+        (tmp_path / f"c{i}" / "stderr").write_text("one\n")
+    before = spark.conf.get(files.LISTING_LIMIT)
+    context.setJobGroup("listing", "")
+    try:
+        assert files.log_contents(spark, str(tmp_path)).count() == most + 40
+        assert files.log_inventory(spark, str(tmp_path)).count() == most + 40
+        assert files.log_lines(spark, str(tmp_path)).count() == most + 40
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    status = context.statusTracker()
+    stages = {s for job in status.getJobIdsForGroup("listing") for s in status.getJobInfo(job).stageIds}
+    tasks = [info.numTasks for info in map(status.getStageInfo, stages) if info]
+    assert tasks and max(tasks) <= most and spark.conf.get(files.LISTING_LIMIT) == before
+    with files.few_listing_tasks(spark), files.few_listing_tasks(spark):
+        assert int(spark.conf.get(files.LISTING_LIMIT)) <= most
+    assert spark.conf.get(files.LISTING_LIMIT) == before
+
+
+def test_streams_list_files_by_few_tasks_to_their_end(spark, tmp_path, monkeypatch):
+    (tmp_path / "in" / "c1").mkdir(parents=True)
+    (tmp_path / "in" / "c1" / "stderr").write_text("FATAL ERROR a\n")
+    before, seen, match = spark.conf.get(files.LISTING_LIMIT), [], feeds.find_matches
+
+    def watched(*args):
+        seen.append(int(spark.conf.get(files.LISTING_LIMIT)))
+        return match(*args)
+
+    monkeypatch.setattr(feeds, "find_matches", watched)
+    feeds.take_in_files(spark, str(tmp_path / "in"), str(tmp_path / "fed"), {"mine": [r"FATAL\s+ERROR"]})
+    assert feeds.fed_matches(spark, str(tmp_path / "fed")).count() == 1
+    assert seen and max(seen) <= 4 * spark.sparkContext.defaultParallelism and spark.conf.get(files.LISTING_LIMIT) == before
