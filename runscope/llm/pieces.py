@@ -76,6 +76,9 @@ class Lattice:
             self.log_p[i] = -sharpness * np.log(k + 2.0) - np.log(total)
         self.log_byte = -sharpness * np.log(len(texts) + 2.0) - np.log(total)
         self.names = names
+        self.raw = [name.replace(MARK, " ").encode() for name in names]     # what each piece writes
+        for k, i in enumerate(self.byte_ids.tolist()):
+            self.raw[i] = bytes([k])
         self.longest = max(map(len, texts.values()))
         self.tables: list[tuple[np.ndarray, np.ndarray] | None] = [None] * (self.longest + 1)
         by_length: dict[int, list[int]] = {}
@@ -143,28 +146,29 @@ def forward(lattice: Lattice, words: list[str]):
     length = np.concatenate([length, np.ones(len(spelled), np.int64)])
     log_p = np.where(piece >= 0, lattice.log_p[np.maximum(piece, 0)], -piece * -abs(lattice.log_byte))
     end = start + length                           # node number: position of the last character plus one
-    order = np.lexsort((start, end, place[end - 1]))
+    order = np.argsort(end * (lattice.longest + 1) - length)     # by end, then by start; no two edges have both alike
     start, end, piece, log_p = start[order], end[order], piece[order], log_p[order]
     step = place[end - 1]
+    if len(points) and sizes.max() <= 1 << 16:
+        step = step.astype(np.uint16)              # sorted by counting
+    by_step = np.argsort(step, kind="stable")
     weight = np.full(len(points) + 1, -np.inf)     # of a node, by its number
     chance = np.empty(len(start))
-    bounds = np.searchsorted(step, np.arange(int(sizes.max(initial=0)) + 1))
+    bounds = np.r_[0, np.cumsum(np.bincount(step, minlength=int(sizes.max(initial=0))))]
     first = begin[owner]
     for s, e in zip(bounds[:-1], bounds[1:]):
         if s == e:
             continue
-        own = slice(s, e)
-        at = start[own]
-        value = log_p[own] + np.where(at == first[end[own] - 1], 0.0, weight[at])
-        heads = np.flatnonzero(np.r_[True, np.diff(end[own]) != 0])
+        own = by_step[s:e]
+        at, to = start[own], end[own]
+        value = log_p[own] + np.where(at == first[to - 1], 0.0, weight[at])
+        heads = np.flatnonzero(np.r_[True, np.diff(to) != 0])
         top = np.maximum.reduceat(value, heads)
         counts = np.diff(np.r_[heads, e - s])
         share = np.exp(value - np.repeat(top, counts))
         total = np.add.reduceat(share, heads)
-        weight[end[own][heads]] = top + np.log(total)
+        weight[to[heads]] = top + np.log(total)
         chance[own] = share / np.repeat(total, counts)
-    order = np.lexsort((start, end))
-    start, end, piece, chance = start[order], end[order], piece[order], chance[order]
     heads = np.flatnonzero(np.r_[True, np.diff(end) != 0])
     counts = np.diff(np.r_[heads, len(end)])
     nth = np.arange(len(end)) - np.repeat(heads, counts)
@@ -184,9 +188,9 @@ def sample(lattice: Lattice, texts: list[str | None], keys: list[int | None], se
     flat = [w for own in split for w in own]
     if not flat:
         return [np.zeros(0, np.int64) for _ in texts]
-    index: dict[str, int] = {}
-    kind = np.array([index.setdefault(w, len(index)) for w in flat], np.int64)
-    different = list(index)
+    different = list(dict.fromkeys(flat))
+    index = {w: i for i, w in enumerate(different)}
+    kind = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
     begin, sizes, e_start, _, e_piece, upto = forward(lattice, different)
     # occurrences of words: place in the text and seed of the row
     n_words = np.array([len(own) for own in split], np.int64)
@@ -197,9 +201,9 @@ def sample(lattice: Lattice, texts: list[str | None], keys: list[int | None], se
     offset = ends - length - text_first[text_of]
     row = _mix(np.array([-1 if k is None else k for k in keys], np.int64).astype(np.uint64)
                + np.uint64(seed % 2**64) * _B)[text_of]
-    # walk back from the ends of all words in step
-    live = np.arange(len(flat))
-    node = begin[kind] + length
+    # walk back from the ends of all words in step, equal words side by side as their edges are
+    live = np.argsort(kind, kind="stable")
+    node = (begin[kind] + length)[live]
     words_s, pieces_s, nodes_s = [], [], []
     while len(live):
         draw = _mix(row[live] ^ _mix((offset[live] + node - begin[kind[live]]).astype(np.uint64)))
@@ -211,9 +215,7 @@ def sample(lattice: Lattice, texts: list[str | None], keys: list[int | None], se
         going = node > begin[kind[live]]
         live, node = live[going], node[going]
     # into reading order: by word occurrence, then steps from the last to the first
-    counts = np.zeros(len(flat), np.int64)
-    for own in words_s:
-        counts[own] += 1
+    counts = np.bincount(np.concatenate(words_s), minlength=len(flat))
     last = np.cumsum(counts) - 1
     found = np.empty(int(counts.sum()), np.int64)
     at_node = np.empty(len(found), np.int64)
@@ -239,13 +241,8 @@ def sample(lattice: Lattice, texts: list[str | None], keys: list[int | None], se
 
 def decode(lattice: Lattice, ids: np.ndarray) -> str:
     """The text of a segmentation."""
-    first, last = int(lattice.byte_ids.min()), int(lattice.byte_ids.max())
-    names = lattice.names
-    if not ((ids >= first) & (ids <= last)).any():
-        return "".join([names[i] for i in ids.tolist()]).replace(MARK, " ")
-    value = {int(i): bytes([k]) for k, i in enumerate(lattice.byte_ids)}
-    raw = b"".join([value.get(i) or names[i].replace(MARK, " ").encode() for i in ids.tolist()])
-    return raw.decode("utf-8")
+    raw = lattice.raw
+    return b"".join([raw[i] for i in ids.tolist()]).decode("utf-8")
 
 
 _LATTICES: dict[tuple[str, float], Lattice] = {}

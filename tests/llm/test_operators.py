@@ -141,6 +141,18 @@ def test_code_of_ranks():
         token_files.unpack_block(token_files.pack_block([1], [docs[1]])[:-1])
 
 
+def test_pieces_are_decoded_from_one_table_of_bytes():
+    lattice = pieces.lattice_of(PIECES)
+    text = "a\u2581b \U0001f9ec caf\u00e9\n" + "xy" * 33_000     # a word longer than 65,536 characters
+    ids, other = pieces.sample(lattice, [text, ""], [7, 8])
+    assert b"".join(lattice.raw[i] for i in ids.tolist()) == text.encode() and not len(other)
+    assert pieces.decode(lattice, ids.astype("<u4")) == text
+    assert [lattice.raw[i] for i in lattice.byte_ids.tolist()] == [bytes([k]) for k in range(256)]
+    alone = pieces.sample(lattice, ["caf\u00e9 the the cat"], [7])[0]
+    among = pieces.sample(lattice, ["the", "caf\u00e9 the the cat", "cat zebra the"], [1, 7, 2])[1]
+    assert alone.tolist() == among.tolist()
+
+
 def test_sampled_pieces_are_reproducible_and_lossless(docs, empty):
     rows = pieces.sampled_pieces(docs, PIECES).collect()
     assert all(r.lossless for r in rows)
