@@ -1,5 +1,6 @@
 """Log files on disk: plain, gzip, broken, large, nested and split into blocks."""
 
+import bz2
 import gzip
 
 import pytest
@@ -186,3 +187,67 @@ def test_streams_list_files_by_few_tasks_to_their_end(spark, tmp_path, monkeypat
     feeds.take_in_files(spark, str(tmp_path / "in"), str(tmp_path / "fed"), {"mine": [r"FATAL\s+ERROR"]})
     assert feeds.fed_matches(spark, str(tmp_path / "fed")).count() == 1
     assert seen and max(seen) <= 4 * spark.sparkContext.defaultParallelism and spark.conf.get(files.LISTING_LIMIT) == before
+
+
+@pytest.fixture
+def a_split_each(spark):
+    """Every small file is a split of its own."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path, a_split_each):
+    most = files.READING_TASKS * spark.sparkContext.defaultParallelism
+    (tmp_path / "c1").mkdir()
+    for i in range(most + 20):
+        (tmp_path / "c1" / f"stderr{i}").write_text("one\ntwo\n")
+    for found, rows in ((files.log_contents, 1), (files.log_inventory, 1), (files._line_rows, 2)):
+        df = found(spark, str(tmp_path), cluster_id=None, layout=files.LAYOUT)
+        assert df.rdd.getNumPartitions() <= most and df.count() == rows * (most + 20)
+    assert files.log_lines(spark, str(tmp_path)).filter("line = 'two' AND line_number = 2").count() == most + 20
+
+
+ODD = {"end": b"a\nb\n", "no_end": b"a\n\nb", "mac": b"a\rb\r\rc", "dos": b"a\r\nb\r\n", "mark": b"\xef\xbb\xbfa\xef\xbb\xbf\nb",
+       "only_mark": b"\xef\xbb\xbf", "mark_end": b"\xef\xbb\xbf\n", "blank": b"\n\n", "bytes": b"a\xff\xfe\nb\xc3\n\x00\x85\xa0",
+       "wide": "é ß\x0bx\x0cy\n𝄞".encode()}
+
+
+@pytest.mark.parametrize("cap", [None, 1 / files.MB])
+def test_lines_inside_a_row_are_those_of_the_engine(spark, tmp_path, monkeypatch, cap):
+    (tmp_path / "c1").mkdir()
+    for name, data in ODD.items():
+        (tmp_path / "c1" / name).write_bytes(data)
+        (tmp_path / "c1" / f"{name}.gz").write_bytes(gzip.compress(data))
+
+    def found():
+        df = files.log_lines(spark, str(tmp_path)) if cap is None else files.oversize_lines(spark, str(tmp_path), cap)
+        return sorted((r.file_path, r.line_number, bytes(r.b)) for r in df.select(
+            "file_path", "line_number", F.col("line").cast("binary").alias("b")).collect())
+
+    small = found()
+    monkeypatch.setattr(files, "WHOLE_LINES_MB", 0)
+    assert small == found() and len({r[0] for r in small}) > len(ODD)
+
+
+def test_packed_texts_are_unpacked_and_plain_ones_kept_byte_by_byte(spark, tmp_path):
+    (tmp_path / "c1").mkdir()
+    (tmp_path / "c1" / "a.log.gz").write_bytes(gzip.compress(b"packed\r\n"))
+    (tmp_path / "c1" / "b.log.bz2").write_bytes(bz2.compress(b"also"))
+    (tmp_path / "c1" / "c.GZ").write_bytes(b"plain\rtext")
+    (tmp_path / "c1" / "d").write_bytes(b"\xef\xbb\xbf\x00mark")
+    got = {r.file_name: r.content for r in files.log_contents(spark, str(tmp_path)).collect()}
+    assert got == {"a.log.gz": "packed\n", "b.log.bz2": "also", "c.GZ": "plain\ntext", "d": "\ufeff\x00mark"}
+
+
+def test_a_file_that_grows_between_two_listings_counts_once(spark):
+    rows = [("c1", "c1/a", "a", size, "unknown", 0, i, f"line {i}") for size, n in ((10, 2), (20, 4)) for i in range(n)]
+    df = spark.createDataFrame(rows, "cluster_id STRING, file_path STRING, file_name STRING, size BIGINT, log_type STRING, "
+                               "block BIGINT, row_id BIGINT, line STRING").withColumn("last_modified", F.current_timestamp())
+    got = files._numbered(df, files._line_blocks(df)).select("line_number", "line").collect()
+    assert sorted(map(tuple, got)) == [(1, "line 0"), (2, "line 1")]
+
+
+def test_sizes_of_settings(spark, a_split_each):
+    assert files._setting_bytes(spark, "spark.sql.files.maxPartitionBytes") == 4 * files.MB
