@@ -251,3 +251,15 @@ def test_a_file_that_grows_between_two_listings_counts_once(spark):
 
 def test_sizes_of_settings(spark, a_split_each):
     assert files._setting_bytes(spark, "spark.sql.files.maxPartitionBytes") == 4 * files.MB
+
+
+def test_arriving_files_are_listed_in_one_micro_batch(spark, tmp_path):
+    root, place = tmp_path / "in" / "c1", tmp_path / "fed"
+    root.mkdir(parents=True)
+    for i in range(5):
+        (root / f"stderr{i}").write_text("FATAL ERROR a\n")
+    feeds.take_in_files(spark, str(root.parent), str(place), {"mine": [r"FATAL\s+ERROR"]}, files_a_batch=2)
+    batches = {name: len([f for f in (place / name / "commits").iterdir() if f.name.isdigit()])
+               for name in ("progress-listed", "progress-read")}
+    assert batches == {"progress-listed": 1, "progress-read": 3}
+    assert feeds.fed_files(spark, str(place)).filter("outcome = 'read'").count() == 5
