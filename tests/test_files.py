@@ -209,6 +209,19 @@ def test_small_files_are_read_by_few_tasks(spark, tmp_path, a_split_each):
     assert files.log_lines(spark, str(tmp_path)).filter("line = 'two' AND line_number = 2").count() == most + 20
 
 
+def test_only_small_files_share_a_task(spark, tmp_path, a_split_each):
+    most = files.READING_TASKS * spark.sparkContext.defaultParallelism
+    (tmp_path / "c1").mkdir()
+    for i in range(most + 20):
+        (tmp_path / "c1" / f"stderr{i}").write_text("one\n")
+    for i in range(9):
+        (tmp_path / "c1" / f"large{i}").write_bytes(b"x" * (files.MB + 1))
+    tasks = files.log_contents(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).groupBy("task").agg(
+        F.count("*").alias("files"), F.count_if(F.col("size") > files.MB).alias("large")).collect()
+    assert sorted((r.files, r.large) for r in tasks if r.large) == [(1, 1)] * 9
+    assert sum(r.files for r in tasks) == most + 29 and len([r for r in tasks if not r.large]) <= most
+
+
 ODD = {"end": b"a\nb\n", "no_end": b"a\n\nb", "mac": b"a\rb\r\rc", "dos": b"a\r\nb\r\n", "mark": b"\xef\xbb\xbfa\xef\xbb\xbf\nb",
        "only_mark": b"\xef\xbb\xbf", "mark_end": b"\xef\xbb\xbf\n", "blank": b"\n\n", "bytes": b"a\xff\xfe\nb\xc3\n\x00\x85\xa0",
        "wide": "é ß\x0bx\x0cy\n𝄞".encode()}
@@ -227,7 +240,7 @@ def test_lines_inside_a_row_are_those_of_the_engine(spark, tmp_path, monkeypatch
             "file_path", "line_number", F.col("line").cast("binary").alias("b")).collect())
 
     small = found()
-    monkeypatch.setattr(files, "WHOLE_LINES_MB", 0)
+    monkeypatch.setattr(files, "SMALL_MB", 0)
     assert small == found() and len({r[0] for r in small}) > len(ODD)
 
 
