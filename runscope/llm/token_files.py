@@ -26,17 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runscope.llm.common import scratch, ship, written
-from runscope.llm.tokens import encoder, vocabulary_size
+from runscope.llm.tokens import batch_encoder, vocabulary_size
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 19
 PART_TOKENS = 8_000_000     # tokens a task sorts and writes
-DOCS_A_BATCH = 512
+TEXT_BYTES = 1 << 23        # texts encoded at once
 MAGIC = b"RTK1"
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -118,6 +119,17 @@ def id_kind(tokenizer: str, end_id: int = END_ID) -> str:
     return "<u2" if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of ``batch`` whose texts, its second column, have up to ``TEXT_BYTES`` together; a longer text comes alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + TEXT_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID,
               doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, ids, counts``; ids in 16 bits where the vocabulary allows, else 32.
@@ -129,23 +141,21 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID,
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
-        last = np.array([end_id], "<u4").tobytes()
+        encode = batch_encoder(tokenizer)
         total = np.zeros(end_id + 1, np.int64)
         for big in batches:
-            for at in range(0, big.num_rows, DOCS_A_BATCH):
-                batch = big.slice(at, DOCS_A_BATCH)
-                wide = [encode(t) + last for t in batch.column(1).to_pylist()]
-                all_ids = np.frombuffer(b"".join(wide), "<u4")
+            for batch in slices(big):
+                ids, tokens = encode(batch.column(1))
+                all_ids = np.insert(ids, np.cumsum(tokens), end_id)
                 seen = np.bincount(all_ids, minlength=len(total))
                 seen[:len(total)] += total
                 total = seen
                 narrow = memoryview(all_ids.astype(kind).tobytes())
-                ends = np.cumsum([len(x) // 4 for x in wide]) * int(kind[-1])
+                ends = np.cumsum(tokens + 1) * int(kind[-1])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).cast(pa.int64()),
                     pa.array([bytes(narrow[a:b]) for a, b in zip([0, *ends[:-1]], ends)], pa.binary()),
-                    pa.nulls(len(wide), pa.binary())], schema=schema)
+                    pa.nulls(len(tokens), pa.binary())], schema=schema)
         yield pa.RecordBatch.from_arrays(
             [pa.array(v, t) for v, t in zip(([None], [None], [total.astype("<i8").tobytes()]), schema.types)], schema=schema)
 
