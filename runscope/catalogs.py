@@ -454,6 +454,23 @@ def required_text(pattern: str) -> str | None:
     return max(required_pieces(pattern), key=len, default=None)
 
 
+_ONE_OF = re.compile(r"(?:\\b)?\(\?:([A-Za-z]+(?:\|[A-Za-z]+)+)\)(?![?*{])")
+
+
+def alternative_words(pattern: str) -> tuple[list[str], list[str]]:
+    """For a pattern that begins with a choice of words: these words, and short ones that every match has as well.
+
+    A choice behind other pieces, one that may be left out, and patterns with
+    further choices or brackets give empty lists.
+    """
+    bare = pattern.replace("(?i)", "", 1) if pattern.startswith("(?i)") else pattern
+    choice = _ONE_OF.match(bare)
+    rest = bare[choice.end():] if choice else ""
+    if not choice or "|" in rest or "\\\\" in rest or re.search(r"(?<!\\)[()]|\\[QE]", rest):
+        return [], []
+    return choice[1].lower().split("|"), [w.lower() for w in re.findall(r"\\b([A-Za-z]+)\\s\+", rest)]
+
+
 def shared_stems(patterns: Iterable[str]) -> dict[str, str]:
     """A stem for each pattern, few in all: texts without a stem cannot match.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from runscope.catalogs import required_text, shared_stems
+from runscope.catalogs import alternative_words, required_text, shared_stems
 from runscope.functions.text import quote_regex, sql_text
 
 
@@ -33,11 +33,20 @@ class Guards:
         tests = ", ".join(_has(low, stem) for stem in self.stems)
         return f"array({tests})" if tests else "array(true)"
 
+    def _choice_sql(self, low: str, flags: str, pattern: str) -> str:
+        """SQL test for a pattern that needs one of several words; empty for patterns of other kinds."""
+        words, others = alternative_words(pattern)
+        if not words:
+            return ""
+        found = [f"{flags}[{self.stems.index(w)}]" if w in self.stems else _has(low, w) for w in words]
+        return " AND ".join([f"({' OR '.join(found)})", *(_has(low, w) for w in others)])
+
     def sql(self, low: str, flags: str, pattern: str, value: str) -> str:
         """SQL for ``value``, null without a run of the regex where it cannot match."""
         stem, word = self.stem_of.get(pattern), required_text(pattern)
         if stem is None:
-            return value if word is None else f"if({_has(low, word)}, {value}, NULL)"
+            test = self._choice_sql(low, flags, pattern) if word is None else _has(low, word)
+            return f"if({test}, {value}, NULL)" if test else value
         test = f"{flags}[{self.stems.index(stem)}]"
         if word != stem:
             test += f" AND {_has(low, word)}"
